@@ -9,6 +9,7 @@ from tidemark.operators.shares import factor_after, reconcile_shares, splits_by_
 from tidemark.registry import FLOWS, SHARES, STOCKS
 
 DURATIONS = FLOWS + ["shares_diluted"]
+MARKER = "_other"
 INSTANTS = STOCKS + ["shares_outstanding", "shares_outstanding_gaap"]
 
 
@@ -17,6 +18,12 @@ def filing_grid(facts: DataFrame) -> DataFrame:
     return facts.select("ticker", F.col("filed_at").alias("as_of")).distinct()
 
 
+def shuffle_width(df: DataFrame) -> int:
+    """The session's shuffle width. Derivation is heavy per byte, so its one shuffle by ticker
+    keeps this width instead of being coalesced by data size."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _kind(days: str = "duration_days") -> Column:
     d = F.col(days)
     return (F.when(d == 0, "I").when(d.between(*QUARTER_DAYS), "Q")
@@ -34,23 +41,27 @@ def relevant_facts(facts: DataFrame) -> DataFrame:
     Returns (ticker, as_of, concept, kind, period_start, period_end, duration_days,
     filed_at, value).
     """
-    used = (
-        facts.withColumn("kind", _kind())
-        .where(F.col("kind").isNotNull())
-        .where((F.col("concept").isin(DURATIONS) & (F.col("kind") != "I"))
-               | (F.col("concept").isin(INSTANTS) & (F.col("kind") == "I")))
-    )
+    kind = _kind()
+    used = ((F.col("concept").isin(DURATIONS) & kind.isin("Q", "A"))
+            | (F.col("concept").isin(INSTANTS) & (kind == "I")))
+    # Facts no state uses still put their filing date on the grid: they travel as a marker.
+    marked = facts.select(
+        "ticker", F.when(used, F.col("concept")).otherwise(MARKER).alias("concept"),
+        F.when(used, kind).otherwise("I").alias("kind"), "period_start", "period_end",
+        "duration_days", "filed_at", "accession", "value")
     # Copies and same-day versions collapse map-side; after this a company's rows are
     # limited by periods x filing dates, and one shuffle by ticker serves every later step.
     keys = ["ticker", "concept", "kind", "period_end", "period_start", "duration_days"]
     versions = (
-        used.groupBy(*keys, "filed_at").agg(F.min_by("value", "accession").alias("value"))
-        .repartition("ticker")
+        marked.groupBy(*keys, "filed_at").agg(F.min_by("value", "accession").alias("value"))
+        .repartition(shuffle_width(facts), "ticker")
+        .withColumn("dates", F.array_sort(F.collect_set("filed_at").over(
+            Window.partitionBy("ticker"))))
         .withColumn("valid_to", F.lead("filed_at").over(
             Window.partitionBy(*keys).orderBy("filed_at")))
     )
     periods = versions.groupBy("ticker", "concept", "kind", "period_end").agg(
-        F.min("filed_at").alias("first_seen"),
+        F.min("filed_at").alias("first_seen"), F.first("dates").alias("dates"),
         F.collect_list(F.struct("filed_at", "valid_to", "period_start", "duration_days",
                                 "value")).alias("versions"))
     later = Window.partitionBy("ticker", "concept", "kind").orderBy("period_end")
@@ -59,12 +70,8 @@ def relevant_facts(facts: DataFrame) -> DataFrame:
         F.col("kind") == "Q", F.when(F.col("l4").isNotNull(), F.greatest("l1", "l2", "l3", "l4"))
     ).otherwise(F.col("l1"))
     periods = periods.select("*", *[c.alias(f"l{i}") for i, c in enumerate(seen, 1)])
-    # The grid spans every fact, also those of concepts or durations no state uses.
-    grid = filing_grid(facts).groupBy("ticker").agg(
-        F.array_sort(F.collect_list("as_of")).alias("dates"))
     return (
         periods.withColumn("until", out_of_sight)
-        .join(grid, "ticker")
         .select("ticker", "concept", "kind", "period_end", "versions", F.explode(F.filter(
             "dates", lambda d: (d >= F.col("first_seen"))
             & (F.col("until").isNull() | (d < F.col("until"))))).alias("as_of"))
@@ -115,9 +122,8 @@ def concept_values(facts: DataFrame) -> DataFrame:
 def filing_state(facts: DataFrame, splits: DataFrame) -> DataFrame:
     """Wide row per (ticker, as_of): flows, balances, split-normalised share counts,
     `filed_at` of the newest input, and `filed_<concept>` where a later choice needs it."""
-    valued = concept_values(facts).where("value IS NOT NULL")
     valued = (
-        valued.join(splits_by_ticker(splits), "ticker", "left")
+        concept_values(facts).join(splits_by_ticker(splits), "ticker", "left")
         .withColumn("value", F.when(
             F.col("concept").isin(SHARES),
             F.col("value") * factor_after(F.col("splits"), F.col("filed_at")))
@@ -126,12 +132,10 @@ def filing_state(facts: DataFrame, splits: DataFrame) -> DataFrame:
     )
     at = lambda c, field: F.max(F.when(F.col("concept") == c, F.col(field)))
     dated = ["depreciation_amortization", "depreciation_expense", "amortisation_expense"]
-    wide = valued.groupBy("ticker", "as_of").agg(
-        F.max("filed_at").alias("filed_at"),
+    return valued.groupBy("ticker", "as_of").agg(
+        F.max(F.when(F.col("concept") != MARKER, F.col("filed_at"))).alias("filed_at"),
         *[at(c, "value").alias(c) for c in FLOWS + STOCKS + SHARES],
         *[at(c, "filed_at").alias(f"filed_{c}") for c in dated])
-    # A filing date without any usable fact still is a state: empty, but a state.
-    return filing_grid(facts).join(wide, ["ticker", "as_of"], "left")
 
 
 def derived_concepts(states: DataFrame) -> DataFrame:
