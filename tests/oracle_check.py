@@ -76,7 +76,7 @@ def main() -> int:
             out = compare(spark, con, sf_dir, queries[key], sqls.get(key))
         except Exception as e:  # noqa: BLE001
             bad += 1
-            print(f"{key:22} ERROR {type(e).__name__}: {str(e)[:1500]}", flush=True)
+            print(f"{key:22} ERROR {type(e).__name__}: {str(e)[:500]}", flush=True)
             continue
         ok = out[2] in ("ok", "no sql")
         bad += not ok

@@ -342,6 +342,192 @@ SQL["ratios_daily"] = RATIO_SELECT
 SQL["roic"] = "SELECT ticker, date, roic FROM x_ratios"
 SQL["yoy_growth"] = "SELECT ticker, date, revenue_ttm, revenue_growth_yoy FROM x_ratios"
 
+# ---- distribution and grid -------------------------------------------------------------
+_long = "\nUNION ALL ".join(
+    f"SELECT ticker, date, '{m}' AS metric_key, {m} AS value FROM x_ratios WHERE {m} IS NOT NULL"
+    for m in registry.METRICS)
+CTES["x_long"] = _long
+CTES["x_newest"] = "SELECT ticker, max(date) AS newest FROM x_ratios GROUP BY 1"
+
+
+def _years_before(d: str, n: int) -> str:
+    shifted = f"CAST({d} - INTERVAL {n} YEAR AS DATE)"
+    return (f"CASE WHEN month({d}) = 2 AND day({d}) = 29 AND day({shifted}) = 28 "
+            f"THEN {shifted} + 1 ELSE {shifted} END")
+
+
+CTES["x_latest"] = """
+SELECT ticker, metric_key, date, value FROM x_long
+QUALIFY row_number() OVER (PARTITION BY ticker, metric_key ORDER BY date DESC) = 1"""
+
+
+def _stats(long: str, latest: str) -> str:
+    return f"""
+SELECT l.ticker, l.metric_key, any_value(l.date) AS date, any_value(l.value) AS value,
+       count(*) AS n, CAST(sum(CASE WHEN h.value <= l.value THEN 1 ELSE 0 END) AS DOUBLE) AS below,
+       min(h.value) AS low, max(h.value) AS high, min(h.date) AS first_date
+FROM {latest} l JOIN {long} h ON h.ticker = l.ticker AND h.metric_key = l.metric_key
+ AND h.date >= {_years_before('l.date', 10)} GROUP BY 1, 2"""
+
+
+def _medians(long: str, latest: str) -> str:
+    return f"""
+SELECT ticker, metric_key, value AS median FROM (
+  SELECT h.ticker, h.metric_key, h.value,
+         row_number() OVER (PARTITION BY h.ticker, h.metric_key ORDER BY h.value) AS rn,
+         count(*) OVER (PARTITION BY h.ticker, h.metric_key) AS n
+  FROM {latest} l JOIN {long} h ON h.ticker = l.ticker AND h.metric_key = l.metric_key
+   AND h.date >= {_years_before('l.date', 10)})
+WHERE rn = n // 2 + 1"""
+
+
+CTES["x_hist"] = _stats("x_long", "x_latest")
+CTES["x_hist_median"] = _medians("x_long", "x_latest")
+_final_stats = """
+  below / n * 100 AS percentile, median, low, high,
+  datediff('day', first_date, date) / 365.25::DOUBLE AS years,
+  datediff('day', first_date, date) / 365.25::DOUBLE >= 3 AND n > 100 AS sufficient"""
+CTES["x_stats"] = f"""
+SELECT ticker, metric_key, date, value, n, date = newest AS is_current, {_final_stats},
+  CASE WHEN high - low > 0 THEN (value - low) / (high - low) * 100 ELSE 50 END AS position,
+  CASE WHEN high - low > 0 THEN (median - low) / (high - low) * 100 END AS median_position
+FROM x_hist JOIN x_hist_median USING (ticker, metric_key) JOIN x_newest USING (ticker)"""
+CTES["x_peers"] = """
+SELECT group_id, metric_key, value AS group_median FROM (
+  SELECT group_id, l.metric_key, l.value,
+         row_number() OVER (PARTITION BY group_id, l.metric_key ORDER BY l.value) AS rn,
+         count(*) OVER (PARTITION BY group_id, l.metric_key) AS n
+  FROM b_stock_groups g JOIN x_newest m USING (ticker)
+  JOIN x_long l ON l.ticker = g.ticker AND l.date = m.newest)
+WHERE rn = n // 2 + 1"""
+
+
+def _active(requested: str) -> str:
+    return f"""
+SELECT w.ticker, g.group_id, g.name AS group_name, coalesce(g.primary_multiple, 'pe_ttm') AS primary_key
+FROM (SELECT *, {requested} AS requested FROM b_watchlist) w
+LEFT JOIN (b_stock_groups sg JOIN b_metric_groups USING (group_id)) g ON g.ticker = w.ticker
+QUALIFY row_number() OVER (PARTITION BY w.ticker ORDER BY
+    CASE WHEN g.group_id = w.requested THEN 0 WHEN g.group_id = w.default_group_id THEN 1 ELSE 2 END,
+    g.group_id) = 1"""
+
+
+CTES["x_active"] = _active("CAST(NULL AS INTEGER)")
+_last = lambda cond: f"""
+SELECT r.* FROM x_ratios r JOIN x_newest m USING (ticker) WHERE {cond}
+QUALIFY row_number() OVER (PARTITION BY r.ticker ORDER BY r.date DESC) = 1"""
+CTES["x_now"] = _last("r.date = m.newest")
+CTES["x_then"] = _last(f"r.date <= {_years_before('m.newest', 1)}")
+CTES["x_change"] = """
+SELECT ticker, date, close, CASE WHEN close <> 0 AND prev <> 0 THEN close / prev - 1 END AS change_pct
+FROM (SELECT ticker, date, close, lag(close) OVER (PARTITION BY ticker ORDER BY date) AS prev
+      FROM x_ratios) JOIN x_newest USING (ticker) WHERE date = newest"""
+CTES["x_grid_rows"] = """
+SELECT a.ticker, a.group_id, a.group_name, a.primary_key, c.date, c.close, c.change_pct,
+  n.market_cap, n.revenue_growth_yoy, s.value AS multiple, s.percentile, s.median, s.low, s.high,
+  s.years, coalesce(s.sufficient, false) AS sufficient,
+  concat_ws(', ',
+    CASE WHEN n.operating_margin < t.operating_margin - 0.02::DOUBLE THEN 'margin compressing' END,
+    CASE WHEN n.shares_diluted > t.shares_diluted * 1.02::DOUBLE THEN 'dilution' END,
+    CASE WHEN n.inventory_days > t.inventory_days * 1.15::DOUBLE
+          AND coalesce(n.revenue_growth_yoy, 1) < 0.1::DOUBLE THEN 'inventory building' END,
+    CASE WHEN s.sufficient AND s.percentile >= 95 THEN 'multiple at high' END,
+    CASE WHEN s.sufficient AND s.percentile <= 5 THEN 'multiple at low' END) AS flags
+FROM x_active a JOIN x_change c USING (ticker) JOIN x_now n USING (ticker)
+LEFT JOIN x_then t USING (ticker)
+LEFT JOIN x_stats s ON s.ticker = a.ticker AND s.metric_key = a.primary_key"""
+SQL["latest_value"] = "SELECT ticker, metric_key, date, value FROM x_latest"
+SQL["metric_stats"] = "SELECT * FROM x_stats"
+SQL["upper_median"] = """
+SELECT ticker, 'close' AS metric_key, close AS median FROM (
+  SELECT ticker, close, row_number() OVER (PARTITION BY ticker ORDER BY close) AS rn,
+         count(*) OVER (PARTITION BY ticker) AS n FROM b_prices) WHERE rn = n // 2 + 1"""
+SQL["peer_median"] = "SELECT group_id, metric_key, group_median FROM x_peers"
+SQL["day_change"] = "SELECT ticker, date, close, change_pct FROM x_change"
+SQL["range_52w"] = f"""
+SELECT ticker, date, close, low_52w, high_52w,
+  CASE WHEN high_52w > low_52w THEN (close - low_52w) / (high_52w - low_52w) * 100 END AS position
+FROM (SELECT n.ticker, n.date, n.close, min(p.close) AS low_52w, max(p.close) AS high_52w
+      FROM x_now n JOIN b_prices p ON p.ticker = n.ticker AND p.date >= {_years_before('n.date', 1)}
+      GROUP BY 1, 2, 3)"""
+SQL["flags"] = "SELECT ticker, date, flags FROM x_grid_rows"
+SQL["active_group"] = _active("CASE WHEN cik % 5 = 0 THEN 10 END")
+SQL["section_profile"] = """
+SELECT a.ticker, a.group_id, m.section,
+  CASE m.section WHEN 'paying' THEN 1 WHEN 'getting' THEN 2 WHEN 'integrity' THEN 3 ELSE 4 END
+    AS section_order, m.sort_order, m.metric_key, s.value, s.percentile, s.median, s.low, s.high,
+  s.years, coalesce(s.sufficient, false) AS sufficient, p.group_median
+FROM x_active a JOIN b_group_metrics m USING (group_id)
+LEFT JOIN x_stats s ON s.ticker = a.ticker AND s.metric_key = m.metric_key
+LEFT JOIN x_peers p ON p.group_id = a.group_id AND p.metric_key = m.metric_key"""
+SQL["sampled_series"] = f"""
+SELECT ticker, date, close, pe_ttm, ev_ebitda, roic FROM (
+  SELECT r.*, row_number() OVER (PARTITION BY r.ticker ORDER BY r.date) AS rn
+  FROM x_ratios r JOIN x_newest m USING (ticker) WHERE r.date >= {_years_before('m.newest', 10)})
+WHERE (rn - 1) % 5 = 0"""
+SQL["percentile_band"] = """
+SELECT ticker, metric_key, percentile,
+  CASE WHEN percentile <= 20 THEN 1 WHEN percentile <= 40 THEN 2 WHEN percentile <= 60 THEN 3
+       WHEN percentile <= 80 THEN 4 WHEN percentile IS NOT NULL THEN 5 END AS band
+FROM x_stats WHERE metric_key IN ('pe_ttm', 'ev_sales', 'fcf_yield')"""
+SQL["watchlist_grid"] = """
+SELECT g.*, CAST(length(flags) - length(replace(flags, ',', ''))
+                 + CASE WHEN flags = '' THEN 0 ELSE 1 END AS INTEGER) AS n_flags, w.name, p.group_median,
+       row_number() OVER (ORDER BY percentile NULLS LAST, g.ticker) AS grid_rank
+FROM x_grid_rows g JOIN b_watchlist w ON w.ticker = g.ticker AND w.supported
+LEFT JOIN x_peers p ON p.group_id = g.group_id AND p.metric_key = g.primary_key"""
+SQL["grid_sorted"] = """
+SELECT coalesce(group_name, 'Ungrouped') AS section, ticker, multiple,
+  row_number() OVER (PARTITION BY coalesce(group_name, 'Ungrouped')
+                     ORDER BY multiple DESC NULLS LAST, ticker) AS sort_rank FROM x_grid_rows"""
+SQL["added_price"] = """
+SELECT w.ticker, coalesce(w.added_price, n.close) AS added_price
+FROM b_watchlist w LEFT JOIN x_now n USING (ticker)"""
+
+# ---- reports ---------------------------------------------------------------------------
+SQL["run_freshness"] = """
+SELECT *, hours_ago > 72 OR status IN ('error', 'running') AS stale FROM (
+  SELECT event_id AS run_id, ts AS started_at,
+         CASE WHEN event_type <> 'error' THEN ts + INTERVAL 5 MINUTE END AS finished_at,
+         CASE event_type WHEN 'error' THEN 'running' WHEN 'signup' THEN 'error' ELSE 'ok' END AS status,
+         datediff('microsecond', CASE WHEN event_type <> 'error' THEN ts + INTERVAL 5 MINUTE ELSE ts END,
+                  TIMESTAMP '2024-02-02') / 3600000000::DOUBLE AS hours_ago
+  FROM events ORDER BY event_id DESC LIMIT 1)"""
+SQL["latest_snapshot"] = RATIO_SELECT.replace("x_ratios", "x_now")
+from tidemark.operators.reports import COVERAGE_METRICS  # noqa: E402
+SQL["metric_coverage"] = "\nUNION ALL ".join(
+    f"SELECT ticker, '{m}' AS metric_key, count({m}) * 100 / count(*) AS coverage_pct "
+    f"FROM x_ratios GROUP BY 1" for m in COVERAGE_METRICS)
+SQL["load_status"] = """
+SELECT ticker, supported,
+  (SELECT count(*) FROM b_facts f WHERE f.ticker = w.ticker) AS facts,
+  (SELECT count(*) FROM b_prices p WHERE p.ticker = w.ticker) AS prices,
+  (SELECT count(*) FROM x_ratios r WHERE r.ticker = w.ticker) AS ratios,
+  (SELECT min(period_end) FROM b_facts f WHERE f.ticker = w.ticker) AS first_period,
+  (SELECT max(period_end) FROM b_facts f WHERE f.ticker = w.ticker) AS last_period
+FROM b_watchlist w"""
+SQL["annual_series"] = """
+SELECT ticker, concept, period_end, value, filed_at AS first_filed, form FROM (
+  SELECT *, row_number() OVER (PARTITION BY ticker, concept ORDER BY period_end DESC) AS newest
+  FROM (SELECT * FROM b_facts WHERE duration_days BETWEEN 340 AND 380
+        QUALIFY row_number() OVER (PARTITION BY ticker, concept, period_end
+                                   ORDER BY filed_at, accession) = 1))
+WHERE newest <= 8"""
+SQL["restatements"] = """
+SELECT *, coalesce(abs(ratio - 1) > 0.05::DOUBLE, false) AS restated FROM (
+  SELECT *, CASE WHEN versions > 1 AND first_value <> 0 AND last_value <> 0
+                 THEN last_value / first_value END AS ratio FROM (
+    SELECT ticker, concept, period_end, count(*) AS versions,
+           first(value ORDER BY filed_at, accession) AS first_value,
+           last(value ORDER BY filed_at, accession) AS last_value
+    FROM b_facts WHERE duration_days BETWEEN 80 AND 100 GROUP BY 1, 2, 3))"""
+SQL["group_summary"] = """
+SELECT g.group_id, g.name, g.primary_multiple,
+  (SELECT count(*) FROM b_group_metrics m WHERE m.group_id = g.group_id) AS n_metrics,
+  (SELECT count(*) FROM b_stock_groups s WHERE s.group_id = g.group_id) AS n_members,
+  s.ticker AS member
+FROM b_metric_groups g LEFT JOIN b_stock_groups s USING (group_id)"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {k: compose(v) for k, v in SQL.items()}

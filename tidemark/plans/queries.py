@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.operators import asof, ratios, shares, state
+from tidemark.functions import scalars
+from tidemark.operators import asof, distribution, grid, ratios, reports, shares, state
 from tidemark.registry import FLOWS, SHARES, STOCKS
 from tidemark.sources import bridge
 
@@ -110,3 +111,142 @@ def roic(spark, d):
 @query
 def yoy_growth(spark, d):
     return _ratios(spark, d).select("ticker", "date", "revenue_ttm", "revenue_growth_yoy")
+
+
+# ---- distribution and grid -------------------------------------------------------------
+def _groups(spark, d):
+    return bridge.stock_groups(spark, d), bridge.metric_groups(spark, d)
+
+
+def _active(spark, d, requested=None):
+    return grid.active_group(bridge.watchlist(spark, d), *_groups(spark, d), requested)
+
+
+@query
+def latest_value(spark, d):
+    return distribution.latest_value(distribution.to_long(_ratios(spark, d)))
+
+
+@query
+def metric_stats(spark, d):
+    return distribution.metric_stats(_ratios(spark, d))
+
+
+@query
+def upper_median(spark, d):
+    long = bridge.prices(spark, d).select(
+        "ticker", F.lit("close").alias("metric_key"), F.col("close").alias("value"))
+    return distribution.upper_median(long)
+
+
+@query
+def peer_median(spark, d):
+    current = distribution.to_long(distribution.latest_snapshot(_ratios(spark, d)))
+    return distribution.peer_median(current, bridge.stock_groups(spark, d))
+
+
+@query
+def day_change(spark, d):
+    return grid.day_change(_ratios(spark, d))
+
+
+@query
+def range_52w(spark, d):
+    latest = distribution.latest_snapshot(_ratios(spark, d).select("ticker", "date", "close"))
+    return grid.range_52w(bridge.prices(spark, d), latest)
+
+
+@query
+def flags(spark, d):
+    return grid.grid_rows(_ratios(spark, d), _active(spark, d)).select("ticker", "date", "flags")
+
+
+@query
+def active_group(spark, d):
+    wish = bridge.watchlist(spark, d).selectExpr(
+        "ticker", "CASE WHEN cik % 5 = 0 THEN 10 END AS requested_group_id")
+    return _active(spark, d, wish)
+
+
+@query
+def section_profile(spark, d):
+    return grid.section_profile(_ratios(spark, d), _active(spark, d),
+                                bridge.stock_groups(spark, d), bridge.group_metrics(spark, d))
+
+
+@query
+def sampled_series(spark, d):
+    return grid.sampled_series(_ratios(spark, d), ["close", "pe_ttm", "ev_ebitda", "roic"])
+
+
+@query
+def percentile_band(spark, d):
+    return distribution.metric_stats(_ratios(spark, d), ["pe_ttm", "ev_sales", "fcf_yield"]).select(
+        "ticker", "metric_key", "percentile",
+        scalars.percentile_band(F.col("percentile")).alias("band"))
+
+
+def _grid(spark, d):
+    return grid.watchlist_grid(_ratios(spark, d), bridge.watchlist(spark, d), *_groups(spark, d))
+
+
+@query
+def watchlist_grid(spark, d):
+    return _grid(spark, d)
+
+
+@query
+def grid_sorted(spark, d):
+    rows = grid.grid_rows(_ratios(spark, d), _active(spark, d))
+    return grid.grid_sorted(rows, "multiple", "desc").select(
+        "section", "ticker", "multiple", "sort_rank")
+
+
+@query
+def added_price(spark, d):
+    latest = distribution.latest_snapshot(_ratios(spark, d).select("ticker", "date", "close"))
+    return grid.added_price(bridge.watchlist(spark, d), latest).select("ticker", "added_price")
+
+
+# ---- reports ---------------------------------------------------------------------------
+@query
+def run_freshness(spark, d):
+    runs = bridge.table(spark, d, "events").select(
+        F.col("event_id").alias("run_id"), F.col("ts").alias("started_at"),
+        F.expr("CASE WHEN event_type <> 'error' THEN ts + make_interval(0, 0, 0, 0, 0, 5) END")
+        .alias("finished_at"),
+        F.expr("CASE event_type WHEN 'error' THEN 'running' WHEN 'signup' THEN 'error' ELSE 'ok' END")
+        .alias("status"))
+    return reports.run_freshness(runs, F.expr("TIMESTAMP_NTZ'2024-02-02 00:00:00'"))
+
+
+@query
+def latest_snapshot(spark, d):
+    return distribution.latest_snapshot(_ratios(spark, d))
+
+
+@query
+def metric_coverage(spark, d):
+    return reports.metric_coverage(_ratios(spark, d))
+
+
+@query
+def load_status(spark, d):
+    return reports.load_status(bridge.watchlist(spark, d), bridge.fundamentals(spark, d),
+                               bridge.prices(spark, d), _ratios(spark, d))
+
+
+@query
+def annual_series(spark, d):
+    return reports.annual_series(bridge.fundamentals(spark, d))
+
+
+@query
+def restatements(spark, d):
+    return reports.restatements(bridge.fundamentals(spark, d), scalars.QUARTER_DAYS)
+
+
+@query
+def group_summary(spark, d):
+    groups = bridge.metric_groups(spark, d)
+    return reports.group_summary(groups, bridge.group_metrics(spark, d), bridge.stock_groups(spark, d))

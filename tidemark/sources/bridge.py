@@ -190,8 +190,9 @@ def metric_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     profiles = registry.literal_rows(spark, rows, "slot int, profile string, primary_multiple string")
     groups = table(spark, sf_dir, "region").selectExpr(
         "explode(CASE WHEN r_regionkey = 0 "
-        "THEN array(struct(1 AS group_id, r_name AS name), struct(10, 'CROSS SECTION')) "
-        "ELSE array(struct(r_regionkey + 1, r_name)) END) AS g").select("g.*")
+        "THEN array(named_struct('group_id', 1, 'name', r_name), "
+        "named_struct('group_id', 10, 'name', 'CROSS SECTION')) "
+        "ELSE array(named_struct('group_id', r_regionkey + 1, 'name', r_name)) END) AS g").select("g.*")
     return (groups.join(profiles, F.expr("(group_id - 1) % 4 = slot"))
             .select("group_id", "name", "profile", "primary_multiple"))
 
