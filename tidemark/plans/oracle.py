@@ -528,6 +528,171 @@ SELECT g.group_id, g.name, g.primary_multiple,
   s.ticker AS member
 FROM b_metric_groups g LEFT JOIN b_stock_groups s USING (group_id)"""
 
+# ---- hierarchical revenue tables -------------------------------------------------------
+CTES["e_lines"] = "SELECT *, ticker || '/' || CAST(filed_at AS VARCHAR) AS report_id FROM b_segments"
+CTES["e_close"] = """
+SELECT s.ticker, s.period_end, s.label, s.value, s.row_idx, s.report_id, s.filed_at, s.value > 0
+  AND EXISTS (SELECT 1 FROM (SELECT ticker, period_end, row_idx, n, k FROM e_runs) r
+    WHERE r.ticker = s.ticker AND r.period_end = s.period_end AND r.row_idx = s.row_idx) AS is_subtotal
+FROM e_lines s"""
+CTES["e_pos"] = """
+SELECT *, row_number() OVER (PARTITION BY report_id, period_end ORDER BY row_idx) AS pos FROM e_lines"""
+CTES["e_runs"] = """
+SELECT s.ticker, s.period_end, s.row_idx, k, side, count(*) AS n
+FROM e_pos s, range(2, 9) ks(k), (VALUES (1), (-1)) d(side)
+JOIN e_pos o ON o.report_id = s.report_id AND o.period_end = s.period_end
+ AND (o.pos - s.pos) * side BETWEEN 1 AND k
+GROUP BY s.ticker, s.period_end, s.row_idx, s.value, k, side
+HAVING count(*) = k AND abs(sum(o.value) - s.value) / abs(s.value) <= 0.001::DOUBLE"""
+CTES["e_reported"] = """
+SELECT s.report_id, s.period_end, f.value AS reported
+FROM (SELECT DISTINCT report_id, ticker, period_end FROM e_lines) s
+JOIN b_facts f ON f.ticker = s.ticker AND f.concept = 'revenue'
+ AND f.duration_days BETWEEN 340 AND 380 AND abs(datediff('day', f.period_end, s.period_end)) <= 5
+QUALIFY row_number() OVER (PARTITION BY s.report_id, s.period_end
+                           ORDER BY f.filed_at DESC, f.accession) = 1"""
+
+
+def _verdict(lines: str) -> str:
+    return f"""
+SELECT l.ticker, l.report_id, l.period_end, l.n_leaves, l.leaf_sum, nullif(r.reported, 0) AS target,
+  coalesce(l.n_leaves >= 2 AND abs(l.leaf_sum - r.reported) / abs(r.reported) <= 0.01::DOUBLE, false)
+    AS reconciles
+FROM (SELECT ticker, report_id, base, period_end,
+        count(CASE WHEN NOT is_subtotal THEN 1 END) AS n_leaves,
+        CAST(sum(CASE WHEN NOT is_subtotal THEN CAST(value AS DECIMAL(28,4)) END) AS DOUBLE) AS leaf_sum
+      FROM {lines} GROUP BY 1, 2, 3, 4) l
+LEFT JOIN e_reported r ON r.report_id = l.base AND r.period_end = l.period_end"""
+
+
+CTES["e_based"] = "SELECT *, report_id AS base FROM e_close"
+CTES["e_verdict"] = _verdict("e_based")
+CTES["e_two"] = """
+SELECT * REPLACE (report_id || '/a' AS report_id), report_id AS base FROM e_close WHERE row_idx <> 1
+UNION ALL SELECT * REPLACE (report_id || '/b' AS report_id), report_id AS base FROM e_close"""
+CTES["e_two_verdict"] = _verdict("e_two")
+CTES["e_members"] = """
+SELECT *, CASE WHEN label NOT IN ('ECONOMY', 'LARGE', 'MEDIUM') THEN label
+               WHEN CAST(substr(ticker, 2) AS BIGINT) % 2 = 0 THEN label || ' | GROUP_A'
+               ELSE 'GROUP_A | ' || label END AS member FROM e_lines"""
+CTES["e_sides"] = """
+SELECT *, CASE WHEN contains(member, '|') THEN trim(split_part(member, '|', 1)) END AS lhs,
+          CASE WHEN contains(member, '|') THEN trim(split_part(member, '|', 2)) END AS rhs
+FROM e_members"""
+CTES["e_named"] = """
+SELECT s.* EXCLUDE (label, parent),
+  CASE WHEN lhs IS NULL THEN member WHEN nl < nr THEN rhs ELSE lhs END AS label,
+  CASE WHEN nl < nr THEN lhs ELSE rhs END AS parent
+FROM e_sides s LEFT JOIN (SELECT report_id, count(DISTINCT lhs) AS nl, count(DISTINCT rhs) AS nr
+  FROM e_sides WHERE lhs IS NOT NULL GROUP BY 1) USING (report_id)"""
+CTES["e_rows"] = """
+SELECT report_id, row_idx * 10 AS row_idx, label, CAST(NULL AS DOUBLE) AS v FROM e_lines
+UNION ALL SELECT report_id, row_idx * 10 + 1, 'Operating income', value * 0.25::DOUBLE FROM e_lines
+UNION ALL SELECT report_id, row_idx * 10 + 2, 'Net sales', value FROM e_lines
+UNION ALL SELECT report_id, 1, 'Total', value * 3 FROM e_lines WHERE row_idx = 7
+UNION ALL SELECT report_id, 90, 'Segment Reporting Information', NULL FROM e_lines WHERE row_idx = 7
+UNION ALL SELECT report_id, 91, 'Revenues', value * 4 FROM e_lines WHERE row_idx = 7"""
+CTES["e_islands"] = """
+SELECT r.report_id, r.row_idx, r.label, r.v, r.v IS NULL AS is_header,
+  (SELECT count(*) FROM e_rows h WHERE h.report_id = r.report_id AND h.v IS NULL
+    AND h.row_idx <= r.row_idx) AS island,
+  (SELECT CASE WHEN max_by(h.label, h.row_idx) <> 'Segment Reporting Information'
+               THEN max_by(h.label, h.row_idx) END FROM e_rows h
+   WHERE h.report_id = r.report_id AND h.v IS NULL AND h.row_idx <= r.row_idx) AS member
+FROM e_rows r"""
+CTES["e_growth_lines"] = "SELECT * FROM e_close WHERE NOT is_subtotal"
+CTES["e_periods"] = """
+SELECT ticker, period_end, CAST(sum(CAST(value AS DECIMAL(28,4))) AS DOUBLE) AS total,
+       max(filed_at) AS filed_at, row_number() OVER (PARTITION BY ticker ORDER BY period_end DESC) AS k
+FROM e_growth_lines GROUP BY 1, 2"""
+
+_cell = """CASE l_linenumber % 7
+  WHEN 0 THEN '$ ' || CAST(CAST(l_extendedprice AS DECIMAL(12,2)) AS VARCHAR)
+  WHEN 1 THEN '(' || CAST(CAST(l_extendedprice AS DECIMAL(12,2)) AS VARCHAR) || ')'
+  WHEN 2 THEN CAST(CAST(l_discount AS DECIMAL(4,2)) AS VARCHAR) || '%'
+  WHEN 3 THEN '—' WHEN 4 THEN '$ (' || CAST(CAST(l_quantity AS DECIMAL(8,1)) AS VARCHAR) || ')'
+  WHEN 5 THEN ' ' || CAST(CAST(l_quantity AS INT) AS VARCHAR) || ',000 '
+  ELSE '-' || CAST(CAST(l_quantity AS INT) AS VARCHAR) END"""
+SQL["parse_number"] = f"""
+SELECT cell, n, CASE kind WHEN 0 THEN amount WHEN 1 THEN -amount WHEN 4 THEN -quantity
+  WHEN 5 THEN quantity * 1000 WHEN 6 THEN quantity END AS value
+FROM (SELECT {_cell} AS cell, any_value(l_linenumber % 7) AS kind, count(*) AS n,
+        any_value(l_extendedprice) AS amount, any_value(l_quantity) AS quantity
+      FROM lineitem GROUP BY 1)"""
+SQL["report_catalogue"] = """
+SELECT filing_id, position, short_name, tier,
+  CAST(row_number() OVER (PARTITION BY filing_id ORDER BY tier, position) AS INTEGER) AS candidate_rank
+FROM (SELECT p_partkey // 20 AS filing_id, p_partkey AS position,
+    CASE p_size % 5 WHEN 0 THEN 'Disaggregation of Revenue' WHEN 1 THEN 'Segment Information'
+      WHEN 2 THEN 'Geographic Data - Segment Sales' WHEN 3 THEN 'Leases'
+      ELSE 'Revenue - By Region' END || ' - ' || p_name
+    || CASE WHEN p_partkey % 4 = 0 THEN ' Narrative' ELSE '' END
+    || CASE p_partkey % 3 WHEN 0 THEN ' (Details)' WHEN 1 THEN ' (Detail)' ELSE ' (Tables)' END
+      AS short_name,
+    CASE p_size % 5 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 3 THEN NULL ELSE 2 END AS tier
+  FROM part WHERE p_partkey % 4 <> 0 AND p_partkey % 3 <> 2)
+WHERE tier IS NOT NULL"""
+SQL["member_islands"] = "SELECT report_id, row_idx, label, island, member, is_header FROM e_islands"
+SQL["member_lines"] = """
+SELECT i.report_id, i.row_idx, i.member, l.period_end, i.v * 1000 AS value
+FROM e_islands i JOIN (SELECT DISTINCT report_id, period_end FROM e_lines) l USING (report_id)
+WHERE i.label = 'Net sales' AND i.member IS NOT NULL"""
+SQL["table_totals"] = """
+SELECT i.report_id, l.period_end, i.v * 1000 AS total
+FROM e_islands i JOIN (SELECT DISTINCT report_id, period_end FROM e_lines) l USING (report_id)
+WHERE NOT is_header AND member IS NULL AND label IN ('Total', 'Revenues')
+QUALIFY row_number() OVER (PARTITION BY i.report_id ORDER BY i.row_idx DESC) = 1"""
+SQL["pipe_orientation"] = "SELECT report_id, period_end, row_idx, label, parent, value FROM e_named"
+SQL["segment_dedup"] = """
+SELECT report_id, CASE WHEN row_idx % 2 = 0 THEN 'EVEN' ELSE 'ODD' END AS label, period_end, value, row_idx
+FROM e_lines QUALIFY row_number() OVER (PARTITION BY report_id, row_idx % 2, period_end
+                                        ORDER BY abs(value) DESC, row_idx) = 1"""
+SQL["subtotal_parent"] = """
+SELECT report_id, period_end, label, EXISTS (SELECT 1 FROM e_named p
+  WHERE p.report_id = n.report_id AND p.period_end = n.period_end AND p.parent = n.label) AS is_parent
+FROM e_named n"""
+SQL["subtotal_run"] = "SELECT ticker, period_end, label, value, is_subtotal FROM e_close"
+SQL["range_match"] = """
+SELECT s.ticker, s.period_end, (SELECT f.value FROM b_facts f WHERE f.ticker = s.ticker
+    AND f.concept = 'revenue' AND f.duration_days BETWEEN 340 AND 380
+    AND abs(datediff('day', f.period_end, s.period_end)) <= 5
+    ORDER BY f.filed_at DESC, f.accession LIMIT 1) AS reported
+FROM (SELECT DISTINCT ticker, period_end - 3 AS period_end FROM b_segments) s"""
+SQL["reconcile"] = "SELECT * FROM e_verdict"
+SQL["first_reconciling"] = """
+SELECT regexp_replace(report_id, '/[ab]$', '') AS filing_id, report_id,
+  CAST(CASE WHEN report_id LIKE '%/a' THEN 1 ELSE 2 END AS INTEGER) AS candidate_rank, ticker, period_end
+FROM e_two_verdict WHERE reconciles
+QUALIFY rank() OVER (PARTITION BY regexp_replace(report_id, '/[ab]$', '')
+                     ORDER BY CASE WHEN report_id LIKE '%/a' THEN 1 ELSE 2 END) = 1"""
+SQL["segment_growth"] = """
+SELECT *, CAST(row_number() OVER (PARTITION BY ticker ORDER BY yoy DESC NULLS LAST, latest DESC, label)
+            AS INTEGER) AS growth_rank,
+       count(CASE WHEN yoy < 0 THEN 1 END) OVER (PARTITION BY ticker) AS declining
+FROM (SELECT l.ticker, l.label, p.period_end AS latest_period, p.filed_at, l.value AS latest,
+    CASE WHEN p.total <> 0 THEN l.value / p.total END AS share,
+    CASE WHEN l2.value <> 0 THEN l.value / l2.value - 1 END AS yoy,
+    CASE WHEN l4.value > 0 THEN
+      floor((pow(l.value / l4.value, 1::DOUBLE / 3) - 1) * 1e9 + 0.5) / 1e9 END AS cagr,
+    datediff('day', p.filed_at, DATE '2003-01-01') > 395 AS stale
+  FROM e_periods p JOIN e_growth_lines l ON l.ticker = p.ticker AND l.period_end = p.period_end
+  LEFT JOIN e_periods p2 ON p2.ticker = p.ticker AND p2.k = 2
+  LEFT JOIN e_growth_lines l2 ON l2.ticker = p.ticker AND l2.period_end = p2.period_end AND l2.label = l.label
+  LEFT JOIN e_periods p4 ON p4.ticker = p.ticker AND p4.k = 4
+  LEFT JOIN e_growth_lines l4 ON l4.ticker = p.ticker AND l4.period_end = p4.period_end AND l4.label = l.label
+  WHERE p.k = 1)"""
+SQL["segment_coverage"] = """
+SELECT w.ticker, count(DISTINCT c.period_end) AS periods, count(c.label) AS lines,
+  min(c.period_end) AS first_period, max(c.period_end) AS last_period,
+  coalesce(any_value(v.bad), 0) AS mismatched
+FROM b_watchlist w LEFT JOIN e_close c USING (ticker)
+LEFT JOIN (SELECT ticker, count(CASE WHEN abs(leaf_sum - target) / target * 100 > 1 THEN 1 END) AS bad
+           FROM e_verdict WHERE target IS NOT NULL GROUP BY 1) v ON v.ticker = w.ticker
+WHERE w.supported GROUP BY 1"""
+SQL["segment_violations"] = """
+SELECT ticker, label, period_end, value, 'scale' AS reason FROM e_close
+WHERE abs(value) > 0 AND (abs(value) < 1e6 OR abs(value) > 1e12)"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {k: compose(v) for k, v in SQL.items()}

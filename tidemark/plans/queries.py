@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions import scalars
-from tidemark.operators import asof, distribution, grid, ratios, reports, shares, state
+from tidemark.operators import (
+    asof, distribution, grid, ratios, reports, segments, shares, state)
 from tidemark.registry import FLOWS, SHARES, STOCKS
 from tidemark.sources import bridge
 
@@ -250,3 +251,159 @@ def restatements(spark, d):
 def group_summary(spark, d):
     groups = bridge.metric_groups(spark, d)
     return reports.group_summary(groups, bridge.group_metrics(spark, d), bridge.stock_groups(spark, d))
+
+
+# ---- hierarchical revenue tables -------------------------------------------------------
+def _report_lines(spark, d):
+    """Segment lines as members of a report: child and parent in either order by company."""
+    first = F.expr("cast(substr(ticker, 2) AS bigint) % 2 = 0")
+    member = (
+        F.when(F.col("label").isin("ECONOMY", "LARGE", "MEDIUM"),
+               F.when(first, F.concat("label", F.lit(" | GROUP_A")))
+               .otherwise(F.concat(F.lit("GROUP_A | "), "label")))
+        .otherwise(F.col("label")))
+    return bridge.segments(spark, d).select(
+        "ticker", F.concat_ws("/", "ticker", "filed_at").alias("report_id"), "row_idx",
+        "period_end", "value", member.alias("member"))
+
+
+def _flat_lines(spark, d):
+    """Segment lines without parents, so that totals must be found by value."""
+    return bridge.segments(spark, d).withColumn("report_id", F.concat_ws("/", "ticker", "filed_at"))
+
+
+def _stored(spark, d):
+    return segments.mark_subtotals(_flat_lines(spark, d))
+
+
+@query
+def parse_number(spark, d):
+    cell = F.expr("""CASE l_linenumber % 7
+        WHEN 0 THEN concat('$ ', cast(l_extendedprice AS decimal(12,2)))
+        WHEN 1 THEN concat('(', cast(l_extendedprice AS decimal(12,2)), ')')
+        WHEN 2 THEN concat(cast(l_discount AS decimal(4,2)), '%')
+        WHEN 3 THEN '—' WHEN 4 THEN concat('$ (', cast(l_quantity AS decimal(8,1)), ')')
+        WHEN 5 THEN concat(' ', cast(l_quantity AS int), ',', '000 ')
+        ELSE concat('-', cast(l_quantity AS int)) END""")
+    return bridge.table(spark, d, "lineitem").select(cell.alias("cell")).groupBy("cell").agg(
+        F.count(F.lit(1)).alias("n")).select("cell", "n", scalars.parse_number(F.col("cell")).alias("value"))
+
+
+@query
+def report_catalogue(spark, d):
+    names = F.expr("""concat(CASE p_size % 5 WHEN 0 THEN 'Disaggregation of Revenue'
+        WHEN 1 THEN 'Segment Information' WHEN 2 THEN 'Geographic Data - Segment Sales'
+        WHEN 3 THEN 'Leases' ELSE 'Revenue - By Region' END, ' - ', p_name,
+        CASE WHEN p_partkey % 4 = 0 THEN ' Narrative' ELSE '' END,
+        CASE p_partkey % 3 WHEN 0 THEN ' (Details)' WHEN 1 THEN ' (Detail)' ELSE ' (Tables)' END)""")
+    listing = bridge.table(spark, d, "part").select(
+        F.expr("p_partkey div 20").alias("filing_id"), F.col("p_partkey").alias("position"),
+        names.alias("short_name"))
+    return segments.report_catalogue(listing)
+
+
+@query
+def member_islands(spark, d):
+    return segments.member_islands(_report_rows(spark, d)).select(
+        "report_id", "row_idx", "label", "island", "member", "is_header")
+
+
+@query
+def member_lines(spark, d):
+    return segments.member_lines(_report_rows(spark, d), _report_periods(spark, d))
+
+
+@query
+def table_totals(spark, d):
+    return segments.table_totals(_report_rows(spark, d), _report_periods(spark, d))
+
+
+def _report_rows(spark, d):
+    """Each line as a header row, an operating income row and a sales row; boilerplate and a
+    total around them."""
+    row = lambda at, label, value: F.struct(
+        at.alias("row_idx"), label.alias("label"), F.array(value).alias("values"))
+    none, v, i = F.lit(None).cast("double"), F.col("value"), F.col("row_idx") * 10
+    first = F.col("row_idx") == F.lit(7)
+    rows = F.array(
+        row(i, F.col("label"), none),
+        row(i + 1, F.lit("Operating income"), v * 0.25),
+        row(i + 2, F.lit("Net sales"), v),
+        F.when(first, row(F.lit(0), F.lit("Revenue [Line Items]"), none)),
+        F.when(first, row(F.lit(1), F.lit("Total"), v * 3)),
+        F.when(first, row(F.lit(90), F.lit("Segment Reporting Information"), none)),
+        F.when(first, row(F.lit(91), F.lit("Revenues"), v * 4)))
+    return (_flat_lines(spark, d).select("report_id", F.explode(rows).alias("r"))
+            .where("r IS NOT NULL").select("report_id", "r.*"))
+
+
+def _report_periods(spark, d):
+    return _flat_lines(spark, d).groupBy("report_id").agg(
+        F.lit(1000.0).alias("scale"), F.array(F.max("period_end")).alias("periods"))
+
+
+@query
+def pipe_orientation(spark, d):
+    return segments.split_members(_report_lines(spark, d)).select(
+        "report_id", "period_end", "row_idx", "label", "parent", "value")
+
+
+@query
+def segment_dedup(spark, d):
+    # The part type without its level names several lines of a report alike.
+    lines = _flat_lines(spark, d).withColumn("label", F.expr("CASE WHEN row_idx % 2 = 0 THEN 'EVEN' ELSE 'ODD' END"))
+    return segments.segment_dedup(lines.select("report_id", "label", "period_end", "value", "row_idx"))
+
+
+@query
+def subtotal_parent(spark, d):
+    lines = segments.split_members(_report_lines(spark, d))
+    return segments.subtotal_parent(lines).select("report_id", "period_end", "label", "is_parent")
+
+
+@query
+def subtotal_run(spark, d):
+    return segments.subtotal_run(_flat_lines(spark, d)).select(
+        "ticker", "period_end", "label", "value", "is_subtotal")
+
+
+@query
+def range_match(spark, d):
+    periods = bridge.segments(spark, d).select("ticker", F.date_sub("period_end", 3).alias("period_end")).distinct()
+    return segments.range_match(periods, bridge.fundamentals(spark, d, ["revenue"]))
+
+
+@query
+def reconcile(spark, d):
+    return segments.reconcile(_stored(spark, d), bridge.fundamentals(spark, d, ["revenue"]))
+
+
+@query
+def first_reconciling(spark, d):
+    # Two candidates per filing: one without its first line, then the whole table.
+    marked = _stored(spark, d)
+    partial = marked.where("row_idx <> 1").withColumn("report_id", F.concat("report_id", F.lit("/a")))
+    whole = marked.withColumn("report_id", F.concat("report_id", F.lit("/b")))
+    both = partial.unionByName(whole)
+    candidates = both.select(
+        F.expr("substr(report_id, 1, length(report_id) - 2)").alias("filing_id"), "report_id",
+        F.expr("CASE WHEN report_id LIKE '%/a' THEN 1 ELSE 2 END").alias("candidate_rank")).distinct()
+    verdicts = segments.reconcile(both, bridge.fundamentals(spark, d, ["revenue"]))
+    return segments.first_reconciling(verdicts, candidates)
+
+
+@query
+def segment_growth(spark, d):
+    grown = segments.segment_growth(_stored(spark, d), F.expr("DATE'2003-01-01'"))
+    return grown.withColumn("cagr", scalars.half_up(F.col("cagr"), 1e9))
+
+
+@query
+def segment_coverage(spark, d):
+    return segments.segment_coverage(_stored(spark, d), bridge.watchlist(spark, d),
+                                     bridge.fundamentals(spark, d, ["revenue"]))
+
+
+@query
+def segment_violations(spark, d):
+    return segments.segment_violations(_stored(spark, d))
