@@ -317,7 +317,7 @@ capex_pct_revenue, fundamentals_filed_at FROM x_ratios"""
 
 SQL: dict[str, str] = {}
 SQL["prices_daily"] = "SELECT ticker, date, close, volume FROM b_prices"
-SQL["fact_rows"] = ("SELECT ticker, concept, period_start, period_end, duration_days, filed_at, "
+SQL["fundamentals"] = ("SELECT ticker, concept, period_start, period_end, duration_days, filed_at, "
                     "accession, form, unit, value FROM b_facts")
 SQL["filing_grid"] = "SELECT ticker, as_of FROM x_grid"
 SQL["visible_asof"] = "SELECT * FROM x_visible"
@@ -693,6 +693,336 @@ SQL["segment_violations"] = """
 SELECT ticker, label, period_end, value, 'scale' AS reason FROM e_close
 WHERE abs(value) > 0 AND (abs(value) < 1e6 OR abs(value) > 1e12)"""
 
+# ---- sources and normalisation ---------------------------------------------------------
+def _tag_rows() -> list[tuple]:
+    from tidemark.plans.queries import tag_choice
+    return tag_choice()
+
+
+_sk = "CAST(substr(ticker, 2) AS BIGINT)"
+CTES["n_choice"] = ("SELECT * FROM (VALUES " + _values(_tag_rows())
+                    + ") t(concept, is_foreign, copy, namespace, tag)")
+CTES["n_entries"] = f"""
+SELECT ticker, namespace, tag, CASE WHEN {_sk} % 10 = 3 THEN 'EUR' ELSE unit END AS unit,
+  CASE WHEN f.concept = 'buybacks' AND {_sk} % 8 = 3 THEN NULL
+       WHEN f.concept = 'dividends_paid' AND accession = 'Q-orig'
+       THEN CAST(period_start - 30 AS VARCHAR) ELSE CAST(period_start AS VARCHAR) END AS start_date,
+  CAST(period_end AS VARCHAR) AS end_date, value + copy AS val, accession AS accn,
+  CAST(year(period_end) AS INTEGER) AS fy,
+  CASE WHEN accession = 'FY' THEN 'FY' ELSE 'Q' || quarter(period_end) END AS fp, form,
+  CASE WHEN f.concept = 'capex' AND accession = 'FY' AND {_sk} % 10 = 1 THEN NULL
+       ELSE CAST(filed_at AS VARCHAR) END AS filed
+FROM b_facts f JOIN n_choice c ON c.concept = f.concept AND c.is_foreign = ({_sk} % 10 = 7)"""
+_all_tags = []
+for _c, (_k, _ns, _t, _t2) in registry.CONCEPTS.items():
+    for _p, (_n, _tag) in enumerate([(_ns, t) for t in _t] + [("ifrs-full", t) for t in _t2], 1):
+        _all_tags.append((_n, _tag, _c, _k, _p))
+CTES["n_tags"] = ("SELECT * FROM (VALUES " + _values(_all_tags)
+                  + ") t(namespace, tag, concept, kind, priority)")
+CTES["n_mapped"] = """
+SELECT e.*, t.concept, t.kind, t.priority,
+  CAST(datediff('day', CAST(start_date AS DATE), CAST(end_date AS DATE)) AS INTEGER) AS days
+FROM n_entries e JOIN n_tags t USING (namespace, tag)"""
+CTES["n_rows"] = """
+SELECT ticker, concept, CASE WHEN kind = 'duration' THEN CAST(start_date AS DATE) END AS period_start,
+  CAST(end_date AS DATE) AS period_end, CASE WHEN kind = 'duration' THEN days ELSE 0 END AS duration_days,
+  fy AS fiscal_year, fp AS fiscal_period, form, CAST(filed AS DATE) AS filed_at, accn AS accession,
+  unit, val AS value, priority
+FROM n_mapped WHERE filed IS NOT NULL AND (kind = 'instant' OR (start_date IS NOT NULL AND
+  (days BETWEEN 80 AND 100 OR days BETWEEN 170 AND 190 OR days BETWEEN 260 AND 285
+   OR days BETWEEN 340 AND 380)))"""
+CTES["n_facts"] = """
+SELECT * EXCLUDE (priority) FROM n_rows QUALIFY row_number() OVER (
+  PARTITION BY ticker, concept, period_end, accession, duration_days ORDER BY priority) = 1"""
+CTES["n_currency"] = f"""
+SELECT ticker, unit AS currency FROM (SELECT ticker, unit, count(*) AS n FROM n_facts
+  WHERE concept IN ({_in(registry.MONETARY)}) GROUP BY 1, 2)
+QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY n DESC, unit) = 1"""
+CTES["n_registry"] = ("SELECT * FROM (VALUES " + _values(
+    [(c, c in registry.OPTIONAL) for c in registry.CONCEPTS]) + ") t(concept, optional)")
+CTES["n_parts"] = ("SELECT * FROM (VALUES " + _values(
+    [(c, p) for c, ps in registry.DERIVABLE.items() for p in ps]) + ") t(concept, part)")
+CTES["n_coverage"] = """
+SELECT t.ticker, c.concept, count(f.value) AS n
+FROM (SELECT DISTINCT ticker FROM n_facts) t, n_registry c
+LEFT JOIN n_facts f ON f.ticker = t.ticker AND f.concept = c.concept GROUP BY 1, 2"""
+CTES["n_missing"] = """
+SELECT v.ticker, v.concept FROM n_coverage v JOIN n_registry r ON r.concept = v.concept
+WHERE n = 0 AND NOT optional AND NOT EXISTS (
+  SELECT 1 FROM n_parts p JOIN n_coverage o ON o.concept = p.part
+  WHERE p.concept = v.concept AND o.ticker = v.ticker AND o.n > 0)"""
+CTES["n_taxonomy"] = """
+SELECT ticker, taxonomy, taxonomy = 'ifrs-full' AS annual_only FROM (
+  SELECT ticker, CASE WHEN count(CASE WHEN namespace = 'us-gaap' THEN 1 END) > 0 THEN 'us-gaap'
+    WHEN count(CASE WHEN namespace = 'ifrs-full' THEN 1 END) > 0 THEN 'ifrs-full'
+    ELSE 'unknown' END AS taxonomy FROM n_entries GROUP BY 1)"""
+SQL["facts_flatten"] = "SELECT * FROM n_entries"
+SQL["ticker_registry"] = """
+SELECT upper(s_name) AS ticker, s_name AS name, CAST(o AS INTEGER) AS cik_order,
+  CASE WHEN s_suppkey % 4 = 0 AND o = 0 THEN s_suppkey + 1000000 ELSE s_suppkey END AS cik
+FROM supplier, range(2) r(o) WHERE o = 0 OR s_suppkey % 4 = 0"""
+SQL["price_history"] = """
+SELECT 'price' AS kind, ticker, date, close AS value FROM b_prices WHERE volume % 10 <> 0
+UNION ALL SELECT 'split', ticker, date, 2::DOUBLE FROM b_prices WHERE volume % 7 = 0
+UNION ALL SELECT 'dividend', ticker, date, 0.25::DOUBLE FROM b_prices WHERE volume % 5 = 0"""
+SQL["filings_topn"] = """
+SELECT ticker, 1 AS cik, 'FY' || strftime(period_end, '%Y%m%d') AS accession, filed_at AS filed,
+  period_end AS period FROM (SELECT DISTINCT ticker, filed_at, period_end FROM b_facts
+  WHERE concept = 'revenue' AND form = '10-K' AND year(filed_at) >= 1997)
+QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY filed_at DESC) <= 4"""
+SQL["report_scan"] = """
+SELECT report_id, CAST(row_number() OVER (PARTITION BY report_id ORDER BY row_idx) - 1 AS INTEGER) AS row_idx,
+  label, value, period_end
+FROM e_lines"""
+SQL["concept_map"] = """
+SELECT ticker, namespace, tag, concept, kind, priority, accn, end_date, val FROM n_mapped"""
+SQL["fact_rows"] = "SELECT * FROM n_rows"
+SQL["duration_bucket"] = """
+SELECT days, count(*) AS n, CASE WHEN days >= 80 AND days <= 100 THEN 'Q'
+  WHEN days >= 170 AND days <= 190 THEN 'H' WHEN days >= 260 AND days <= 285 THEN '9M'
+  WHEN days >= 340 AND days <= 380 THEN 'FY' END AS bucket
+FROM (SELECT CAST((l_orderkey * 7 + l_partkey) % 400 AS INTEGER) AS days FROM lineitem) GROUP BY 1"""
+SQL["fact_dedup"] = "SELECT * FROM n_facts"
+SQL["taxonomy"] = "SELECT * FROM n_taxonomy"
+SQL["unit_mode"] = "SELECT * FROM n_currency"
+SQL["concept_coverage"] = "SELECT * FROM n_coverage"
+SQL["concept_missing"] = "SELECT * FROM n_missing"
+SQL["support_gate"] = """
+SELECT ticker, currency, years, foreign_note IS NULL AS supported, foreign_note AS unsupported_reason,
+  concat_ws('; ', foreign_note, CASE WHEN annual_only THEN 'annual-only filer' END,
+    CASE WHEN years < 5 THEN 'short history' END, 'missing required concepts: ' || missing) AS warnings
+FROM (SELECT s.ticker, c.currency, s.years, t.annual_only, m.missing,
+    CASE WHEN c.currency <> 'USD' THEN 'reports in ' || c.currency || ', priced in USD; needs FX conversion'
+      || CASE WHEN t.annual_only THEN ' and an ADR ratio' ELSE '' END END AS foreign_note
+  FROM (SELECT ticker, datediff('day', min(period_end), max(period_end)) / 365.25::DOUBLE AS years
+        FROM n_facts GROUP BY 1) s
+  LEFT JOIN n_currency c USING (ticker) LEFT JOIN n_taxonomy t USING (ticker)
+  LEFT JOIN (SELECT ticker, string_agg(concept, ', ' ORDER BY concept) AS missing FROM n_missing GROUP BY 1) m
+    USING (ticker))"""
+SQL["quarantine"] = """
+SELECT ticker, tag, reason, count(*) AS n FROM (
+  SELECT e.ticker, e.tag, CASE WHEN t.kind IS NULL THEN 'unknown tag' WHEN filed IS NULL THEN 'missing filed'
+    WHEN t.kind = 'duration' AND start_date IS NULL THEN 'missing start'
+    WHEN t.kind = 'duration' AND NOT EXISTS (SELECT 1 FROM (VALUES (80, 100), (170, 190), (260, 285), (340, 380))
+      b(lo, hi) WHERE datediff('day', CAST(start_date AS DATE), CAST(end_date AS DATE)) BETWEEN lo AND hi)
+    THEN 'odd duration' END AS reason
+  FROM n_entries e LEFT JOIN n_tags t USING (namespace, tag)) WHERE reason IS NOT NULL GROUP BY 1, 2, 3"""
+
+# ---- sinks and incremental control -----------------------------------------------------
+CTES["k_update"] = """
+SELECT ticker, date, max(close) AS close, max(volume) AS volume FROM (
+  SELECT ticker, CASE WHEN day(date) > 25 THEN CAST(date + INTERVAL 120 MONTH AS DATE) ELSE date END AS date,
+         close * 2 AS close, volume
+  FROM b_prices WHERE CAST(substr(ticker, 2) AS BIGINT) % 3 = 0) GROUP BY 1, 2"""
+SQL["upsert_latest"] = """
+SELECT coalesce(u.ticker, p.ticker) AS ticker, coalesce(u.date, p.date) AS date,
+  CASE WHEN u.ticker IS NULL THEN p.close ELSE u.close END AS close,
+  CASE WHEN u.ticker IS NULL THEN p.volume ELSE u.volume END AS volume
+FROM b_prices p FULL JOIN k_update u ON u.ticker = p.ticker AND u.date = p.date"""
+SQL["insert_if_absent"] = """
+SELECT ticker, date, close, volume FROM b_prices
+UNION ALL SELECT u.* FROM k_update u WHERE NOT EXISTS (
+  SELECT 1 FROM b_prices p WHERE p.ticker = u.ticker AND p.date = u.date)"""
+SQL["remove_keys"] = """
+SELECT * FROM b_prices WHERE ticker NOT IN (SELECT ticker FROM b_watchlist WHERE NOT supported)"""
+
+
+def _mark(pw: str, fw: str) -> str:
+    return f"""
+SELECT ticker, max(date) AS session, count(date) AS n_prices, max(filed_at) AS filed_at FROM (
+  SELECT ticker, date, NULL AS filed_at FROM b_prices WHERE {pw}
+  UNION ALL SELECT ticker, NULL, filed_at FROM b_facts WHERE {fw}) GROUP BY 1"""
+
+
+CTES["k_before"] = _mark(f"{_sk} % 2 = 0 OR date < DATE '2001-06-01'",
+                         f"({_sk} % 3 = 0 OR filed_at < DATE '2002-01-01') AND {_sk} % 5 <> 4")
+CTES["k_after"] = _mark("true", "true")
+CTES["k_changes"] = """
+SELECT *, new_rows <> 0 OR new_session OR new_filing AS derive, new_filing AS segments FROM (
+  SELECT a.ticker, a.n_prices - coalesce(b.n_prices, 0) AS new_rows,
+    a.session IS DISTINCT FROM b.session AS new_session,
+    a.filed_at IS DISTINCT FROM b.filed_at AS new_filing
+  FROM k_after a LEFT JOIN k_before b USING (ticker))"""
+SQL["change_detect"] = "SELECT * FROM k_changes"
+SQL["run_audit"] = """
+SELECT TIMESTAMP '2003-01-01' AS finished_at, CASE WHEN failures > 0 THEN 'partial'
+    WHEN redo > 0 THEN 'ok' ELSE 'skipped' END AS status, tickers, new_price_rows, failures
+FROM (SELECT count(*) AS tickers, CAST(sum(new_rows) AS BIGINT) AS new_price_rows,
+        count(CASE WHEN derive THEN 1 END) AS redo,
+        (SELECT count(*) FROM b_watchlist WHERE NOT supported) AS failures FROM k_changes)"""
+SQL["assign_groups"] = f"""
+SELECT m.ticker, m.group_id, CAST(CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey % 5 + 1
+    ELSE w.default_group_id END AS INTEGER) AS default_group_id
+FROM (SELECT ticker, CAST(group_id AS INTEGER) AS group_id FROM b_stock_groups
+      UNION SELECT {TICKER.format('s_suppkey')}, CAST(s_suppkey % 5 + 1 AS INTEGER) FROM supplier WHERE s_suppkey % 2 = 0
+      UNION SELECT {TICKER.format('s_suppkey')}, 10 FROM supplier WHERE s_suppkey % 2 = 0) m
+JOIN b_watchlist w USING (ticker) JOIN supplier ON s_suppkey = w.cik"""
+
+# ---- rules -----------------------------------------------------------------------------
+def _rule_rows() -> list[tuple]:
+    from tidemark.plans.queries import RULES
+    return RULES
+
+
+CTES["r_rules"] = ("SELECT rule_id, name, scope, scope_ref, metric_key, condition, "
+                   "CAST(threshold AS DOUBLE) AS threshold FROM (VALUES " + _values(_rule_rows())
+                   + ") t(rule_id, name, scope, scope_ref, metric_key, condition, threshold)")
+CTES["r_scoped"] = """
+SELECT r.*, w.ticker FROM r_rules r JOIN b_watchlist w ON r.scope = 'all' AND w.supported
+UNION ALL SELECT r.*, g.ticker FROM r_rules r
+  JOIN b_stock_groups g ON r.scope = 'group' AND CAST(g.group_id AS VARCHAR) = r.scope_ref
+  JOIN b_watchlist w ON w.ticker = g.ticker AND w.supported
+UNION ALL SELECT r.*, upper(scope_ref) FROM r_rules r WHERE scope = 'ticker' AND scope_ref IS NOT NULL"""
+CTES["r_pairs"] = """
+SELECT s.rule_id, s.ticker, s.condition, s.threshold,
+  CASE WHEN s.metric_key = '__primary__' THEN g.primary_multiple ELSE m.metric_key END AS metric_key
+FROM r_scoped s LEFT JOIN b_watchlist w USING (ticker)
+LEFT JOIN b_metric_groups g ON g.group_id = w.default_group_id
+LEFT JOIN m_metrics m ON m.metric_key = s.metric_key"""
+CTES["r_all"] = """
+SELECT p.*, r.date AS session, r.fundamentals_filed_at AS marker, l.value AS v
+FROM r_pairs p JOIN x_ratios r ON r.ticker = p.ticker
+LEFT JOIN x_long l ON l.ticker = p.ticker AND l.date = r.date AND l.metric_key = p.metric_key"""
+CTES["r_wanted"] = """
+SELECT DISTINCT ticker, metric_key FROM r_pairs WHERE condition LIKE 'percentile%'"""
+CTES["r_pct"] = """
+SELECT a.ticker, a.metric_key, a.date, count(*) AS n,
+  count(CASE WHEN h.value <= a.value THEN 1 END) / count(*) * 100 AS pct
+FROM r_wanted w JOIN x_long a ON a.ticker = w.ticker AND a.metric_key = w.metric_key
+JOIN x_long h ON h.ticker = a.ticker AND h.metric_key = a.metric_key
+ AND h.date BETWEEN a.date - 3652 AND a.date
+GROUP BY 1, 2, 3"""
+CTES["r_sessions"] = """
+SELECT a.rule_id, a.ticker, a.session, a.condition, a.threshold, a.metric_key, a.v AS value,
+  CASE WHEN condition LIKE 'percentile%' THEN p.pct END AS percentile, a.marker,
+  coalesce(CASE condition WHEN 'value_below' THEN v < threshold WHEN 'value_above' THEN v > threshold
+    WHEN 'percentile_below' THEN p.n >= 100 AND p.pct < threshold
+    WHEN 'percentile_above' THEN p.n >= 100 AND p.pct > threshold END, false) AS holds
+FROM r_all a LEFT JOIN r_pct p
+  ON p.ticker = a.ticker AND p.metric_key = a.metric_key AND p.date = a.session"""
+CTES["r_numbered"] = """
+SELECT *, row_number() OVER (PARTITION BY rule_id, ticker ORDER BY session) AS k FROM r_sessions"""
+CTES["r_judged"] = """
+SELECT s.* EXCLUDE (holds), CASE WHEN s.condition = 'new_filing'
+    THEN b.k IS NOT NULL AND s.marker IS NOT NULL AND s.marker IS DISTINCT FROM b.marker
+    ELSE s.holds END AS holds
+FROM r_numbered s LEFT JOIN r_numbered b ON b.rule_id = s.rule_id AND b.ticker = s.ticker AND b.k = s.k - 1"""
+CTES["r_events"] = """
+SELECT s.rule_id, s.ticker, s.session AS trigger_date, s.condition, s.threshold, s.metric_key,
+  CASE WHEN s.condition <> 'new_filing' THEN s.value END AS value, s.percentile
+FROM r_judged s LEFT JOIN r_judged b ON b.rule_id = s.rule_id AND b.ticker = s.ticker AND b.k = s.k - 1
+WHERE s.holds AND NOT coalesce(b.holds, false)"""
+
+
+def _fmt(v: str) -> str:
+    one = lambda x: f"printf('%.1f', floor({x} * 10 + 0.5) / 10)"
+    big = (f"CASE WHEN abs({v}) >= 1e12 THEN {one(f'({v} / 1e12)')} || 'T' "
+           f"WHEN abs({v}) >= 1e9 THEN {one(f'({v} / 1e9)')} || 'B' "
+           f"WHEN abs({v}) >= 1e6 THEN {one(f'({v} / 1e6)')} || 'M' "
+           f"ELSE format('{{:,}}', CAST(floor({v} + 0.5) AS BIGINT)) END")
+    return (f"CASE WHEN {v} IS NULL THEN '—' WHEN fmt = 'percent' THEN {one(f'({v} * 100)')} || '%' "
+            f"WHEN fmt = 'multiple' THEN {one(v)} || 'x' "
+            f"WHEN fmt = 'days' THEN CAST(CAST(floor({v} + 0.5) AS BIGINT) AS VARCHAR) || 'd' "
+            f"WHEN fmt IN ('currency', 'number') THEN {big} "
+            f"ELSE printf('%.2f', floor({v} * 100 + 0.5) / 100) END")
+
+
+SQL["rule_pairs"] = "SELECT * FROM r_pairs"
+SQL["rule_holds"] = """
+SELECT s.rule_id, s.ticker, s.session, s.condition, s.threshold, s.metric_key,
+  CASE WHEN s.condition <> 'new_filing' THEN s.value END AS value, s.percentile, s.marker, s.holds
+FROM r_sessions s JOIN x_newest m ON m.ticker = s.ticker AND m.newest = s.session"""
+SQL["trailing_percentile"] = """
+SELECT a.ticker, a.date, a.ev_sales, count(CASE WHEN h.ev_sales <= a.ev_sales THEN 1 END) / count(*) * 100 AS percentile,
+  count(*) >= 100 AS sufficient
+FROM x_ratios a JOIN x_ratios h ON h.ticker = a.ticker AND h.date BETWEEN a.date - 3652 AND a.date
+WHERE a.ev_sales IS NOT NULL AND h.ev_sales IS NOT NULL GROUP BY 1, 2, 3"""
+SQL["edge_trigger"] = "SELECT * FROM r_events"
+SQL["new_filing"] = """
+SELECT ticker, date AS session, fundamentals_filed_at AS marker FROM x_ratios
+QUALIFY row_number() OVER w > 1 AND fundamentals_filed_at IS NOT NULL
+  AND lag(fundamentals_filed_at) OVER w IS DISTINCT FROM fundamentals_filed_at
+WINDOW w AS (PARTITION BY ticker ORDER BY date)"""
+SQL["event_text"] = f"""
+SELECT rule_id, ticker, trigger_date, metric_key, value, percentile,
+  CASE WHEN condition = 'new_filing' THEN ticker || ' filed new financials'
+    WHEN condition LIKE 'percentile%' THEN ticker || ' ' || label || ' ' || {_fmt('value')} || ' — '
+      || printf('%.1f', floor(percentile * 10 + 0.5) / 10) || ' percentile of its own history (rule: '
+      || CASE WHEN condition LIKE '%below' THEN 'below ' ELSE 'above ' END
+      || CAST(CAST(floor(threshold + 0.5) AS BIGINT) AS VARCHAR) || ')'
+    ELSE ticker || ' ' || label || ' ' || {_fmt('value')} || ' (rule: '
+      || CASE WHEN condition LIKE '%below' THEN 'below ' ELSE 'above ' END || {_fmt('threshold')} || ')' END AS detail
+FROM r_events LEFT JOIN m_metrics USING (metric_key)"""
+SQL["rule_validation"] = """
+WITH c AS (SELECT o_orderkey AS rule_id,
+    CASE WHEN o_orderkey % 50 = 0 THEN '' ELSE 'rule ' || o_custkey || ' ' || (o_orderkey % 5) END AS name,
+    CASE o_orderkey % 4 WHEN 0 THEN 'all' WHEN 1 THEN 'group' WHEN 2 THEN 'ticker' ELSE 'some' END AS scope,
+    o_orderkey % 3 = 0 AS has_ref, o_orderkey % 6 = 5 AS bad_metric,
+    CASE o_orderkey % 7 WHEN 0 THEN 'new_filing' WHEN 1 THEN 'percentile_below' WHEN 2 THEN 'percentile_above'
+      WHEN 3 THEN 'value_below' WHEN 4 THEN 'value_above' WHEN 5 THEN 'value_equal' ELSE 'percentile_below' END AS condition,
+    CASE WHEN o_orderkey % 8 > 1 THEN o_orderkey % 130 END AS threshold FROM orders)
+SELECT rule_id, name, scope, condition, concat_ws('; ',
+  CASE WHEN name = '' THEN 'no name' END, CASE WHEN scope = 'some' THEN 'invalid scope' END,
+  CASE WHEN scope <> 'all' AND NOT has_ref THEN 'no scope reference' END,
+  CASE WHEN condition = 'value_equal' THEN 'invalid condition' END,
+  CASE WHEN bad_metric THEN 'unknown metric' END,
+  CASE WHEN condition <> 'new_filing' AND threshold IS NULL THEN 'threshold is not a number' END,
+  CASE WHEN condition LIKE 'percentile%' AND threshold > 100 THEN 'percentile out of range' END,
+  CASE WHEN name <> '' AND EXISTS (SELECT 1 FROM c o WHERE o.name = c.name AND o.rule_id < c.rule_id)
+       THEN 'name already exists' END) AS errors
+FROM c"""
+_events = f"""
+SELECT event_id, CAST(event_id % 8 + 1 AS INTEGER) AS rule_id, {TICKER.format('user_id')} AS ticker,
+  CAST(ts AS DATE) AS trigger_date FROM events WHERE event_type NOT IN ('view', 'click')"""
+SQL["open_events"] = f"""
+SELECT event_id, rule_id, name AS rule_name, ticker, trigger_date FROM ({_events}) JOIN r_rules USING (rule_id)
+ORDER BY trigger_date DESC, event_id DESC LIMIT 50"""
+SQL["rule_listing"] = f"""
+SELECT r.rule_id, r.name, r.scope, CASE r.scope WHEN 'all' THEN 'All stocks'
+    WHEN 'group' THEN coalesce((SELECT g.name FROM b_metric_groups g WHERE CAST(g.group_id AS VARCHAR) = r.scope_ref),
+                               'Group ' || r.scope_ref) ELSE r.scope_ref END AS scope_label,
+  r.metric_key, r.condition, r.threshold,
+  (SELECT count(*) FROM ({_events}) e WHERE e.rule_id = r.rule_id) AS open_count
+FROM r_rules r"""
+
+# ---- checks ----------------------------------------------------------------------------
+SQL["check_lookahead"] = """
+SELECT ticker, date, fundamentals_filed_at FROM x_ratios WHERE fundamentals_filed_at > date"""
+SQL["check_step"] = """
+SELECT ticker, date, was, revenue_ttm FROM (
+  SELECT ticker, date, revenue_ttm, fundamentals_filed_at AS f, lag(revenue_ttm) OVER w AS was,
+         lag(fundamentals_filed_at) OVER w AS fw
+  FROM x_ratios WHERE revenue_ttm IS NOT NULL WINDOW w AS (PARTITION BY ticker ORDER BY date))
+WHERE revenue_ttm <> was AND f IS NOT DISTINCT FROM fw"""
+SQL["check_identities"] = """
+SELECT * FROM (SELECT ticker, date, concat_ws(', ',
+  CASE WHEN earnings_yield > 0 AND abs(pe_ttm - 1 / earnings_yield) > abs(1 / earnings_yield) * 1e-6 THEN 'reciprocal' END,
+  CASE WHEN abs(enterprise_value - (market_cap + net_debt)) > abs(market_cap + net_debt) * 1e-9 THEN 'enterprise value' END)
+  AS broken FROM x_ratios) WHERE broken <> ''"""
+SQL["check_negative"] = """
+SELECT ticker, date, metric_key, value FROM x_long
+WHERE value < 0 AND metric_key IN ('pe_ttm', 'ev_ebitda', 'ev_sales', 'ps_ttm', 'ev_fcf')"""
+SQL["check_bounds"] = """
+SELECT * FROM (SELECT ticker, date, gross_margin * 2.9::DOUBLE AS gross_margin, operating_margin FROM x_ratios)
+WHERE gross_margin > 1 OR gross_margin < -1 OR operating_margin > 1 OR operating_margin < -5"""
+SQL["check_cliffs"] = """
+SELECT * FROM (SELECT ticker, date, market_cap / lag(market_cap) OVER (PARTITION BY ticker ORDER BY date) AS ratio
+  FROM x_ratios WHERE market_cap IS NOT NULL) WHERE ratio <= 0.5 OR ratio >= 2"""
+SQL["check_freshness"] = """
+SELECT ticker, newest AS last FROM x_newest WHERE newest < DATE '2001-11-01'"""
+SQL["check_restated_shares"] = """
+SELECT ticker, concept, period_end, original, restated FROM (
+  SELECT v.ticker, v.concept, v.period_end, a.value * fa.factor AS original, b.value * fb.factor AS restated
+  FROM (SELECT ticker, concept, period_end, min(filed_at) AS lo, max(filed_at) AS hi FROM b_facts
+        WHERE concept = 'shares_diluted' AND duration_days BETWEEN 80 AND 100 GROUP BY 1, 2, 3) v
+  JOIN b_facts a ON a.ticker = v.ticker AND a.concept = v.concept AND a.period_end = v.period_end
+   AND a.filed_at = v.lo AND a.duration_days BETWEEN 80 AND 100
+  JOIN b_facts b ON b.ticker = v.ticker AND b.concept = v.concept AND b.period_end = v.period_end
+   AND b.filed_at = v.hi AND b.duration_days BETWEEN 80 AND 100
+  JOIN x_factor fa ON fa.ticker = v.ticker AND fa.filed_at = v.lo
+  JOIN x_factor fb ON fb.ticker = v.ticker AND fb.filed_at = v.hi WHERE v.lo < v.hi)
+WHERE abs(original - restated) > abs(restated) * 1e-4"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {k: compose(v) for k, v in SQL.items()}

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions import scalars
 from tidemark.operators import (
-    asof, distribution, grid, ratios, reports, segments, shares, state)
+    asof, checks, distribution, grid, incremental, normalize, ratios, reports, rules, segments,
+    shares, state)
+from tidemark import registry
 from tidemark.registry import FLOWS, SHARES, STOCKS
-from tidemark.sources import bridge
+from tidemark.sources import bridge, facts, html_reports, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -37,7 +39,7 @@ def prices_daily(spark, d):
 
 
 @query
-def fact_rows(spark, d):
+def fundamentals(spark, d):
     return bridge.fundamentals(spark, d)
 
 
@@ -48,8 +50,8 @@ def filing_grid(spark, d):
 
 @query
 def visible_asof(spark, d):
-    facts = bridge.fundamentals(spark, d)
-    return asof.visible_asof(facts, state.filing_grid(facts))
+    filed = bridge.fundamentals(spark, d)
+    return asof.visible_asof(filed, state.filing_grid(filed))
 
 
 @query
@@ -64,8 +66,8 @@ def latest_instant(spark, d):
 
 @query
 def split_factor(spark, d):
-    facts = bridge.fundamentals(spark, d, ["shares_outstanding"])
-    return shares.split_factor(facts, bridge.splits(spark, d)).select(
+    filed = bridge.fundamentals(spark, d, ["shares_outstanding"])
+    return shares.split_factor(filed, bridge.splits(spark, d)).select(
         "ticker", "concept", "period_end", "filed_at", "accession",
         (F.col("value") * F.col("factor")).alias("value"))
 
@@ -407,3 +409,362 @@ def segment_coverage(spark, d):
 @query
 def segment_violations(spark, d):
     return segments.segment_violations(_stored(spark, d))
+
+
+# ---- sources and normalisation ---------------------------------------------------------
+def tag_choice() -> list[tuple]:
+    """(concept, foreign, copy, namespace, tag): two competing tags per concept where it has
+    two, and one tag no concept knows."""
+    rows = [("revenue", False, 2, "us-gaap", "CustomRevenueTag")]
+    for c, (_kind, ns, tags, second) in registry.CONCEPTS.items():
+        rows += [(c, False, i, ns, t) for i, t in enumerate(tags[:2])]
+        rows += [(c, True, i, registry.SECOND_NAMESPACE, t) for i, t in enumerate(second[:2])]
+    return rows
+
+
+def _entries(spark, d):
+    """Facts as raw reported entries, some of them unusable, under competing tags."""
+    choice = registry.literal_rows(
+        spark, tag_choice(), "concept string, foreign boolean, copy int, namespace string, tag string")
+    sk = "cast(substr(ticker, 2) AS bigint)"
+    return (
+        bridge.fundamentals(spark, d).withColumn("foreign", F.expr(f"{sk} % 10 = 7"))
+        .join(choice, ["concept", "foreign"])
+        .select(
+            "ticker", "namespace", "tag",
+            F.expr(f"CASE WHEN {sk} % 10 = 3 THEN 'EUR' ELSE unit END").alias("unit"),
+            F.expr(f"""CASE WHEN concept = 'buybacks' AND {sk} % 8 = 3 THEN NULL
+                   WHEN concept = 'dividends_paid' AND accession = 'Q-orig'
+                   THEN cast(date_sub(period_start, 30) AS string)
+                   ELSE cast(period_start AS string) END""").alias("start"),
+            F.col("period_end").cast("string").alias("end"),
+            (F.col("value") + F.col("copy")).alias("val"), F.col("accession").alias("accn"),
+            F.year("period_end").alias("fy"),
+            F.expr("CASE WHEN accession = 'FY' THEN 'FY' ELSE concat('Q', quarter(period_end)) END")
+            .alias("fp"), "form",
+            F.expr(f"CASE WHEN concept = 'capex' AND accession = 'FY' AND {sk} % 10 = 1 THEN NULL "
+                   "ELSE cast(filed_at AS string) END").alias("filed"))
+    )
+
+
+def _tags(spark):
+    return registry.concept_tags(spark)
+
+
+def _normal(spark, d):
+    return normalize.normalize(_entries(spark, d), _tags(spark))
+
+
+@query
+def facts_flatten(spark, d):
+    # Nest each tag's entries into its payload text, then read that back as a source does.
+    entry = F.struct("start", "end", "val", "accn", "fy", "fp", "form", "filed")
+    tags = _entries(spark, d).groupBy("ticker", "namespace", "tag", "unit").agg(
+        F.collect_list(entry).alias("entries"))
+    units = F.struct(F.lit(None).cast("string").alias("label"),
+                     F.create_map("unit", "entries").alias("units"))
+    body = F.to_json(F.struct(F.create_map(
+        "namespace", F.create_map("tag", units)).alias("facts")))
+    flat = facts.flatten_facts(facts.parse_company_facts(tags.select("ticker", body.alias("body"))))
+    return (flat.drop("source_pos").withColumnRenamed("start", "start_date")
+            .withColumnRenamed("end", "end_date"))
+
+
+@query
+def ticker_registry(spark, d):
+    # One registry document per company: its ticker and its keys, some with a predecessor.
+    doc = bridge.table(spark, d, "supplier").select(F.expr(
+        "to_json(map(cast(s_suppkey AS string), named_struct('cik_str', s_suppkey, 'ticker', "
+        "lower(s_name), 'title', s_name)))").alias("body"))
+    moved = bridge.table(spark, d, "supplier").where("s_suppkey % 4 = 0").select(
+        F.upper("s_name").alias("ticker"), F.expr("array(s_suppkey + 1000000, s_suppkey)").alias("ciks"))
+    return facts.resolve_ciks(facts.parse_registry(doc), moved)
+
+
+@query
+def price_history(spark, d):
+    nan = F.lit(float("nan"))
+    history = bridge.prices(spark, d).select(
+        "ticker", "date", "volume",
+        F.when(F.col("volume") % 10 == 0, nan).otherwise(F.col("close")).alias("close"),
+        F.when(F.col("volume") % 7 == 0, 2.0).when(F.col("volume") % 7 == 1, nan).otherwise(0.0).alias("split"),
+        F.when(F.col("volume") % 5 == 0, 0.25).otherwise(0.0).alias("dividend"))
+    p, s, v = facts.price_tables(history)
+    kind = lambda df, k, c: df.select(F.lit(k).alias("kind"), "ticker", "date", F.col(c).alias("value"))
+    return kind(p, "price", "close").unionByName(kind(s, "split", "ratio")).unionByName(
+        kind(v, "dividend", "amount"))
+
+
+@query
+def filings_topn(spark, d):
+    filed = bridge.fundamentals(spark, d, ["revenue"]).select(
+        "ticker", "form", "accession", "filed_at", "period_end").distinct()
+    index = filed.groupBy("ticker").agg(F.collect_list(F.struct(
+        "form", F.concat_ws("-", "accession", "period_end").alias("a"), "filed_at", "period_end")).alias("f")).select(
+        "ticker", F.lit(1).alias("cik"), F.col("f.form").alias("form"), F.col("f.a").alias("accessionNumber"),
+        F.col("f.filed_at").alias("filingDate"), F.col("f.period_end").alias("reportDate"))
+    return facts.annual_filings(index, F.expr("DATE'2003-06-30'"), years=6, newest=4)
+
+
+@query
+def report_scan(spark, d):
+    # Reports rendered as HTML by Spark, one document per filing, then scanned back.
+    cell = F.concat(F.lit("<tr><td>"), "label", F.lit("</td><td>$ "),
+                    F.format_number(F.col("value"), 4), F.lit("</td></tr>"))
+    docs = _flat_lines(spark, d).groupBy("report_id", "period_end").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("row_idx", cell.alias("c")))), lambda x: x["c"]), "").alias("body"))
+    html = F.concat(F.lit("<table><tr><th>Revenue - USD ($) $ in Thousands</th><th>"),
+                    F.date_format("period_end", "MMM dd, yyyy"), F.lit("</th></tr>"), "body", F.lit("</table>"))
+    rows = html_reports.report_rows(docs.select("report_id", html.alias("html")))
+    return rows.select("report_id", "row_idx", "label",
+                       scalars.parse_number(F.col("cells")[0]).alias("value"),
+                       F.col("periods")[0].alias("period_end"))
+
+
+@query
+def concept_map(spark, d):
+    return normalize.concept_map(_entries(spark, d), _tags(spark)).select(
+        "ticker", "namespace", "tag", "concept", "kind", "priority", "accn",
+        F.col("end").alias("end_date"), "val")
+
+
+@query
+def fact_rows(spark, d):
+    return normalize.fact_rows(normalize.concept_map(_entries(spark, d), _tags(spark)))
+
+
+@query
+def duration_bucket(spark, d):
+    days = F.expr("cast((l_orderkey * 7 + l_partkey) % 400 AS int)")
+    return (bridge.table(spark, d, "lineitem").groupBy(days.alias("days"))
+            .agg(F.count(F.lit(1)).alias("n"))
+            .withColumn("bucket", scalars.duration_bucket(F.col("days"))))
+
+
+@query
+def fact_dedup(spark, d):
+    return _normal(spark, d)
+
+
+@query
+def taxonomy(spark, d):
+    return normalize.taxonomy(_entries(spark, d))
+
+
+@query
+def unit_mode(spark, d):
+    return normalize.unit_mode(_normal(spark, d))
+
+
+@query
+def concept_coverage(spark, d):
+    return normalize.concept_coverage(_normal(spark, d))
+
+
+@query
+def concept_missing(spark, d):
+    return normalize.concept_missing(_normal(spark, d))
+
+
+@query
+def support_gate(spark, d):
+    return normalize.support_gate(_normal(spark, d), normalize.taxonomy(_entries(spark, d)))
+
+
+@query
+def quarantine(spark, d):
+    bad = normalize.quarantine(_entries(spark, d), _tags(spark))
+    return bad.groupBy("ticker", "tag", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- sinks and incremental control -----------------------------------------------------
+def _price_update(spark, d):
+    """Restated closes of a third of the companies, and sessions not stored before."""
+    p = bridge.prices(spark, d)
+    return p.where(F.expr("cast(substr(ticker, 2) AS bigint) % 3 = 0")).select(
+        "ticker", F.when(F.dayofmonth("date") > 25, F.add_months("date", 120)).otherwise(F.col("date")).alias("date"),
+        (F.col("close") * 2).alias("close"), "volume").groupBy("ticker", "date").agg(
+        F.max("close").alias("close"), F.max("volume").alias("volume"))
+
+
+@query
+def upsert_latest(spark, d):
+    return sinks.upsert(bridge.prices(spark, d), _price_update(spark, d), ["ticker", "date"])
+
+
+@query
+def insert_if_absent(spark, d):
+    return sinks.insert_if_absent(bridge.prices(spark, d), _price_update(spark, d), ["ticker", "date"])
+
+
+@query
+def remove_keys(spark, d):
+    gone = bridge.watchlist(spark, d).where("NOT supported")
+    return sinks.remove_keys(bridge.prices(spark, d), gone, ["ticker"])
+
+
+def _marks(spark, d):
+    p, f = bridge.prices(spark, d), bridge.fundamentals(spark, d)
+    sk = "cast(substr(ticker, 2) AS bigint)"
+    before = incremental.high_water_marks(
+        p.where(f"{sk} % 2 = 0 OR date < DATE'2001-06-01'"),
+        f.where(f"({sk} % 3 = 0 OR filed_at < DATE'2002-01-01') AND {sk} % 5 <> 4"))
+    return before, incremental.high_water_marks(p, f)
+
+
+@query
+def change_detect(spark, d):
+    return incremental.change_detect(*_marks(spark, d))
+
+
+@query
+def run_audit(spark, d):
+    failures = bridge.watchlist(spark, d).where("NOT supported")
+    return incremental.run_audit(incremental.change_detect(*_marks(spark, d)), failures,
+                                 F.expr("TIMESTAMP_NTZ'2003-01-01 00:00:00'"))
+
+
+@query
+def assign_groups(spark, d):
+    requests = bridge.table(spark, d, "supplier").where("s_suppkey % 2 = 0").select(
+        bridge.ticker_of("s_suppkey").alias("ticker"),
+        F.posexplode(F.expr("array(cast(s_suppkey % 5 + 1 AS int), 10)")).alias("position", "group_id"))
+    members, listed = incremental.assign_groups(
+        bridge.stock_groups(spark, d), requests, bridge.watchlist(spark, d))
+    return members.join(listed.select("ticker", "default_group_id"), "ticker")
+
+
+# ---- rules -----------------------------------------------------------------------------
+RULES = [
+    (i, name, scope, "3" if ref else None, metric, cond, threshold)
+    for i, (name, scope, ref, metric, cond, threshold) in enumerate(registry.DEFAULT_RULES, 1)
+] + [
+    (7, "One company", "ticker", "s0000000003", "ev_sales", "value_below", 400.0),
+    (8, "Unknown metric", "all", None, "no_such_metric", "value_below", 1.0),
+]
+RULE_DDL = ("rule_id int, name string, scope string, scope_ref string, metric_key string, "
+            "condition string, threshold double")
+RULE_METRICS = ["pe_ttm", "ev_sales", "ev_ebitda", "fcf_conversion", "net_debt_ebitda", "inventory_days"]
+RANKED_METRICS = ["pe_ttm", "ev_sales", "ev_ebitda", "inventory_days"]
+
+
+def _rules(spark):
+    return registry.literal_rows(spark, RULES, RULE_DDL)
+
+
+def _pairs(spark, d):
+    return rules.rule_pairs(_rules(spark), bridge.watchlist(spark, d), *_groups(spark, d))
+
+
+def _sessions(spark, d):
+    return rules.rule_sessions(_ratios(spark, d), _pairs(spark, d), RULE_METRICS, RANKED_METRICS)
+
+
+def _fired(spark, d):
+    """Recorded events of the stream table: a rule, a company, a day, seen or not."""
+    return bridge.table(spark, d, "events").select(
+        F.col("event_id"), F.expr("cast(event_id % 8 + 1 AS int)").alias("rule_id"),
+        bridge.ticker_of("user_id").alias("ticker"), F.to_date("ts").alias("trigger_date"),
+        F.expr("event_type IN ('view', 'click')").alias("acknowledged"))
+
+
+@query
+def rule_pairs(spark, d):
+    return _pairs(spark, d)
+
+
+@query
+def rule_holds(spark, d):
+    return rules.rule_holds(_ratios(spark, d), _pairs(spark, d))
+
+
+@query
+def trailing_percentile(spark, d):
+    rows = _ratios(spark, d).select("ticker", "date", "ev_sales").where("ev_sales IS NOT NULL")
+    ranked = rules.trailing_percentile(rows, ["ev_sales"])
+    return ranked.select("ticker", "date", "ev_sales", F.col("pct_ev_sales").alias("percentile"),
+                         (F.col("n_ev_sales") >= scalars.RULE_MIN_ROWS).alias("sufficient"))
+
+
+@query
+def edge_trigger(spark, d):
+    return rules.edge_trigger(_sessions(spark, d))
+
+
+@query
+def new_filing(spark, d):
+    return rules.new_filing(_ratios(spark, d).select(
+        "ticker", F.col("date").alias("session"), F.col("fundamentals_filed_at").alias("marker")))
+
+
+@query
+def event_text(spark, d):
+    return rules.event_text(rules.edge_trigger(_sessions(spark, d)), registry.metrics(spark))
+
+
+@query
+def rule_validation(spark, d):
+    rows = bridge.table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("rule_id"),
+        F.expr("CASE WHEN o_orderkey % 50 = 0 THEN ' ' ELSE concat('rule ', o_custkey, ' ', o_orderkey % 5) END").alias("name"),
+        F.expr("CASE o_orderkey % 4 WHEN 0 THEN 'all' WHEN 1 THEN 'group' WHEN 2 THEN 'ticker' ELSE 'some' END").alias("scope"),
+        F.expr("CASE WHEN o_orderkey % 3 = 0 THEN '5' END").alias("scope_ref"),
+        F.expr("CASE WHEN o_orderkey % 6 = 5 THEN 'close' WHEN o_orderkey % 6 = 4 THEN '__primary__' ELSE 'pe_ttm' END").alias("metric_key"),
+        F.expr("CASE o_orderkey % 7 WHEN 0 THEN 'new_filing' WHEN 1 THEN 'percentile_below' WHEN 2 THEN 'percentile_above' "
+               "WHEN 3 THEN 'value_below' WHEN 4 THEN 'value_above' WHEN 5 THEN 'value_equal' ELSE 'percentile_below' END").alias("condition"),
+        F.expr("CASE o_orderkey % 8 WHEN 0 THEN '' WHEN 1 THEN 'abc' ELSE cast(cast(o_orderkey % 130 AS int) AS string) END").alias("threshold"))
+    return rules.rule_validation(rows, _rules(spark))
+
+
+@query
+def open_events(spark, d):
+    return rules.open_events(_fired(spark, d), _rules(spark))
+
+
+@query
+def rule_listing(spark, d):
+    return rules.rule_listing(_rules(spark), _fired(spark, d), bridge.metric_groups(spark, d))
+
+
+# ---- checks ----------------------------------------------------------------------------
+@query
+def check_lookahead(spark, d):
+    return checks.check_lookahead(_ratios(spark, d))
+
+
+@query
+def check_step(spark, d):
+    return checks.check_step(_ratios(spark, d))
+
+
+@query
+def check_identities(spark, d):
+    return checks.check_identities(_ratios(spark, d))
+
+
+@query
+def check_negative(spark, d):
+    return checks.check_negative(_ratios(spark, d))
+
+
+@query
+def check_bounds(spark, d):
+    # Bounds as they are on ratios of sales taken twice, so that some rows break them.
+    rows = _ratios(spark, d).withColumn("gross_margin", F.col("gross_margin") * 2.9)
+    return checks.check_bounds(rows)
+
+
+@query
+def check_cliffs(spark, d):
+    return checks.check_cliffs(_ratios(spark, d))
+
+
+@query
+def check_freshness(spark, d):
+    return checks.check_freshness(_ratios(spark, d), F.expr("DATE'2001-11-01'"))
+
+
+@query
+def check_restated_shares(spark, d):
+    filed = bridge.fundamentals(spark, d, ["shares_diluted"]).where("duration_days BETWEEN 80 AND 100")
+    return checks.check_restated_shares(filed, bridge.splits(spark, d))
