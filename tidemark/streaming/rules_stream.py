@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidemark.operators.asof import latest_by
 from tidemark.operators.rules import FILING
 from tidemark.sources.sinks import upsert_by_key
 
@@ -59,13 +60,13 @@ def edge_events(sessions: DataFrame) -> DataFrame:
 
 
 def refresh_table(feed: DataFrame, path: str, staging: str, checkpoint: str,
-                  keys: list[str]) -> StreamingQuery:
+                  keys: list[str], order: list[str]) -> StreamingQuery:
     """Upsert everything that has arrived into a key-bucketed table, then stop.
 
-    A repeated micro-batch rewrites the same rows, so a retry after a failure is harmless.
+    Of several rows for a key in one micro-batch the greatest in `order` counts. A repeated micro-batch rewrites the same rows, so a retry after a failure is harmless.
     """
     def write(batch: DataFrame, epoch: int) -> None:
-        newest = batch.dropDuplicates(keys)
+        newest = latest_by(batch, keys, order).select(*batch.columns)
         upsert_by_key(newest, path, f"{staging}/epoch={epoch}", keys)
 
     return (feed.writeStream.foreachBatch(write).trigger(availableNow=True)
