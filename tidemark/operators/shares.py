@@ -16,7 +16,7 @@ def splits_by_ticker(splits: DataFrame) -> DataFrame:
     """(ticker, splits): date-ordered array; one entry per calendar day at most."""
     daily = splits.groupBy("ticker", "date").agg(F.max("ratio").alias("ratio"))
     return daily.groupBy("ticker").agg(
-        F.array_sort(F.collect_list(F.struct("date", "ratio"))).alias("splits"))
+        F.sort_array(F.collect_list(F.struct("date", "ratio"))).alias("splits"))
 
 
 def factor_after(splits: Column, filed_at: Column) -> Column:
@@ -44,7 +44,7 @@ def pick_shares(candidates: list[Column], reference: Column) -> Column:
     usable = [_plausible(c) for c in candidates]
     anchored = [F.when((v / reference).between(1 / DRIFT, DRIFT), v) for v in usable]
     # Three sources and no anchor: the middle one decides, within a hundredfold band.
-    middle = F.element_at(F.array_sort(F.array(*usable)), 2)
+    middle = F.element_at(F.sort_array(F.array(*usable)), 2)
     banded = [F.when(v.between(middle / NO_ANCHOR_BAND, middle * NO_ANCHOR_BAND), v)
               for v in usable]
     all_three = usable[0].isNotNull() & usable[1].isNotNull() & usable[2].isNotNull()
@@ -64,9 +64,7 @@ def reconcile_shares(states: DataFrame, key: str = "ticker", order: str = "as_of
     """
     payload = [c for c in states.columns if c not in (key, order)]
     history = states.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct(order, F.struct(*payload).alias("row"))),
-                     lambda a, b: F.when(a[order] < b[order], -1).when(a[order] > b[order], 1)
-                     .otherwise(0)).alias("h"))
+        F.sort_array(F.collect_list(F.struct(order, F.struct(*payload).alias("row")))).alias("h"))
     start = F.struct(F.lit(None).cast("double").alias("ref"),
                      F.array().cast("array<double>").alias("out"))
 

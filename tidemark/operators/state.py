@@ -51,72 +51,76 @@ def relevant_facts(facts: DataFrame) -> DataFrame:
         "duration_days", "filed_at", "accession", "value")
     # Copies and same-day versions collapse map-side; after this a company's rows are
     # limited by periods x filing dates, and one shuffle by ticker serves every later step.
+    # Hashes lead the sort keys: names share long prefixes, hashes differ in the first byte.
     keys = ["ticker", "concept", "kind", "period_end", "period_start", "duration_days"]
     versions = (
-        marked.groupBy(*keys, "filed_at").agg(F.min_by("value", "accession").alias("value"))
+        marked.groupBy(F.xxhash64("ticker", "concept", "period_end", "filed_at").alias("_h"), *keys, "filed_at")
+        .agg(F.min_by("value", "accession").alias("value")).drop("_h")
         .repartition(shuffle_width(facts), "ticker")
-        .withColumn("dates", F.array_sort(F.collect_set("filed_at").over(
-            Window.partitionBy("ticker"))))
-        .withColumn("valid_to", F.lead("filed_at").over(
-            Window.partitionBy(*keys).orderBy("filed_at")))
-    )
-    periods = versions.groupBy("ticker", "concept", "kind", "period_end").agg(
-        F.min("filed_at").alias("first_seen"), F.first("dates").alias("dates"),
-        F.collect_list(F.struct("filed_at", "valid_to", "period_start", "duration_days",
-                                "value")).alias("versions"))
-    later = Window.partitionBy("ticker", "concept", "kind").orderBy("period_end")
-    seen = [F.lead("first_seen", i).over(later) for i in range(1, 5)]
-    out_of_sight = F.when(
-        F.col("kind") == "Q", F.when(F.col("l4").isNotNull(), F.greatest("l1", "l2", "l3", "l4"))
-    ).otherwise(F.col("l1"))
-    periods = periods.select("*", *[c.alias(f"l{i}") for i, c in enumerate(seen, 1)])
-    return (
-        periods.withColumn("until", out_of_sight)
-        .select("ticker", "concept", "kind", "period_end", "versions", F.explode(F.filter(
-            "dates", lambda d: (d >= F.col("first_seen"))
-            & (F.col("until").isNull() | (d < F.col("until"))))).alias("as_of"))
-        .select("ticker", "as_of", "concept", "kind", "period_end", F.inline(F.filter(
-            "versions", lambda v: (v["filed_at"] <= F.col("as_of"))
-            & (v["valid_to"].isNull() | (F.col("as_of") < v["valid_to"])))))
-        .select("ticker", "as_of", "concept", "kind", "period_start", "period_end",
-                "duration_days", "filed_at", "value")
+        .withColumns({"_t": F.xxhash64("ticker"), "_k": F.xxhash64("ticker", "concept", "kind")})
     )
+    group = Window.partitionBy("_k", "ticker", "concept", "kind")
+    period = Window.partitionBy("_k", "ticker", "concept", "kind", "period_end")
+    one = Window.partitionBy("_k", *keys).orderBy("filed_at")
+    timed = versions.withColumns({
+        "valid_to": F.lead("filed_at").over(one),
+        "first_seen": F.min("filed_at").over(period),
+        "nth": F.dense_rank().over(group.orderBy("period_end")),
+    })
+    # A quarter is out of the last four once the next four period ends have all been seen.
+    ordered = group.orderBy("nth")
+    next_four = F.max("first_seen").over(ordered.rangeBetween(1, 4))
+    next_any = F.min("first_seen").over(ordered.rangeBetween(1, Window.unboundedFollowing))
+    periods = F.max("nth").over(group)
+    bounded = timed.withColumns({"next_four": next_four, "next_any": next_any, "periods": periods})
+    until = F.when(F.col("kind") != "Q", F.col("next_any")).when(
+        F.col("nth") + 4 <= F.col("periods"), F.col("next_four"))
+    # Both ends are filing dates of the ticker, so they are places in its list of dates.
+    start = F.array_position("dates", F.col("filed_at"))
+    end = F.coalesce(F.array_position("dates", F.col("end")), F.size("dates") + 1)
+    all_dates = F.sort_array(F.collect_set("filed_at").over(Window.partitionBy("_t", "ticker")))
+    placed = bounded.select(
+        "_t", *keys, "filed_at", "value", F.least("valid_to", until).alias("end")
+    ).withColumn("dates", all_dates).withColumns(
+        {"start_at": start.cast("int"), "end_at": end.cast("int")})
+    return placed.where("start_at < end_at").select(
+        "ticker", "concept", "kind", "period_start", "period_end", "duration_days", "filed_at", "value",
+        F.explode(F.slice("dates", F.col("start_at"), F.col("end_at") - F.col("start_at"))).alias("as_of"))
 
 
 def concept_values(facts: DataFrame) -> DataFrame:
     """(ticker, as_of, concept, value, filed_at): trailing twelve months for flows, latest
     balance for instants, latest quarter (else year) for diluted shares."""
-    rank = F.struct("period_end", "filed_at", "duration_days", "value", "period_start")
-    picked = relevant_facts(facts).groupBy("ticker", "as_of", "concept").agg(
-        F.slice(F.sort_array(F.collect_list(F.when(F.col("kind") == "Q", rank)), asc=False),
-                1, 4).alias("q"),
-        F.max(F.when(F.col("kind") == "A", rank)).alias("a"),
-        F.max(F.when(F.col("kind") == "I", rank)).alias("i"))
-    four = F.size("q") == 4
+    relevant = relevant_facts(facts).withColumn("_g", F.xxhash64("ticker", "as_of", "concept"))
+    # Quarters come first, newest first; one sort and one window serve every choice below.
+    group = Window.partitionBy("_g", "ticker", "as_of", "concept")
+    newest = group.orderBy(F.desc("kind"), F.desc("period_end"), F.desc("filed_at"),
+                           F.desc("duration_days"), F.desc("value"))
+    row = F.struct("kind", "period_start", "value", "filed_at")
+    year = F.when(F.col("kind") == "A", F.struct("value", "filed_at"))
+    heads = relevant.withColumns({
+        "rn": F.row_number().over(newest),
+        **{f"q{i}": F.lead(row, i).over(newest) for i in (1, 2, 3)},
+        "a": F.first(year, ignorenulls=True).over(
+            newest.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
+    }).where("rn = 1")
+    c = F.col
     # Oldest to newest, so the floating-point sum has one defined order.
-    q_sum = F.get("q", 3)["value"] + F.get("q", 2)["value"] + F.get("q", 1)["value"] \
-        + F.get("q", 0)["value"]
-    q_filed = F.array_max(F.transform("q", lambda x: x["filed_at"]))
-    picked = picked.withColumns({
-        "span": F.when(four, F.datediff(F.get("q", 0)["period_end"], F.get("q", 3)["period_start"])),
-        "q_sum": F.when(four, q_sum), "q_filed": q_filed})
-    exact, loose = F.col("span").between(*ANNUAL_DAYS), F.col("span").between(*LOOSE_YEAR_DAYS)
-
-    def ttm(q: str, a: str) -> Column:
-        return (F.when(exact, F.col(q)).when(F.col("a").isNotNull(), F.col(f"a.{a}"))
-                .when(loose, F.col(q)))
-
-    newest = F.get("q", 0)
-    diluted = F.col("concept") == "shares_diluted"
-    instant = F.col("i").isNotNull()
-    return picked.select(
-        "ticker", "as_of", "concept",
-        F.when(instant, F.col("i.value"))
-        .when(diluted, F.coalesce(newest["value"], F.col("a.value")))
-        .otherwise(ttm("q_sum", "value")).alias("value"),
-        F.when(instant, F.col("i.filed_at"))
-        .when(diluted, F.coalesce(newest["filed_at"], F.col("a.filed_at")))
-        .otherwise(ttm("q_filed", "filed_at")).alias("filed_at"))
+    q_sum = c("q3.value") + c("q2.value") + c("q1.value") + c("value")
+    q_filed = F.greatest("filed_at", "q1.filed_at", "q2.filed_at", "q3.filed_at")
+    four = (c("kind") == "Q") & (c("q3.kind") == "Q")
+    span = F.when(four, F.datediff("period_end", "q3.period_start"))
+    heads = heads.withColumns({"span": span, "q_sum": q_sum, "q_filed": q_filed})
+    exact, loose = c("span").between(*ANNUAL_DAYS), c("span").between(*LOOSE_YEAR_DAYS)
+    own = (c("kind") == "I") | (c("concept") == "shares_diluted")
+
+    def choose(single: str, quarters: str, annual: str) -> Column:
+        return (F.when(own, c(single)).when(exact, c(quarters))
+                .when(c("a").isNotNull(), c(annual)).when(loose, c(quarters)))
+
+    return heads.select("ticker", "as_of", "concept",
+                        choose("value", "q_sum", "a.value").alias("value"),
+                        choose("filed_at", "q_filed", "a.filed_at").alias("filed_at"))
 
 
 def filing_state(facts: DataFrame, splits: DataFrame) -> DataFrame:

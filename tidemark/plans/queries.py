@@ -512,7 +512,7 @@ def report_scan(spark, d):
     cell = F.concat(F.lit("<tr><td>"), "label", F.lit("</td><td>$ "),
                     F.format_number(F.col("value"), 4), F.lit("</td></tr>"))
     docs = _flat_lines(spark, d).groupBy("report_id", "period_end").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("row_idx", cell.alias("c")))), lambda x: x["c"]), "").alias("body"))
+        F.sort_array(F.collect_list(F.struct("row_idx", cell.alias("c")))), lambda x: x["c"]), "").alias("body"))
     html = F.concat(F.lit("<table><tr><th>Revenue - USD ($) $ in Thousands</th><th>"),
                     F.date_format("period_end", "MMM dd, yyyy"), F.lit("</th></tr>"), "body", F.lit("</table>"))
     rows = html_reports.report_rows(docs.select("report_id", html.alias("html")))

@@ -12,6 +12,8 @@ def local_session(cpus: int | str = 8, app: str = "tidemark", memory: str = "16g
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
+        # Local tables are a few megabytes: keep all cores busy instead of merging them away.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "16k")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

@@ -22,12 +22,17 @@ def ticker_of(key: str) -> Column:
     return F.concat(F.lit("S"), F.lpad(F.col(key).cast("string"), 10, "0"))
 
 
+def fixed(c: Column, scale: int) -> Column:
+    """Amount as a whole number of 1/scale, so that sums are exact in any order."""
+    return F.floor(c * scale + 0.5)
+
+
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ticker, date, close, volume): one row per company and session."""
     return (
         table(spark, sf_dir, "lineitem")
         .groupBy("l_suppkey", F.to_date("l_shipdate").alias("date"))
-        .agg(F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("cents"),
+        .agg(F.sum(fixed(F.col("l_extendedprice"), 100)).alias("cents"),
              F.sum(F.col("l_quantity").cast("long")).alias("volume"))
         .select(ticker_of("l_suppkey").alias("ticker"), "date",
                 (F.col("cents") / F.lit(100.0) / F.col("volume")).alias("close"), "volume")
@@ -43,11 +48,9 @@ def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.trunc(F.to_date("l_shipdate"), "QUARTER").alias("q_start"),
             (F.col("l_linestatus") == "F").alias("final"))
         .agg(
-            F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("c0"),
-            F.sum(F.round(F.col("l_extendedprice") * F.col("l_discount") * 10000)
-                  .cast("long")).alias("cd"),
-            F.sum(F.round(F.col("l_extendedprice") * F.col("l_tax") * 10000)
-                  .cast("long")).alias("ct"),
+            F.sum(fixed(F.col("l_extendedprice"), 100)).alias("c0"),
+            F.sum(fixed(F.col("l_extendedprice") * F.col("l_discount"), 10000)).alias("cd"),
+            F.sum(fixed(F.col("l_extendedprice") * F.col("l_tax"), 10000)).alias("ct"),
             F.sum(F.col("l_quantity").cast("long")).alias("q"))
     )
     level = lambda kind, ps: F.struct(F.lit(kind).alias("kind"), ps.alias("ps"))
@@ -210,8 +213,7 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = (
         table(spark, sf_dir, "lineitem")
         .select("l_partkey", "l_suppkey", F.trunc(F.to_date("l_shipdate"), "YEAR").alias("y"),
-                F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")) * 10000)
-                .cast("long").alias("v"))
+                fixed(F.col("l_extendedprice") * (1 - F.col("l_discount")), 10000).alias("v"))
         .join(table(spark, sf_dir, "part").select("p_partkey", "p_type"),
               F.expr("l_partkey = p_partkey"))
         .where("NOT (l_suppkey % 5 = 0 AND p_type = 'PROMO')")
