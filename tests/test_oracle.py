@@ -14,10 +14,12 @@ def con(sf_dir):
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(SQL)
+    from tidemark.plans.queries import QUERIES as own
 
+    assert set(own) <= set(SQL) <= set(QUERIES)
 
-@pytest.mark.parametrize("key", sorted(QUERIES))
+
+@pytest.mark.parametrize("key", sorted(SQL))
 def test_query_matches_sql(spark, con, sf_dir, key):
     result = compare(spark, con, sf_dir, QUERIES[key], SQL[key])
     spark.catalog.clearCache()
