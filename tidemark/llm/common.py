@@ -49,7 +49,12 @@ def bounded_sample(df: DataFrame, rows: int, text: str = "text") -> DataFrame:
     share = min(1.0, 1.2 * rows / max(total, 1))
     mark = F.xxhash64(text)
     kept = df.where(F.pmod(mark, F.lit(_HASH_RANGE)) < int(share * _HASH_RANGE)) if share < 1 else df
-    return kept.dropDuplicates([text]).orderBy(mark, text).limit(rows)
+    others = [c for c in df.columns if c != text]
+    if others:  # one row per text; the smallest of its other values, so that the choice is fixed
+        kept = kept.groupBy(text).agg(F.min(F.struct(*others)).alias("_o")).select(text, "_o.*")
+    else:
+        kept = kept.distinct()
+    return kept.orderBy(F.xxhash64(text), text).limit(rows)
 
 
 def by_rows(frames: Iterable[pd.DataFrame], rows: int = 512) -> Iterator[pd.DataFrame]:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from tidemark.llm.language_id import op10_language_id
 from tidemark.llm.pii import op1_pii
+from tidemark.llm.toxicity import op4_toxicity
 
 QUERIES = {
     "op1_pii": op1_pii,
+    "op4_toxicity": op4_toxicity,
+    "op10_language_id": op10_language_id,
 }
 
 SQL: dict[str, str] = {}
