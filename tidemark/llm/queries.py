@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from tidemark.llm.jaccard_join import op8_jaccard_join
 from tidemark.llm.language_id import op10_language_id
+from tidemark.llm.packing import op9_packing
 from tidemark.llm.pii import op1_pii
 from tidemark.llm.toxicity import op4_toxicity
 
 QUERIES = {
     "op1_pii": op1_pii,
     "op4_toxicity": op4_toxicity,
+    "op8_jaccard_join": op8_jaccard_join,
+    "op9_packing": op9_packing,
     "op10_language_id": op10_language_id,
 }
 
