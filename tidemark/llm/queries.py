@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tidemark.llm.jaccard_join import op8_jaccard_join
 from tidemark.llm.language_id import op10_language_id
+from tidemark.llm.license_scan import OP5_SQL, op5_license_scan
 from tidemark.llm.packing import op9_packing
 from tidemark.llm.pii import op1_pii
 from tidemark.llm.toxicity import op4_toxicity
@@ -11,9 +12,10 @@ from tidemark.llm.toxicity import op4_toxicity
 QUERIES = {
     "op1_pii": op1_pii,
     "op4_toxicity": op4_toxicity,
+    "op5_license_scan": op5_license_scan,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_packing": op9_packing,
     "op10_language_id": op10_language_id,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op5_license_scan": OP5_SQL}
