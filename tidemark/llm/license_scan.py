@@ -143,19 +143,19 @@ def _sql() -> str:
     columns = []
     for i, (_, words, at, n, is_base) in enumerate(templates()):
         key = "[" + ", ".join(f"'{w}'" for w in words[at:at + n]) + "]"
-        columns.append(f"list_filter(range(len(w)), p -> w[p + 1:p + {n}] = {key}) AS k{i}")
+        columns.append(f"list_filter(range(len(w)), lambda p: w[p + 1:p + {n}] = {key}) AS k{i}")
     shares = []
     for i, (_, words, at, n, is_base) in enumerate(templates()):
         if not is_base:
             same = " + ".join(f"CASE WHEN p - {at} + {j} >= 0 AND w[p - {at} + {j} + 1] = '{x}' THEN 1 ELSE 0 END"
                               for j, x in enumerate(words))
-            shares.append(f"coalesce(list_max(list_transform(k{i}, p -> ({same}) / {len(words)}.0::DOUBLE)), 0) AS m{i}")
+            shares.append(f"coalesce(list_max(list_transform(k{i}, lambda p: ({same}) / {len(words)}.0::DOUBLE)), 0) AS m{i}")
     base = [i for i, t in enumerate(templates()) if t[4]]
     own = [i for i, t in enumerate(templates()) if not t[4]]
     base_labels = ", ".join(f"CASE WHEN len(k{i}) > 0 THEN '{templates()[i][0]}' END" for i in base)
     own_labels = ", ".join(f"CASE WHEN m{i} >= {MIN_SHARE} THEN '{templates()[i][0]}' END" for i in own)
     best = ", ".join(f"CASE WHEN m{i} >= {MIN_SHARE} THEN m{i} ELSE 0 END" for i in own)
-    join = "array_to_string(list_sort(list_distinct(list_filter([{}], x -> x IS NOT NULL))), ',')"
+    join = "array_to_string(list_sort(list_distinct(list_filter([{}], lambda x: x IS NOT NULL))), ',')"
     places = " || ".join(f"k{i}" for i in base)
     return f"""
 WITH words AS (

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidemark.llm.html_text import op3_html_text
 from tidemark.llm.jaccard_join import op8_jaccard_join
 from tidemark.llm.language_id import op10_language_id
 from tidemark.llm.license_scan import OP5_SQL, op5_license_scan
@@ -11,6 +12,7 @@ from tidemark.llm.toxicity import op4_toxicity
 
 QUERIES = {
     "op1_pii": op1_pii,
+    "op3_html_text": op3_html_text,
     "op4_toxicity": op4_toxicity,
     "op5_license_scan": op5_license_scan,
     "op8_jaccard_join": op8_jaccard_join,
