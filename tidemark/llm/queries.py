@@ -9,11 +9,13 @@ from tidemark.llm.license_scan import OP5_SQL, op5_license_scan
 from tidemark.llm.multi_index import OP7_SQL, op7_multi_index
 from tidemark.llm.packing import op9_packing
 from tidemark.llm.pii import op1_pii
+from tidemark.llm.sentence_pieces import op2_sentence_pieces
 from tidemark.llm.toxicity import op4_toxicity
 from tidemark.llm.vantage_tree import op6_vantage_tree
 
 QUERIES = {
     "op1_pii": op1_pii,
+    "op2_sentence_pieces": op2_sentence_pieces,
     "op3_html_text": op3_html_text,
     "op4_toxicity": op4_toxicity,
     "op5_license_scan": op5_license_scan,
