@@ -42,7 +42,7 @@ REMEMBERED = 300_000
 LOOKALIKES = {"0": "o", "1": "il", "!": "i", "|": "il", "3": "e", "4": "a", "@": "a", "5": "s", "$": "s",
               "7": "t", "+": "t", "8": "b", "9": "g", "6": "g", "(": "c"}
 #: Costs in nats of a look-alike, of a sign that is none, of a dropped separator and of a dropped repeat.
-LOOKALIKE, SIGN, DROP, REPEAT = 1.0, 7.0, 1.0, 3.5
+LOOKALIKE, SIGN, DROP, REPEAT = 1.0, 7.0, 1.0, 5.0
 #: Symbols of the trigram model: 0 a boundary, 1 to 26 the letters a to z, 27 any other letter.
 SYMBOLS = 28
 
@@ -225,10 +225,9 @@ def _sketches(texts: pd.Series) -> pd.Series:
 def train(labelled: DataFrame, cost: np.ndarray) -> dict:
     """Feature probabilities from a bounded table of (text, toxic) rows; of near copies mostly one text counts."""
     shared = labelled.sparkSession.sparkContext.broadcast(cost)
-    once = F.max(F.struct("toxic", "text")).alias("kept")
     sample = written(labelled.where(F.col("text").isNotNull() & F.col("toxic").isNotNull()).withColumn(
-        "sketch", F.pandas_udf(_sketches, "long")("text")).groupBy("sketch").agg(once).select(
-        "kept.text", F.col("kept.toxic").cast("int").alias("toxic")))
+        "sketch", F.pandas_udf(_sketches, "long")("text")).groupBy("sketch", F.col("toxic").cast("int").alias("toxic")).agg(
+        F.min("text").alias("text")).select("text", "toxic"))
 
     def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Reader(shared.value)
