@@ -46,7 +46,9 @@ def test_chunks_give_the_tokenizers_ids():
     whole = Tokenizer.from_file(packing.tokenizer_path())
     encoder = packing.ChunkEncoder(packing.tokenizer_path())
     texts = ["", " ", "It's THE end…　naïve é ǅ ΑΣ ΑΣ. 1234 'll", "a\x1cb \x1f c\x85d\xa0e f​g",
-             "<|endoftext|> x<|startoftext|>y", "x" * 5000, "tab\tnew\nline\r\n", "İstanbul ß ﬁ 日本語 🎉 x"]
+             "<|endoftext|> x<|startoftext|>y", "x" * 5000, "tab\tnew\nline\r\n", "İstanbul ß ﬁ 日本語 🎉 x",
+             "Straße. ÉTÉ!! e\u0301te\u0301, don't. a's, x). (x #1 ÿ\u0308 word*** K\u212a. n\u0303 µ×÷ª Ω'S",
+             "It'S we'LL. he'd!! 's 't."]
     for text, ids in zip(texts, encoder(texts)):
         assert ids == b"".join(i.to_bytes(4, "little") for i in whole.encode(text, add_special_tokens=False).ids)
 

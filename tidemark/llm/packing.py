@@ -20,6 +20,7 @@ from collections.abc import Iterator
 from itertools import chain
 from zlib import crc32
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,12 +30,15 @@ from tidemark.llm.common import by_rows, table, written
 CAPACITY, END_ID = 4096, 1
 #: Pieces of one length that are ranked together; longer runs are split.
 RANKED_TOGETHER = 1000
-#: Chunks remembered by a worker before it forgets them, and the longest remembered.
-REMEMBERED, LONGEST_CHUNK = 300_000, 64
+#: Chunks and words that a worker keeps per generation, and the longest kept.
+REMEMBERED, LONGEST_CHUNK = 250_000, 64
 
+#: Letters of one script that lower-casing and composition change one by one, then marks: two pretokens.
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?*#$%&)]*)")
 #: Separators that str.split() knows but the tokenizer does not treat as white space.
-_ODD_SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
-_SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
+_ODD_SPACE = re.compile(r"[\x1c-\x1f]")
+_SPACE = re.compile(
+    r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
 def tokenizer_path() -> str:
@@ -43,44 +47,74 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Memory:
+    """A bounded dictionary of two generations: what is asked for again outlives the older one's end."""
+
+    def __init__(self, size: int = REMEMBERED) -> None:
+        self.size, self.new, self.old = size, {}, {}
+
+    def recall(self, keys) -> list:
+        """Makes known keys recent; returns the others."""
+        if len(self.new) > self.size:
+            self.new, self.old = {}, self.new
+        new, old, unknown = self.new, self.old, []
+        for key in keys:
+            if key not in new:
+                found = old.get(key)
+                if found is None:
+                    unknown.append(key)
+                else:
+                    new[key] = found
+        return unknown
+
+
 class ChunkEncoder:
     """Ids of whole texts as little-endian 32-bit bytes.
 
-    The tokenizer never joins anything across white space, so a text's ids are those of its chunks in a row,
-    and a chunk seen before is not encoded again.
+    The tokenizer never joins anything across white space, so a text's ids are those of its chunks in a row;
+    nor across the end of a run of letters, so a word followed by marks is the word and the marks. Chunks and
+    words seen before are not encoded again.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.chunks, self.words = Tokenizer.from_file(path), Memory(), Memory(2 * REMEMBERED)
 
-    def _encode(self, chunks: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(chunks, add_special_tokens=False)
-        return [b"".join(i.to_bytes(4, "little") for i in x.ids) for x in found]
+    def _encode(self, memory: Memory, keys: list[str]) -> None:
+        for start in range(0, len(keys), 4096):
+            part = keys[start:start + 4096]
+            found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
+            memory.new.update(zip(part, [np.array(x.ids, "<u4").tobytes() for x in found]))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known = {}
         lists = [[c for c in _SPACE.split(t) if c] if _ODD_SPACE.search(t) else t.split() for t in texts]
-        known = self.known
-        fresh = [c for c in dict.fromkeys(chain.from_iterable(lists)) if c not in known]
-        for start in range(0, len(fresh), 4096):
-            part = fresh[start:start + 4096]
-            known.update(zip(part, self._encode(part)))
+        fresh = self.chunks.recall(dict.fromkeys(chain.from_iterable(lists)))
+        split = [_PLAIN.fullmatch(chunk) for chunk in fresh]
+        parts = [(chunk, m[1].lower(), m[2]) for chunk, m in zip(fresh, split) if m]
+        self._encode(self.chunks, [chunk for chunk, m in zip(fresh, split) if not m])
+        self._encode(self.words, self.words.recall(dict.fromkeys(
+            x for _, word, marks in parts for x in (word, marks) if x)))
+        words, known = self.words.new, self.chunks.new
+        for chunk, word, marks in parts:
+            known[chunk] = words[word] + words[marks] if marks else words[word]
         out = [b"".join(map(known.__getitem__, chunks)) for chunks in lists]
         for chunk in fresh:
             if len(chunk) > LONGEST_CHUNK:
                 del known[chunk]
+                self.words.new.pop(chunk.lower(), None)
         return out
 
 
 def pieces(docs: DataFrame, path: str | None = None, with_ids: bool = True) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32[, ids]) of every document; ids as little-endian bytes."""
     path, end = path or tokenizer_path(), END_ID.to_bytes(4, "little")
+    kept = docs.sparkSession.sparkContext.broadcast({})  # a worker's encoder, kept from task to task
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = ChunkEncoder(path)
+        if "encoder" not in kept.value:
+            kept.value["encoder"] = ChunkEncoder(path)
+        encoder = kept.value["encoder"]
         for frame in by_rows(frames, 128):
             out = []
             texts = [t if isinstance(t, str) else "" for t in frame["text"]]
