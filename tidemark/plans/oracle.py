@@ -865,14 +865,14 @@ def _rule_rows() -> list[tuple]:
 
 
 CTES["r_rules"] = ("SELECT rule_id, name, scope, scope_ref, metric_key, condition, "
-                   "CAST(threshold AS DOUBLE) AS threshold FROM (VALUES " + _values(_rule_rows())
-                   + ") t(rule_id, name, scope, scope_ref, metric_key, condition, threshold)")
+                   "CAST(threshold AS DOUBLE) AS threshold, enabled FROM (VALUES " + _values(_rule_rows())
+                   + ") t(rule_id, name, scope, scope_ref, metric_key, condition, threshold, enabled)")
 CTES["r_scoped"] = """
-SELECT r.*, w.ticker FROM r_rules r JOIN b_watchlist w ON r.scope = 'all' AND w.supported
+SELECT r.*, w.ticker FROM r_rules r JOIN b_watchlist w ON r.scope = 'all' AND w.supported WHERE r.enabled
 UNION ALL SELECT r.*, g.ticker FROM r_rules r
   JOIN b_stock_groups g ON r.scope = 'group' AND CAST(g.group_id AS VARCHAR) = r.scope_ref
-  JOIN b_watchlist w ON w.ticker = g.ticker AND w.supported
-UNION ALL SELECT r.*, upper(scope_ref) FROM r_rules r WHERE scope = 'ticker' AND scope_ref IS NOT NULL"""
+  JOIN b_watchlist w ON w.ticker = g.ticker AND w.supported WHERE r.enabled
+UNION ALL SELECT r.*, upper(scope_ref) FROM r_rules r WHERE enabled AND scope = 'ticker' AND scope_ref IS NOT NULL"""
 CTES["r_pairs"] = """
 SELECT s.rule_id, s.ticker, s.condition, s.threshold,
   CASE WHEN s.metric_key = '__primary__' THEN g.primary_multiple ELSE m.metric_key END AS metric_key
@@ -933,10 +933,10 @@ SELECT s.rule_id, s.ticker, s.session, s.condition, s.threshold, s.metric_key,
   CASE WHEN s.condition <> 'new_filing' THEN s.value END AS value, s.percentile, s.marker, s.holds
 FROM r_sessions s JOIN x_newest m ON m.ticker = s.ticker AND m.newest = s.session"""
 SQL["trailing_percentile"] = """
-SELECT a.ticker, a.date, a.ev_sales, count(CASE WHEN h.ev_sales <= a.ev_sales THEN 1 END) / count(*) * 100 AS percentile,
+SELECT a.ticker, a.date, a.metric_key, a.value, count(CASE WHEN h.value <= a.value THEN 1 END) / count(*) * 100 AS percentile,
   count(*) >= 100 AS sufficient
-FROM x_ratios a JOIN x_ratios h ON h.ticker = a.ticker AND h.date BETWEEN a.date - 3652 AND a.date
-WHERE a.ev_sales IS NOT NULL AND h.ev_sales IS NOT NULL GROUP BY 1, 2, 3"""
+FROM x_long a JOIN x_long h ON h.ticker = a.ticker AND h.metric_key = a.metric_key AND h.date BETWEEN a.date - 3652 AND a.date
+GROUP BY 1, 2, 3, 4"""
 SQL["edge_trigger"] = "SELECT * FROM r_events"
 SQL["new_filing"] = """
 SELECT ticker, session, marker FROM (
@@ -961,7 +961,7 @@ WITH c AS (SELECT o_orderkey AS rule_id,
     o_orderkey % 3 = 0 AS has_ref, o_orderkey % 6 = 5 AS bad_metric,
     CASE o_orderkey % 7 WHEN 0 THEN 'new_filing' WHEN 1 THEN 'percentile_below' WHEN 2 THEN 'percentile_above'
       WHEN 3 THEN 'value_below' WHEN 4 THEN 'value_above' WHEN 5 THEN 'value_equal' ELSE 'percentile_below' END AS condition,
-    CASE WHEN o_orderkey % 8 > 1 THEN o_orderkey % 130 END AS threshold FROM orders)
+    CASE WHEN o_orderkey % 8 > 2 THEN o_orderkey % 130 END AS threshold FROM orders)
 SELECT rule_id, name, scope, condition, concat_ws('; ',
   CASE WHEN name = '' THEN 'no name' END, CASE WHEN scope = 'some' THEN 'invalid scope' END,
   CASE WHEN scope <> 'all' AND NOT has_ref THEN 'no scope reference' END,
@@ -973,16 +973,19 @@ SELECT rule_id, name, scope, condition, concat_ws('; ',
        THEN 'name already exists' END) AS errors
 FROM c"""
 _events = f"""
-SELECT event_id, CAST(event_id % 8 + 1 AS INTEGER) AS rule_id, {TICKER.format('user_id')} AS ticker,
-  CAST(ts AS DATE) AS trigger_date FROM events WHERE event_type NOT IN ('view', 'click')"""
+SELECT event_id, CAST(ts AS TIMESTAMP) AS created_at, CAST(event_id % 11 + 1 AS INTEGER) AS rule_id,
+  {TICKER.format('user_id')} AS ticker, CAST(ts AS DATE) AS trigger_date,
+  CASE WHEN event_id % 3 > 0 THEN 'pe_ttm' END AS metric_key, value,
+  CASE WHEN event_id % 4 = 0 THEN value / 2 END AS percentile, concat_ws(' ', event_type, props) AS detail FROM events WHERE event_type NOT IN ('view', 'click')"""
 SQL["open_events"] = f"""
-SELECT event_id, rule_id, name AS rule_name, ticker, trigger_date FROM ({_events}) JOIN r_rules USING (rule_id)
+SELECT event_id, created_at, e.rule_id, r.name AS rule_name, ticker, trigger_date, e.metric_key, value, percentile, detail
+FROM ({_events}) e JOIN r_rules r USING (rule_id)
 ORDER BY trigger_date DESC, event_id DESC LIMIT 50"""
 SQL["rule_listing"] = f"""
 SELECT r.rule_id, r.name, r.scope, CASE r.scope WHEN 'all' THEN 'All stocks'
     WHEN 'group' THEN coalesce((SELECT g.name FROM b_metric_groups g WHERE CAST(g.group_id AS VARCHAR) = r.scope_ref),
                                'Group ' || r.scope_ref) ELSE r.scope_ref END AS scope_label,
-  r.metric_key, r.condition, r.threshold,
+  r.metric_key, r.condition, r.threshold, r.enabled,
   (SELECT count(*) FROM ({_events}) e WHERE e.rule_id = r.rule_id) AS open_count
 FROM r_rules r"""
 

@@ -636,16 +636,17 @@ def assign_groups(spark, d):
 
 # ---- rules -----------------------------------------------------------------------------
 RULES = [
-    (i, name, scope, "3" if ref else None, metric, cond, threshold)
+    (i, name, scope, "3" if ref else None, metric, cond, threshold, True)
     for i, (name, scope, ref, metric, cond, threshold) in enumerate(registry.DEFAULT_RULES, 1)
 ] + [
-    (7, "One company", "ticker", "s0000000003", "ev_sales", "value_below", 400.0),
-    (8, "Unknown metric", "all", None, "no_such_metric", "value_below", 1.0),
+    (7, "One company", "ticker", "s0000000003", "ev_sales", "value_below", 400.0, True),
+    (8, "Unknown metric", "all", None, "no_such_metric", "value_below", 1.0, True),
+    (9, "Return on equity", "all", None, "roe", "value_above", 0.1, True),
+    (10, "Low price to book", "all", None, "pb", "percentile_below", 30.0, True),
+    (11, "Paused", "all", None, "fcf_conversion", "value_above", 0.1, False),
 ]
 RULE_DDL = ("rule_id int, name string, scope string, scope_ref string, metric_key string, "
-            "condition string, threshold double")
-RULE_METRICS = ["pe_ttm", "ev_sales", "ev_ebitda", "fcf_conversion", "net_debt_ebitda", "inventory_days"]
-RANKED_METRICS = ["pe_ttm", "ev_sales", "ev_ebitda", "inventory_days"]
+            "condition string, threshold double, enabled boolean")
 
 
 def _rules(spark):
@@ -657,17 +658,27 @@ def _pairs(spark, d):
 
 
 def _sessions(spark, d):
-    return rules.rule_sessions(_ratios(spark, d), _pairs(spark, d), RULE_METRICS, RANKED_METRICS)
+    return rules.rule_sessions(_ratios(spark, d), _pairs(spark, d))
 
 
 def _fired(spark, d):
-    """Recorded events of the stream table: a rule, a company, a day, seen or not."""
+    """Recorded events of the stream table: a rule, a company, a day, what was seen, read or not."""
     return bridge.table(spark, d, "events").select(
-        F.col("event_id"), F.expr("cast(event_id % 8 + 1 AS int)").alias("rule_id"),
+        F.col("event_id"), F.expr("cast(ts AS timestamp_ntz)").alias("created_at"),
+        F.expr("cast(event_id % 11 + 1 AS int)").alias("rule_id"),
         bridge.ticker_of("user_id").alias("ticker"), F.to_date("ts").alias("trigger_date"),
+        F.expr("CASE WHEN event_id % 3 > 0 THEN 'pe_ttm' END").alias("metric_key"), "value",
+        F.expr("CASE WHEN event_id % 4 = 0 THEN value / 2 END").alias("percentile"),
+        F.concat_ws(" ", "event_type", "props").alias("detail"),
         F.expr("event_type IN ('view', 'click')").alias("acknowledged"))
 
 
+def _long_metrics(spark, d):
+    """All metrics of all sessions as rows."""
+    entries = [F.struct(F.lit(m).alias("metric_key"), F.col(m).alias("value")) for m in registry.METRICS]
+    return _ratios(spark, d).select("ticker", "date", F.inline(F.array(*entries)))
+
+
 @query
 def rule_pairs(spark, d):
     return _pairs(spark, d)
@@ -680,10 +691,9 @@ def rule_holds(spark, d):
 
 @query
 def trailing_percentile(spark, d):
-    rows = _ratios(spark, d).select("ticker", "date", "ev_sales").where("ev_sales IS NOT NULL")
-    ranked = rules.trailing_percentile(rows, ["ev_sales"])
-    return ranked.select("ticker", "date", "ev_sales", F.col("pct_ev_sales").alias("percentile"),
-                         (F.col("n_ev_sales") >= scalars.RULE_MIN_ROWS).alias("sufficient"))
+    ranked = rules.trailing_percentile(_long_metrics(spark, d))
+    return ranked.select("ticker", "date", "metric_key", "value", F.col("pct").alias("percentile"),
+                         (F.col("n") >= scalars.RULE_MIN_ROWS).alias("sufficient"))
 
 
 @query
@@ -712,13 +722,13 @@ def rule_validation(spark, d):
         F.expr("CASE WHEN o_orderkey % 6 = 5 THEN 'close' WHEN o_orderkey % 6 = 4 THEN '__primary__' ELSE 'pe_ttm' END").alias("metric_key"),
         F.expr("CASE o_orderkey % 7 WHEN 0 THEN 'new_filing' WHEN 1 THEN 'percentile_below' WHEN 2 THEN 'percentile_above' "
                "WHEN 3 THEN 'value_below' WHEN 4 THEN 'value_above' WHEN 5 THEN 'value_equal' ELSE 'percentile_below' END").alias("condition"),
-        F.expr("CASE o_orderkey % 8 WHEN 0 THEN '' WHEN 1 THEN 'abc' ELSE cast(cast(o_orderkey % 130 AS int) AS string) END").alias("threshold"))
+        F.expr("CASE o_orderkey % 8 WHEN 0 THEN '' WHEN 1 THEN 'abc' WHEN 2 THEN '15d' ELSE cast(cast(o_orderkey % 130 AS int) AS string) END").alias("threshold"))
     return rules.rule_validation(rows, _rules(spark))
 
 
 @query
 def open_events(spark, d):
-    return rules.open_events(_fired(spark, d), _rules(spark))
+    return rules.open_events(_fired(spark, d), _rules(spark), limit=50)
 
 
 @query
