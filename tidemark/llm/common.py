@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_ROWS = 256
 #: A sample is drawn by comparing a text's hash with a threshold out of this many.
 _HASH_RANGE = 1 << 30
 
@@ -35,6 +36,17 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(df: DataFrame) -> DataFrame:
+    """`df`; Python workers of its session get at most `BATCH_ROWS` texts at once from now on.
+
+    Spark's default of ten thousand rows is meant for numbers; so many long texts fill a worker's memory.
+    """
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the third of the documents that no model may learn from; null ids count as held out."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(True))

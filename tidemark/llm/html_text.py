@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import bound_batches, table
 
 #: Tags that end a block (fixed by HTML).
 BLOCK_TAGS = frozenset(
@@ -222,7 +222,7 @@ def extract(pages: DataFrame, tree: tuple | int | None = None) -> DataFrame:
             yield pd.Series([main_text(page, tree) for page in batch], dtype=object)
 
     texts.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    out = pages.withColumn("text", F.pandas_udf(texts, "string")("html"))
+    out = bound_batches(pages).withColumn("text", F.pandas_udf(texts, "string")("html"))
     return out.withColumn("n_chars", F.char_length("text").cast("long"))
 
 

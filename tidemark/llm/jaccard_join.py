@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import by_rows, table, written
+from tidemark.llm.common import bound_batches, by_rows, table, written
 
 WORDS, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL = 32, 12, 0.995
@@ -109,7 +109,7 @@ def signed(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 "key": pd.array([key_of(w) if w else None for w in lists], dtype="Int64"),
                 "nodes": [nodes(shingles_of(w)).view(np.int64) if w else None for w in lists]})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(sign, "doc_id long, key long, nodes array<long>")
+    return bound_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInPandas(sign, "doc_id long, key long, nodes array<long>")
 
 
 def smallest_of_component(edges: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_sample, by_rows, held_out, table, written
+from tidemark.llm.common import bound_batches, bounded_sample, by_rows, held_out, table, written
 
 #: Labelled texts that the model is fitted on, and the words it keeps.
 SAMPLE_TEXTS, VOCABULARY = 20_000, 50_000
@@ -62,7 +62,7 @@ def _centred(counts: np.ndarray, totals: np.ndarray, kinds: int) -> np.ndarray:
 def train(labelled: DataFrame) -> dict:
     """The model from (text, lang) rows: languages, priors, and rows of a matrix by word and by n-gram."""
     rows = labelled.select("text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    counted = written(bounded_sample(rows, SAMPLE_TEXTS).mapInPandas(
+    counted = written(bound_batches(bounded_sample(rows, SAMPLE_TEXTS)).repartition("text").mapInPandas(
         _word_counts, "word string, lang string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n")))
     per_lang = {r.lang: r.n for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     langs = sorted(per_lang)
@@ -147,7 +147,7 @@ class Scorer:
 
 def predict(docs: DataFrame, model: dict) -> DataFrame:
     """`docs` with `lang_pred` and `score`."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the vocabulary
+    shared = bound_batches(docs).sparkSession.sparkContext.broadcast(model)  # bounded by the vocabulary
 
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(shared.value)

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import by_rows, table, written
+from tidemark.llm.common import bound_batches, by_rows, table, written
 
 CAPACITY, END_ID = 4096, 1
 #: Pieces of one length that are ranked together; longer runs are split.
@@ -127,7 +127,7 @@ def pieces(docs: DataFrame, path: str | None = None, with_ids: bool = True) -> D
             yield made.astype({"doc_id": "Int64"}) if with_ids else made.drop(columns="ids").astype({"doc_id": "Int64"})
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(cut, schema)
+    return bound_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInPandas(cut, schema)
 
 
 class TightestFit:

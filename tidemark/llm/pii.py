@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_sample, by_rows, table
+from tidemark.llm.common import bound_batches, bounded_sample, by_rows, table
 
 #: Kinds in the order in which ties at one start are listed (fixed by contract).
 KINDS = ("email", "ip", "card", "phone")
@@ -373,7 +373,7 @@ def detect(docs: DataFrame, field: Field) -> DataFrame:
 
     span = "array<struct<kind:string,start:int,`end`:int>>"
     udf = F.pandas_udf(spans_of, f"base {span}, added {span}")
-    return docs.withColumn("_spans", udf("text")).withColumns(
+    return bound_batches(docs).withColumn("_spans", udf("text")).withColumns(
         {"base": F.col("_spans.base"), "added": F.col("_spans.added")}).drop("_spans")
 
 
@@ -392,7 +392,7 @@ def redact(docs: DataFrame, field: Field) -> DataFrame:
             out.append("".join([*pieces, text[done:]]) if pieces else text)
         return pd.Series(out, dtype=object)
 
-    changed = docs.withColumn("text", F.pandas_udf(masked, "string")("text"))
+    changed = bound_batches(docs).withColumn("text", F.pandas_udf(masked, "string")("text"))
     return changed.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else changed
 
 

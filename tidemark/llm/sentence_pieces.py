@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import bound_batches, table
 
 SPACE = "▁"
 #: Words remembered by a worker before it forgets them, and the longest remembered.
@@ -169,7 +169,7 @@ class Decoder:
 
 def _mapped(df: DataFrame, vocabulary: dict, make, source: str, kind: str):
     """A column of `make(vocabulary)` applied to `source`; workers keep one instance per task."""
-    shared = df.sparkSession.sparkContext.broadcast(vocabulary)  # bounded by the vocabulary
+    shared = bound_batches(df).sparkSession.sparkContext.broadcast(vocabulary)  # bounded by the vocabulary
 
     def mapped(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         function = make(shared.value)
@@ -207,7 +207,7 @@ def summary(docs: DataFrame, path: str | None = None) -> DataFrame:
         return one
 
     vocabulary = load_vocabulary(path or model_path())
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = bound_batches(docs).sparkSession.sparkContext.broadcast(vocabulary)
 
     def rows(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         one = summed(shared.value)

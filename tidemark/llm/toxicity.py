@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_sample, by_rows, held_out, table, written
+from tidemark.llm.common import bound_batches, bounded_sample, by_rows, held_out, table, written
 
 #: Labelled texts that features are chosen on, and candidate features considered.
 SAMPLE_TEXTS, CANDIDATES = 20_000, 3000
@@ -77,7 +77,7 @@ def _trigrams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def language_model(docs: DataFrame) -> np.ndarray:
     """Cost in nats of a symbol after two others, from the texts of all rows."""
-    rows = docs.select("text").mapInPandas(_trigrams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    rows = bound_batches(docs).select("text").mapInPandas(_trigrams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     counts = np.full(SYMBOLS ** 3, 0.1)
     for row in rows.collect():  # at most SYMBOLS cubed
         counts[row.gram] += row.n
@@ -224,7 +224,7 @@ def _sketches(texts: pd.Series) -> pd.Series:
 
 def train(labelled: DataFrame, cost: np.ndarray) -> dict:
     """Feature probabilities from a bounded table of (text, toxic) rows; of near copies mostly one text counts."""
-    shared = labelled.sparkSession.sparkContext.broadcast(cost)
+    shared = bound_batches(labelled).sparkSession.sparkContext.broadcast(cost)
     sample = written(labelled.where(F.col("text").isNotNull() & F.col("toxic").isNotNull()).withColumn(
         "sketch", F.pandas_udf(_sketches, "long")("text")).groupBy("sketch", F.col("toxic").cast("int").alias("toxic")).agg(
         F.min("text").alias("text")).select("text", "toxic"))
@@ -270,7 +270,7 @@ def train(labelled: DataFrame, cost: np.ndarray) -> dict:
 
 def score(docs: DataFrame, cost: np.ndarray, model: dict) -> DataFrame:
     """`docs` with `score` and `predicted`."""
-    shared = docs.sparkSession.sparkContext.broadcast((cost, model))
+    shared = bound_batches(docs).sparkSession.sparkContext.broadcast((cost, model))
 
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         cost, model = shared.value
