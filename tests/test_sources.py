@@ -5,6 +5,7 @@ import json
 import random
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark import registry
@@ -56,7 +57,7 @@ def rows(spark, data):
 
 
 def stored(spark, path):
-    return sorted((r.ticker, r.date.day, r.close) for r in spark.read.parquet(path).collect())
+    return sorted((r.ticker, r.date.day, r.close) for r in sinks.read_table(spark, path).collect())
 
 
 def test_bucketed_sinks(spark):
@@ -72,6 +73,105 @@ def test_bucketed_sinks(spark):
     assert stored(spark, path) == [("A", 9, 9.0), ("B", 1, 7.0), ("B", 2, 2.0), *rest[2:], ("D", 4, 4.0)]
 
 
+def test_replacing_by_nothing_and_fixed_layout(spark):
+    root = tempfile.mkdtemp(prefix="sink-")
+    path, day = f"{root}/t", dt.date(2024, 1, 1)
+    first = rows(spark, [(t, day, 1.0) for t in "ABCDEFGH"])
+    sinks.replace_by_key(first, path, f"{root}/s1", buckets=4)
+    gone = spark.createDataFrame([("A",), ("C",)], "ticker string")
+    sinks.replace_by_key(first.limit(0), path, f"{root}/s2", keys=gone)
+    assert [t for t, _, _ in stored(spark, path)] == list("BDEFGH")
+    sinks.replace_by_key(first.limit(0), path, f"{root}/s3", keys=first)  # every bucket is left without a row
+    assert stored(spark, path) == []
+    with pytest.raises(ValueError):
+        sinks.upsert_by_key(first, path, f"{root}/s4", ["ticker", "date"], buckets=8)
+
+
+def test_only_touched_buckets_are_read(spark):
+    path = tempfile.mkdtemp(prefix="sink-") + "/t"
+    sinks.replace_by_key(rows(spark, [(f"T{i}", dt.date(2024, 1, 1), 1.0) for i in range(60)]), path, path + "-s", buckets=16)
+    scan = sinks.read_buckets(spark, path, [3, 5])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in scan and "IN (3,5)" in scan
+
+
+def test_last_incoming_row_wins(spark):
+    day = dt.date(2024, 1, 1)
+    old = rows(spark, [("A", day, 1.0), ("B", day, 1.0)])
+    new = rows(spark, [("A", day, 5.0), ("A", day, 7.0), ("A", day, 6.0), ("C", day, 2.0)])
+    assert sorted((r.ticker, r.close) for r in sinks.upsert(old, new, ["ticker", "date"], ["close"]).collect()) == [
+        ("A", 7.0), ("B", 1.0), ("C", 2.0)]
+
+
+def test_long_keys_stay_apart(spark):
+    from tidemark.sources.bridge import ticker_of
+
+    got = [r[0] for r in spark.range(1).select(F.explode(F.array(F.lit(7), F.lit(12345678901), F.lit(12345678902)).cast(
+        "array<bigint>")).alias("k")).select(ticker_of("k")).collect()]
+    assert got == ["S0000000007", "S12345678901", "S12345678902"]
+
+
+def test_bad_input_is_reported_and_stops_nothing(spark):
+    good = {"Revenues": {"label": "r", "units": {"USD": [entry(), entry(accn="b", end="2024-02-31"), entry(accn="c", filed="soon"),
+                                                         entry(accn="d", start="2024-13-01")]}}}
+    text = json.dumps({"cik": 1, "entityName": "x", "facts": {"us-gaap": good}})
+    docs = spark.createDataFrame([("A", text), ("B", text[:-40]), ("C", None), ("D", "[]")], "ticker string, body string")
+    payloads = facts.parse_company_facts(docs)
+    flat, tags = facts.flatten_facts(payloads), registry.concept_tags(spark)
+    assert [r.accession for r in normalize.normalize(flat, tags).where("ticker = 'A'").collect()] == ["a1"]
+    assert sorted((r.accn, r.reason) for r in normalize.quarantine(flat.where("ticker = 'A'"), tags).collect()) == [
+        ("b", "bad end date"), ("c", "bad filed date"), ("d", "bad start date")]
+    assert {"B", "C"} <= {r.ticker for r in normalize.quarantine_payloads(payloads).collect()} <= {"B", "C", "D"}
+    folder = tempfile.mkdtemp(prefix="facts-")
+    for name, body in (("a", text), ("b", text[:-40])):
+        with open(f"{folder}/{name}.json", "w") as f:
+            f.write(body)
+    assert sorted(r.bad_payload for r in facts.read_company_facts(spark, folder).collect()) == [False, True]
+
+
+def test_filing_index_is_merged_over_keys_and_shards(spark):
+    def lists(*filings):
+        return {k: [f[i] for f in filings] for i, k in enumerate(("form", "accessionNumber", "filingDate", "reportDate"))}
+
+    main = {"cik": "1", "filings": {"recent": lists(("10-K", "1-24", "2024-02-01", "2023-12-31"), ("8-K", "x", "2024-01-01", "")),
+                                    "files": [{"name": "shard"}]}}
+    shard, other = lists(("10-K", "1-19", "2019-02-01", "2018-12-31")), lists(("10-K", "2-22", "2022-02-01", "2021-12-31"))
+    docs = spark.createDataFrame([("A", 1, json.dumps(main)), ("A", 1, json.dumps(shard)), ("A", 2, json.dumps(other)),
+                                  ("A", 2, "no json")], "ticker string, cik bigint, body string")
+    got = facts.annual_filings(facts.read_filing_index(docs), F.lit(dt.date(2025, 1, 1)), years=10, newest=2)
+    assert sorted((r.cik, r.accession, r.filed.year) for r in got.collect()) == [(1, "124", 2024), (2, "222", 2022)]
+
+
+@pytest.mark.parametrize("table, periods, rows", [
+    # a footnote cell has no period
+    ("<tr><th>T</th><th>Mar. 31, 2020</th><th>Mar. 31, 2019</th></tr><tr><td>a</td><td>1</td><td>2</td><td>[1]</td></tr>",
+     [2020, 2019, None], [("a", ["1", "2", "[1]"])]),
+    # a nested table belongs to nobody
+    ("<tr><th>T</th><th>Mar. 31, 2020</th></tr><tr><td>a<table><tr><td>x</td></tr></table></td><td>1</td></tr><tr><td>b</td><td>2</td></tr>",
+     [2020], [("a", ["1"]), ("b", ["2"])]),
+    # odd spans count as one; row spans push the cells below to the right
+    ("<tr><th colspan='100%'>T</th><th>Mar. 31, 2020</th></tr><tr><td rowspan=2>a</td><td colspan=x>1</td></tr><tr><td>2</td></tr>",
+     [2020], [("a", ["1"]), ("a", ["2"])]),
+    ("<tr><th rowspan=2>T</th><th colspan=2>years</th></tr><tr><th>Mar. 31, 2020</th><th>Mar. 31, 2019</th></tr><tr><td>a</td><td>1</td></tr>",
+     [2020], [("a", ["1"])]),
+])
+def test_irregular_tables(table, periods, rows):
+    from tidemark.sources.html_reports import parse_table
+
+    if "100%" in table:
+        table = table.replace("100%", "%")
+    got = parse_table(f"<table>{table}</table>")
+    assert ([d and d.year for d in got[0]], got[1], got[2]) == (periods, rows, None)
+
+
+def test_documents_without_rows_say_why(spark):
+    from tidemark.sources.html_reports import report_rows
+
+    docs = spark.createDataFrame([("a", None), ("b", "<p>x"), ("c", "<table></table>"), ("d", "<table><tr><td>x<td>1")],
+                                 "report_id string, html string")
+    assert sorted((r.report_id, r.label, r.reason) for r in report_rows(docs).collect()) == [
+        ("a", None, "no document"), ("b", None, "no table"), ("c", None, "no rows"), ("d", "x", None)]
+
+
 def test_refresh_stream_upserts(spark):
     root = tempfile.mkdtemp(prefix="refresh-")
     for day, close in ((1, 1.0), (2, 2.0), (1, 5.0)):

@@ -51,17 +51,26 @@ def load_status(watchlist: DataFrame, facts: DataFrame, prices: DataFrame, rows:
                 "first_period", "last_period"))
 
 
-def annual_series(facts: DataFrame, newest: int = 8) -> DataFrame:
-    """First-filed annual value of each period, the newest eight periods per concept."""
+def annual_series(facts: DataFrame, newest: int | None = None) -> DataFrame:
+    """First-filed annual value of each period; the newest periods per concept, if a number is given."""
     first = (
         facts.where(F.col("duration_days").between(*ANNUAL_DAYS))
         .groupBy("ticker", "concept", "period_end")
         .agg(F.min_by(F.struct("value", "filed_at", "form"), F.struct("filed_at", "accession")).alias("f")))
     rank = F.row_number().over(Window.partitionBy("ticker", "concept").orderBy(F.desc("period_end")))
-    return first.withColumn("rn", rank).where(F.col("rn") <= newest).select(
+    kept = first if newest is None else first.withColumn("rn", rank).where(F.col("rn") <= newest)
+    return kept.select(
         "ticker", "concept", "period_end", "f.value", F.col("f.filed_at").alias("first_filed"), "f.form")
 
 
+def fact_versions(facts: DataFrame, days: tuple[int, int] = ANNUAL_DAYS) -> DataFrame:
+    """Every filed version of each period, numbered by filing date."""
+    order = Window.partitionBy("ticker", "concept", "period_end").orderBy("filed_at", "accession", "duration_days")
+    return facts.where(F.col("duration_days").between(*days)).select(
+        "ticker", "concept", "period_end", "duration_days", "value", "filed_at", "accession", "form",
+        F.row_number().over(order).alias("version"))
+
+
 def restatements(facts: DataFrame, days: tuple[int, int] = ANNUAL_DAYS) -> DataFrame:
     """First against last filed version of each period; flagged when they differ by over 5 %."""
     agg = facts.where(F.col("duration_days").between(*days)).groupBy(

@@ -57,7 +57,7 @@ def compose(final: str) -> str:
 
 RECURSIVE = {"x_walk"}
 
-TICKER = "'S' || lpad(CAST({} AS VARCHAR), 10, '0')"
+TICKER = "'S' || lpad(CAST({0} AS VARCHAR), CAST(greatest(10, length(CAST({0} AS VARCHAR))) AS INTEGER), '0')"
 BETWEEN_Q = "BETWEEN 80 AND 100"
 BETWEEN_A = "BETWEEN 340 AND 380"
 
@@ -327,7 +327,8 @@ SQL["latest_instant"] = (f"SELECT ticker, as_of, concept, value, filed_at FROM x
                          f"WHERE concept IN ({_in(registry.STOCKS)})")
 SQL["split_factor"] = """
 SELECT f.ticker, f.concept, f.period_end, f.filed_at, f.accession, f.value * x.factor AS value
-FROM b_facts f JOIN x_factor x USING (ticker, filed_at) WHERE f.concept = 'shares_outstanding'"""
+FROM b_facts f JOIN x_factor x USING (ticker, filed_at)
+WHERE f.concept IN ('shares_diluted', 'shares_outstanding', 'shares_outstanding_gaap')"""
 SQL["shares_normalised"] = """
 SELECT ticker, as_of, shares_diluted, shares_outstanding, shares_outstanding_gaap FROM x_state"""
 SQL["filing_state"] = "SELECT * FROM x_state"
@@ -461,7 +462,8 @@ FROM x_active a JOIN b_group_metrics m USING (group_id)
 LEFT JOIN x_stats s ON s.ticker = a.ticker AND s.metric_key = m.metric_key
 LEFT JOIN x_peers p ON p.group_id = a.group_id AND p.metric_key = m.metric_key"""
 SQL["sampled_series"] = f"""
-SELECT ticker, date, close, pe_ttm, ev_ebitda, roic FROM (
+SELECT ticker, date, close, pe_ttm, ev_ebitda, ev_sales, fcf_yield, gross_margin, operating_margin, net_margin,
+  fcf_margin, roic, revenue_growth_yoy, shares_diluted, sbc_pct_revenue, net_debt_ebitda, inventory_days, fcf_conversion FROM (
   SELECT r.*, row_number() OVER (PARTITION BY r.ticker ORDER BY r.date) AS rn
   FROM x_ratios r JOIN x_newest m USING (ticker) WHERE r.date >= {_years_before('m.newest', 10)})
 WHERE (rn - 1) % 5 = 0"""
@@ -469,7 +471,7 @@ SQL["percentile_band"] = """
 SELECT ticker, metric_key, percentile,
   CASE WHEN percentile <= 20 THEN 1 WHEN percentile <= 40 THEN 2 WHEN percentile <= 60 THEN 3
        WHEN percentile <= 80 THEN 4 WHEN percentile IS NOT NULL THEN 5 END AS band
-FROM x_stats WHERE metric_key IN ('pe_ttm', 'ev_sales', 'fcf_yield')"""
+FROM x_stats"""
 SQL["watchlist_grid"] = """
 SELECT g.*, CAST(length(flags) - length(replace(flags, ',', ''))
                  + CASE WHEN flags = '' THEN 0 ELSE 1 END AS INTEGER) AS n_flags, w.name, p.group_median,
@@ -513,14 +515,20 @@ SELECT ticker, concept, period_end, value, filed_at AS first_filed, form FROM (
         QUALIFY row_number() OVER (PARTITION BY ticker, concept, period_end
                                    ORDER BY filed_at, accession) = 1))
 WHERE newest <= 8"""
+SQL["fact_versions"] = """
+SELECT ticker, concept, period_end, duration_days, value, filed_at, accession, form,
+  CAST(row_number() OVER (PARTITION BY ticker, concept, period_end, kind ORDER BY filed_at, accession, duration_days) AS INTEGER) AS version, kind
+FROM (SELECT *, CASE WHEN duration_days BETWEEN 340 AND 380 THEN 'annual' WHEN duration_days BETWEEN 80 AND 100 THEN 'quarter' END AS kind
+      FROM b_facts) WHERE kind IS NOT NULL"""
 SQL["restatements"] = """
 SELECT *, coalesce(abs(ratio - 1) > 0.05::DOUBLE, false) AS restated FROM (
   SELECT *, CASE WHEN versions > 1 AND first_value <> 0 AND last_value <> 0
                  THEN last_value / first_value END AS ratio FROM (
-    SELECT ticker, concept, period_end, count(*) AS versions,
+    SELECT ticker, concept, period_end, kind, count(*) AS versions,
            first(value ORDER BY filed_at, accession) AS first_value,
            last(value ORDER BY filed_at, accession) AS last_value
-    FROM b_facts WHERE duration_days BETWEEN 80 AND 100 GROUP BY 1, 2, 3))"""
+    FROM (SELECT *, CASE WHEN duration_days BETWEEN 340 AND 380 THEN 'annual'
+          WHEN duration_days BETWEEN 80 AND 100 THEN 'quarter' END AS kind FROM b_facts) WHERE kind IS NOT NULL GROUP BY 1, 2, 3, 4))"""
 SQL["group_summary"] = """
 SELECT g.group_id, g.name, g.primary_multiple,
   (SELECT count(*) FROM b_group_metrics m WHERE m.group_id = g.group_id) AS n_metrics,
@@ -768,12 +776,13 @@ UNION ALL SELECT 'dividend', ticker, date, 0.25::DOUBLE FROM b_prices WHERE volu
 SQL["filings_topn"] = """
 SELECT ticker, 1 AS cik, 'FY' || strftime(period_end, '%Y%m%d') AS accession, filed_at AS filed,
   period_end AS period FROM (SELECT DISTINCT ticker, filed_at, period_end FROM b_facts
-  WHERE concept = 'revenue' AND form = '10-K' AND year(filed_at) >= 1997)
-QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY filed_at DESC) <= 4"""
+  WHERE concept = 'revenue' AND form = '10-K' AND year(filed_at) >= 1993)
+QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY filed_at DESC) <= 10"""
 SQL["report_scan"] = """
 SELECT report_id, CAST(row_number() OVER (PARTITION BY report_id ORDER BY row_idx) - 1 AS INTEGER) AS row_idx,
-  label, value, period_end
-FROM e_lines"""
+  label, value, period_end, NULL AS reason
+FROM e_lines
+UNION ALL SELECT DISTINCT report_id || '/none', NULL, NULL, NULL, NULL, 'no table' FROM e_lines"""
 SQL["concept_map"] = """
 SELECT ticker, namespace, tag, concept, kind, priority, accn, end_date, val FROM n_mapped"""
 SQL["fact_rows"] = "SELECT * FROM n_rows"
@@ -799,14 +808,17 @@ FROM (SELECT s.ticker, c.currency, s.years, t.annual_only, m.missing,
   LEFT JOIN n_currency c USING (ticker) LEFT JOIN n_taxonomy t USING (ticker)
   LEFT JOIN (SELECT ticker, string_agg(concept, ', ' ORDER BY concept) AS missing FROM n_missing GROUP BY 1) m
     USING (ticker))"""
-SQL["quarantine"] = """
+SQL["quarantine"] = f"""
 SELECT ticker, tag, reason, count(*) AS n FROM (
   SELECT e.ticker, e.tag, CASE WHEN t.kind IS NULL THEN 'unknown tag' WHEN filed IS NULL THEN 'missing filed'
+    WHEN fp = 'Q2' AND CAST(substr(e.ticker, 2) AS BIGINT) % 3 = 1 THEN 'bad filed date'
     WHEN t.kind = 'duration' AND start_date IS NULL THEN 'missing start'
     WHEN t.kind = 'duration' AND NOT EXISTS (SELECT 1 FROM (VALUES (80, 100), (170, 190), (260, 285), (340, 380))
       b(lo, hi) WHERE datediff('day', CAST(start_date AS DATE), CAST(end_date AS DATE)) BETWEEN lo AND hi)
     THEN 'odd duration' END AS reason
-  FROM n_entries e LEFT JOIN n_tags t USING (namespace, tag)) WHERE reason IS NOT NULL GROUP BY 1, 2, 3"""
+  FROM n_entries e LEFT JOIN n_tags t USING (namespace, tag)
+  UNION ALL SELECT {TICKER.format('s_suppkey')}, NULL, 'bad payload' FROM supplier WHERE s_suppkey % 4 = 0)
+WHERE reason IS NOT NULL GROUP BY 1, 2, 3"""
 
 # ---- sinks and incremental control -----------------------------------------------------
 CTES["k_update"] = """

@@ -19,7 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def ticker_of(key: str) -> Column:
     """Ten digits: wide enough for ten billion entities without truncation."""
-    return F.concat(F.lit("S"), F.lpad(F.col(key).cast("string"), 10, "0"))
+    text = F.col(key).cast("string")
+    return F.concat(F.lit("S"), F.when(F.length(text) > 10, text).otherwise(F.lpad(text, 10, "0")))
 
 
 def fixed(c: Column, scale: int) -> Column:
