@@ -149,9 +149,10 @@ CTES["b_leaf"] = f"""
 SELECT {TICKER.format('l_suppkey')} AS ticker,
        CAST(date_trunc('year', l_shipdate) + INTERVAL 12 MONTH - INTERVAL 1 DAY AS DATE) AS period_end,
        CAST(date_trunc('year', l_shipdate) + INTERVAL 14 MONTH AS DATE) AS filed_at,
-       p_type AS label, sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18,4))) AS v
+       p_type AS label, sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18,4)))
+         * CASE WHEN l_suppkey % 5 = 0 AND p_type = 'PROMO' THEN 2 ELSE 1 END AS v
 FROM lineitem JOIN part ON l_partkey = p_partkey
-WHERE NOT (l_suppkey % 5 = 0 AND p_type = 'PROMO') GROUP BY 1, 2, 3, 4"""
+GROUP BY 1, 2, 3, 4, l_suppkey"""
 CTES["b_segments"] = """
 SELECT ticker, period_end, filed_at, label, CAST(NULL AS VARCHAR) AS parent,
        CAST(v AS DOUBLE) AS value,
@@ -440,9 +441,9 @@ LEFT JOIN x_stats s ON s.ticker = a.ticker AND s.metric_key = a.primary_key"""
 SQL["latest_value"] = "SELECT ticker, metric_key, date, value FROM x_latest"
 SQL["metric_stats"] = "SELECT * FROM x_stats"
 SQL["upper_median"] = """
-SELECT ticker, 'close' AS metric_key, close AS median FROM (
-  SELECT ticker, close, row_number() OVER (PARTITION BY ticker ORDER BY close) AS rn,
-         count(*) OVER (PARTITION BY ticker) AS n FROM b_prices) WHERE rn = n // 2 + 1"""
+SELECT ticker, metric_key, value AS median FROM (
+  SELECT ticker, metric_key, value, row_number() OVER (PARTITION BY ticker, metric_key ORDER BY value) AS rn,
+         count(*) OVER (PARTITION BY ticker, metric_key) AS n FROM x_long) WHERE rn = n // 2 + 1"""
 SQL["peer_median"] = "SELECT group_id, metric_key, group_median FROM x_peers"
 SQL["day_change"] = "SELECT ticker, date, close, change_pct FROM x_change"
 SQL["range_52w"] = f"""
@@ -576,7 +577,8 @@ LEFT JOIN e_reported r ON r.report_id = l.base AND r.period_end = l.period_end""
 CTES["e_based"] = "SELECT *, report_id AS base FROM e_close"
 CTES["e_verdict"] = _verdict("e_based")
 CTES["e_two"] = """
-SELECT * REPLACE (report_id || '/a' AS report_id), report_id AS base FROM e_close WHERE row_idx <> 1
+SELECT * REPLACE (report_id || '/a' AS report_id, CASE WHEN row_idx = 1 THEN value * 1.5::DOUBLE ELSE value END AS value),
+  report_id AS base FROM e_close
 UNION ALL SELECT * REPLACE (report_id || '/b' AS report_id), report_id AS base FROM e_close"""
 CTES["e_two_verdict"] = _verdict("e_two")
 CTES["e_members"] = """
@@ -1003,20 +1005,25 @@ FROM r_rules r"""
 
 # ---- checks ----------------------------------------------------------------------------
 SQL["check_lookahead"] = """
-SELECT ticker, date, fundamentals_filed_at FROM x_ratios WHERE fundamentals_filed_at > date"""
+SELECT * FROM (SELECT ticker, date, CASE WHEN day(date) = 15 THEN date + 1 ELSE fundamentals_filed_at END
+  AS fundamentals_filed_at FROM x_ratios) WHERE fundamentals_filed_at > date"""
 SQL["check_step"] = """
 SELECT ticker, date, was, revenue_ttm FROM (
   SELECT ticker, date, revenue_ttm, fundamentals_filed_at AS f, lag(revenue_ttm) OVER w AS was,
          lag(fundamentals_filed_at) OVER w AS fw
-  FROM x_ratios WHERE revenue_ttm IS NOT NULL WINDOW w AS (PARTITION BY ticker ORDER BY date))
+  FROM (SELECT * REPLACE (CASE WHEN day(date) = 10 THEN revenue_ttm * 1.25::DOUBLE ELSE revenue_ttm END AS revenue_ttm) FROM x_ratios)
+  WHERE revenue_ttm IS NOT NULL WINDOW w AS (PARTITION BY ticker ORDER BY date))
 WHERE revenue_ttm <> was AND f IS NOT DISTINCT FROM fw"""
 SQL["check_identities"] = """
 SELECT * FROM (SELECT ticker, date, concat_ws(', ',
   CASE WHEN earnings_yield > 0 AND abs(pe_ttm - 1 / earnings_yield) > abs(1 / earnings_yield) * 1e-6 THEN 'reciprocal' END,
   CASE WHEN abs(enterprise_value - (market_cap + net_debt)) > abs(market_cap + net_debt) * 1e-9 THEN 'enterprise value' END)
-  AS broken FROM x_ratios) WHERE broken <> ''"""
+  AS broken FROM (SELECT * REPLACE (
+    CASE WHEN day(date) = 7 THEN enterprise_value * 1.5::DOUBLE ELSE enterprise_value END AS enterprise_value,
+    CASE WHEN day(date) = 9 THEN pe_ttm * 1.5::DOUBLE ELSE pe_ttm END AS pe_ttm) FROM x_ratios)) WHERE broken <> ''"""
 SQL["check_negative"] = """
-SELECT ticker, date, metric_key, value FROM x_long
+SELECT ticker, date, metric_key, value FROM (SELECT * REPLACE (CASE WHEN day(date) = 3
+  AND metric_key IN ('pe_ttm', 'ev_sales', 'ev_ebitda') THEN -value ELSE value END AS value) FROM x_long)
 WHERE value < 0 AND metric_key IN ('pe_ttm', 'ev_ebitda', 'ev_sales', 'ps_ttm', 'ev_fcf')"""
 SQL["check_bounds"] = """
 SELECT * FROM (SELECT ticker, date, gross_margin * 2.72::DOUBLE AS gross_margin, operating_margin FROM x_ratios)
@@ -1028,13 +1035,10 @@ SQL["check_freshness"] = """
 SELECT ticker, newest AS last FROM x_newest WHERE newest < DATE '2001-11-01'"""
 SQL["check_restated_shares"] = """
 SELECT ticker, concept, period_end, original, restated FROM (
-  SELECT v.ticker, v.concept, v.period_end, a.value * fa.factor AS original, b.value * fb.factor AS restated
-  FROM (SELECT ticker, concept, period_end, min(filed_at) AS lo, max(filed_at) AS hi FROM b_facts
-        WHERE concept = 'shares_diluted' AND duration_days BETWEEN 80 AND 100 GROUP BY 1, 2, 3) v
-  JOIN b_facts a ON a.ticker = v.ticker AND a.concept = v.concept AND a.period_end = v.period_end
-   AND a.filed_at = v.lo AND a.duration_days BETWEEN 80 AND 100
-  JOIN b_facts b ON b.ticker = v.ticker AND b.concept = v.concept AND b.period_end = v.period_end
-   AND b.filed_at = v.hi AND b.duration_days BETWEEN 80 AND 100
+  SELECT v.ticker, v.concept, v.period_end, v.first_value * fa.factor AS original, v.last_value * fb.factor AS restated
+  FROM (SELECT ticker, concept, period_end, duration_days, first(value ORDER BY filed_at, accession) AS first_value,
+          last(value ORDER BY filed_at, accession) AS last_value, min(filed_at) AS lo, max(filed_at) AS hi
+        FROM b_facts WHERE concept IN ('shares_diluted', 'shares_outstanding', 'shares_outstanding_gaap') GROUP BY 1, 2, 3, 4) v
   JOIN x_factor fa ON fa.ticker = v.ticker AND fa.filed_at = v.lo
   JOIN x_factor fb ON fb.ticker = v.ticker AND fb.filed_at = v.hi WHERE v.lo < v.hi)
 WHERE abs(original - restated) > abs(restated) * 1e-4"""

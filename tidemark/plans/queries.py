@@ -137,9 +137,7 @@ def metric_stats(spark, d):
 
 @query
 def upper_median(spark, d):
-    long = bridge.prices(spark, d).select(
-        "ticker", F.lit("close").alias("metric_key"), F.col("close").alias("value"))
-    return distribution.upper_median(long)
+    return distribution.upper_median(_long_metrics(spark, d).where("value IS NOT NULL"))
 
 
 @query
@@ -397,9 +395,10 @@ def reconcile(spark, d):
 
 @query
 def first_reconciling(spark, d):
-    # Two candidates per filing: one without its first line, then the whole table.
+    # Two candidates per filing: one with a line too high, then the table as it is.
     marked = _stored(spark, d)
-    partial = marked.where("row_idx <> 1").withColumn("report_id", F.concat("report_id", F.lit("/a")))
+    partial = marked.withColumn("report_id", F.concat("report_id", F.lit("/a"))).withColumn(
+        "value", F.expr("CASE WHEN row_idx = 1 THEN value * 1.5D ELSE value END"))
     whole = marked.withColumn("report_id", F.concat("report_id", F.lit("/b")))
     both = partial.unionByName(whole)
     candidates = both.select(
@@ -765,22 +764,31 @@ def rule_listing(spark, d):
 # ---- checks ----------------------------------------------------------------------------
 @query
 def check_lookahead(spark, d):
-    return checks.check_lookahead(_ratios(spark, d))
+    # Some sessions show a filing of the day after.
+    shown = F.expr("CASE WHEN dayofmonth(date) = 15 THEN date_add(date, 1) ELSE fundamentals_filed_at END")
+    return checks.check_lookahead(_ratios(spark, d).withColumn("fundamentals_filed_at", shown))
 
 
 @query
 def check_step(spark, d):
-    return checks.check_step(_ratios(spark, d))
+    # Revenue moves without a filing on some sessions.
+    moved = F.expr("CASE WHEN dayofmonth(date) = 10 THEN revenue_ttm * 1.25D ELSE revenue_ttm END")
+    return checks.check_step(_ratios(spark, d).withColumn("revenue_ttm", moved))
 
 
 @query
 def check_identities(spark, d):
-    return checks.check_identities(_ratios(spark, d))
+    # Enterprise values and earnings multiples are off on some sessions.
+    return checks.check_identities(_ratios(spark, d).withColumns({
+        "enterprise_value": F.expr("CASE WHEN dayofmonth(date) = 7 THEN enterprise_value * 1.5D ELSE enterprise_value END"),
+        "pe_ttm": F.expr("CASE WHEN dayofmonth(date) = 9 THEN pe_ttm * 1.5D ELSE pe_ttm END")}))
 
 
 @query
 def check_negative(spark, d):
-    return checks.check_negative(_ratios(spark, d))
+    # Multiples have the wrong sign on some sessions.
+    turned = lambda c: F.expr(f"CASE WHEN dayofmonth(date) = 3 THEN -{c} ELSE {c} END")
+    return checks.check_negative(_ratios(spark, d).withColumns({c: turned(c) for c in ("pe_ttm", "ev_sales", "ev_ebitda")}))
 
 
 @query
@@ -802,5 +810,5 @@ def check_freshness(spark, d):
 
 @query
 def check_restated_shares(spark, d):
-    filed = bridge.fundamentals(spark, d, ["shares_diluted"]).where("duration_days BETWEEN 80 AND 100")
+    filed = bridge.fundamentals(spark, d, SHARES)
     return checks.check_restated_shares(filed, bridge.splits(spark, d))

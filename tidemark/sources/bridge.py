@@ -210,15 +210,15 @@ def group_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ticker, period_end, filed_at, label, parent, value, row_idx): product lines by part
-    type with a GROUP_A total after its parts; every fifth company misses a line."""
+    type with a GROUP_A total after its parts; every fifth company reports one line too high."""
     lines = (
         table(spark, sf_dir, "lineitem")
         .select("l_partkey", "l_suppkey", F.trunc(F.to_date("l_shipdate"), "YEAR").alias("y"),
                 fixed(F.col("l_extendedprice") * (1 - F.col("l_discount")), 10000).alias("v"))
         .join(table(spark, sf_dir, "part").select("p_partkey", "p_type"),
               F.expr("l_partkey = p_partkey"))
-        .where("NOT (l_suppkey % 5 = 0 AND p_type = 'PROMO')")
         .groupBy("l_suppkey", "y", "p_type").agg(F.sum("v").alias("v"))
+        .withColumn("v", F.expr("CASE WHEN l_suppkey % 5 = 0 AND p_type = 'PROMO' THEN v * 2 ELSE v END"))
     )
     labels = F.expr(
         "CASE WHEN p_type IN ('ECONOMY', 'LARGE', 'MEDIUM') "
