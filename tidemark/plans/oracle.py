@@ -675,6 +675,15 @@ SELECT regexp_replace(report_id, '/[ab]$', '') AS filing_id, report_id,
 FROM e_two_verdict WHERE reconciles
 QUALIFY rank() OVER (PARTITION BY regexp_replace(report_id, '/[ab]$', '')
                      ORDER BY CASE WHEN report_id LIKE '%/a' THEN 1 ELSE 2 END) = 1"""
+SQL["segment_refresh"] = """
+SELECT t.ticker, 'product' AS axis, t.label, CAST(NULL AS VARCHAR) AS parent, t.period_end,
+  CAST(year(t.period_end) AS INTEGER) AS fiscal_year, t.filed_at,
+  replace(replace(t.base, '/', ''), '-', '') AS accession, floor(t.value + 0.12345::DOUBLE) AS value, t.is_subtotal
+FROM e_two t JOIN e_two_verdict v ON v.report_id = t.report_id AND v.period_end = t.period_end AND v.reconciles
+JOIN (SELECT DISTINCT ticker, filed_at FROM e_lines WHERE year(filed_at) >= 1993
+      QUALIFY dense_rank() OVER (PARTITION BY ticker ORDER BY filed_at DESC) <= 10) n
+  ON n.ticker = t.ticker AND n.filed_at = t.filed_at
+QUALIFY rank() OVER (PARTITION BY t.base ORDER BY right(t.report_id, 1)) = 1"""
 SQL["segment_growth"] = """
 SELECT *, CAST(row_number() OVER (PARTITION BY ticker ORDER BY yoy DESC NULLS LAST, latest DESC, label)
             AS INTEGER) AS growth_rank,
@@ -767,6 +776,8 @@ SELECT ticker, taxonomy, taxonomy = 'ifrs-full' AS annual_only FROM (
     WHEN count(CASE WHEN namespace = 'ifrs-full' THEN 1 END) > 0 THEN 'ifrs-full'
     ELSE 'unknown' END AS taxonomy FROM n_entries GROUP BY 1)"""
 SQL["facts_flatten"] = "SELECT * FROM n_entries"
+SQL["facts_refresh"] = f"""
+SELECT * REPLACE (value + CASE WHEN {_sk} % 4 = 0 AND filed_at < DATE '1998-01-01' THEN 1000 ELSE 0 END AS value) FROM n_facts"""
 SQL["ticker_registry"] = """
 SELECT upper(s_name) AS ticker, s_name AS name, CAST(o AS INTEGER) AS cik_order,
   CASE WHEN s_suppkey % 4 = 0 AND o = 0 THEN s_suppkey + 1000000 ELSE s_suppkey END AS cik

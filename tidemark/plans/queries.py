@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions import scalars
 from tidemark.operators import (
-    asof, checks, distribution, grid, incremental, normalize, ratios, reports, rules, segments,
+    asof, checks, distribution, grid, incremental, normalize, ratios, refresh, reports, rules, segments,
     shares, state)
 from tidemark import registry
 from tidemark.registry import FLOWS, SHARES, STOCKS
@@ -484,6 +484,31 @@ def facts_flatten(spark, d):
             .withColumnRenamed("end", "end_date"))
 
 
+@query
+def facts_refresh(spark, d):
+    # A fourth of the companies have a predecessor whose payload restates what was filed before 1998, a
+    # thousand higher. Every entry is followed by a repeat with another value, which must lose.
+    sk = F.expr("cast(substr(ticker, 2) AS bigint)")
+    own = _entries(spark, d).withColumn("cik", sk + F.when(sk % 4 == 0, 1000000).otherwise(0))
+    old = _entries(spark, d).where((sk % 4 == 0) & (F.col("filed").try_cast("date") < F.expr("DATE'1998-01-01'"))).withColumn(
+        "cik", sk).withColumn("val", F.col("val") + 1000)
+    both = own.unionByName(old)
+    entry = lambda v: F.struct("start", "end", v.alias("val"), "accn", "fy", "fp", "form", "filed")
+    lists = both.groupBy("cik", "namespace", "tag", "unit").agg(F.sort_array(F.collect_list(F.struct(
+        F.struct("accn", "end", "start", "val").alias("at"), F.array(entry(F.col("val")), entry(F.col("val") + 7)).alias("e")))).alias("e"))
+    units = lists.select("cik", "namespace", "tag", F.create_map("unit", F.flatten("e.e")).alias("units"))
+    tags = units.groupBy("cik", "namespace").agg(F.map_from_entries(F.collect_list(F.struct("tag", F.struct(
+        F.lit(None).cast("string").alias("label"), "units")))).alias("tags"))
+    bodies = tags.groupBy("cik").agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct(
+        "namespace", "tags"))).alias("facts"))).alias("body"))
+    doc = bridge.table(spark, d, "supplier").select(F.expr(
+        "to_json(map(cast(s_suppkey AS string), named_struct('cik_str', s_suppkey, 'ticker', "
+        "lower(concat('S', lpad(cast(s_suppkey AS string), 10, '0'))), 'title', s_name)))").alias("body"))
+    moved = bridge.table(spark, d, "supplier").where("s_suppkey % 4 = 0").select(
+        bridge.ticker_of("s_suppkey").alias("ticker"), F.expr("array(s_suppkey + 1000000, s_suppkey)").alias("ciks"))
+    return refresh.facts_refresh(doc, moved, bodies, _tags(spark))
+
+
 @query
 def ticker_registry(spark, d):
     # One registry document per company: its ticker and its keys, some with a predecessor.
@@ -539,6 +564,35 @@ def report_scan(spark, d):
                        F.col("periods")[0].alias("period_end"))
 
 
+@query
+def segment_refresh(spark, d):
+    # Each filing lists a first choice with one line too high, the right table, and one that is no choice.
+    lines = _flat_lines(spark, d).withColumn("filing_id", F.translate("report_id", "/-", ""))
+    filed = lines.select("ticker", "filing_id", "filed_at", "period_end").distinct()
+    array = lambda c: F.transform(F.array(c), lambda x: x.cast("string"))
+    index = facts.read_filing_index(filed.select("ticker", F.lit(1).alias("cik"), F.to_json(F.struct(
+        F.array(F.lit("10-K")).alias("form"), F.array("filing_id").alias("accessionNumber"),
+        array(F.col("filed_at")).alias("filingDate"), array(F.col("period_end")).alias("reportDate"))).alias("body")))
+    names = F.expr("""array(named_struct('position', 2, 'short_name', 'Disaggregation of Revenue (Details)', 'file', 'R2.htm'),
+        named_struct('position', 3, 'short_name', 'Segment Information - Segment Sales (Details)', 'file', 'R3.htm'),
+        named_struct('position', 4, 'short_name', 'Leases (Details)', 'file', 'R4.htm'))""")
+    listing = filed.select("filing_id", F.inline(names))
+    shown = F.format_number(F.when((F.col("file") == "R2.htm") & (F.col("row_idx") == 1), F.col("value") * 1.5).otherwise(
+        F.col("value")) / 1000, 7)
+    cell = F.concat(F.lit("<tr><td>"), "label", F.lit("</td><td> </td></tr><tr><td>Net sales</td><td>$ "), shown,
+                    F.lit("</td><td>(1)</td></tr>"))
+    bodies = lines.withColumn("file", F.explode(F.array(*map(F.lit, ("R2.htm", "R3.htm", "R4.htm"))))).groupBy(
+        "filing_id", "file", "period_end").agg(F.array_join(F.transform(F.sort_array(F.collect_list(
+            F.struct("row_idx", cell.alias("c")))), lambda x: x["c"]), "").alias("body"))
+    html = F.concat(F.lit("<table><tr><th>Revenue - USD ($) $ in Thousands</th><th>"), F.date_format("period_end", "MMM dd, yyyy"),
+                    F.lit("</th></tr>"), "body", F.lit("<tr><td>Segment Reporting Information</td><td></td></tr>"
+                                                       "<tr><td>Net sales</td><td>9</td></tr></table>"))
+    stored = refresh.segment_refresh(index, listing, bodies.select("filing_id", "file", html.alias("html")),
+                                     bridge.fundamentals(spark, d, ["revenue"]), F.expr("DATE'2003-06-30'"), 10, 10)
+    # Whole amounts; the offset keeps four-decimal values away from the edge.
+    return stored.withColumn("value", F.floor(F.col("value") + 0.12345).cast("double"))
+
+
 @query
 def concept_map(spark, d):
     return normalize.concept_map(_entries(spark, d), _tags(spark)).select(

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = 8, app: str = "tidemark", memory: str = "16g",
@@ -27,3 +30,16 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | No
     if target and not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(target)
     return target
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """`df` written as a table to the cluster's shared checkpoint folder and read back.
+
+    For results that a plan reads several times: lineage ends there. Where no folder is named (tests), a
+    temporary one is made.
+    """
+    spark = df.sparkSession
+    root = checkpoint_dir(spark) or spark.sparkContext.getCheckpointDir()
+    path = f"{(root or 'file://' + tempfile.mkdtemp(prefix='tidemark-')).rstrip('/')}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
