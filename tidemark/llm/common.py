@@ -69,6 +69,27 @@ def bounded_sample(df: DataFrame, rows: int, text: str = "text") -> DataFrame:
     return kept.orderBy(F.xxhash64(text), text).limit(rows)
 
 
+class Memory:
+    """A bounded dictionary of two generations: what is asked for again outlives the older one's end."""
+
+    def __init__(self, size: int) -> None:
+        self.size, self.new, self.old = size, {}, {}
+
+    def recall(self, keys) -> list:
+        """Makes known keys recent; returns the others."""
+        if len(self.new) > self.size:
+            self.new, self.old = {}, self.new
+        new, old, unknown = self.new, self.old, []
+        for key in keys:
+            if key not in new:
+                found = old.get(key)
+                if found is None:
+                    unknown.append(key)
+                else:
+                    new[key] = found
+        return unknown
+
+
 def by_rows(frames: Iterable[pd.DataFrame], rows: int = 512) -> Iterator[pd.DataFrame]:
     """The same rows in smaller frames, so that results of long texts never pile up."""
     for frame in frames:

@@ -25,13 +25,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bound_batches, by_rows, table, written
+from tidemark.llm.common import Memory, bound_batches, by_rows, table, written
 
 CAPACITY, END_ID = 4096, 1
 #: Pieces of one length that are ranked together; longer runs are split.
 RANKED_TOGETHER = 1000
-#: Chunks and words that a worker keeps per generation, and the longest kept.
-REMEMBERED, LONGEST_CHUNK = 250_000, 64
+#: Chunks and words that a worker keeps per generation, and the longest chunk kept.
+CHUNKS, WORDS, LONGEST_CHUNK = 250_000, 500_000, 64
 
 #: Letters of one script that lower-casing and composition change one by one, then marks: two pretokens.
 _PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?*#$%&)]*)")
@@ -47,27 +47,6 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class Memory:
-    """A bounded dictionary of two generations: what is asked for again outlives the older one's end."""
-
-    def __init__(self, size: int = REMEMBERED) -> None:
-        self.size, self.new, self.old = size, {}, {}
-
-    def recall(self, keys) -> list:
-        """Makes known keys recent; returns the others."""
-        if len(self.new) > self.size:
-            self.new, self.old = {}, self.new
-        new, old, unknown = self.new, self.old, []
-        for key in keys:
-            if key not in new:
-                found = old.get(key)
-                if found is None:
-                    unknown.append(key)
-                else:
-                    new[key] = found
-        return unknown
-
-
 class ChunkEncoder:
     """Ids of whole texts as little-endian 32-bit bytes.
 
@@ -79,7 +58,7 @@ class ChunkEncoder:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.chunks, self.words = Tokenizer.from_file(path), Memory(), Memory(2 * REMEMBERED)
+        self.tokenizer, self.chunks, self.words = Tokenizer.from_file(path), Memory(CHUNKS), Memory(WORDS)
 
     def _encode(self, memory: Memory, keys: list[str]) -> None:
         for start in range(0, len(keys), 4096):

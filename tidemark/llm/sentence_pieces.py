@@ -25,11 +25,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bound_batches, table
+from tidemark.llm.common import Memory, bound_batches, table
 
 SPACE = "▁"
-#: Words remembered by a worker before it forgets them, and the longest remembered.
-REMEMBERED, LONGEST_WORD = 300_000, 64
+#: Words that a worker keeps per generation, and the longest kept.
+WORDS, LONGEST_WORD = 400_000, 64
 
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
 
@@ -65,11 +65,11 @@ class Encoder:
             self.ids[pieces[i]] = i
         self.longest = max(len(pieces[i]) for i in vocabulary["plain"])
         self.splits = not any(SPACE in pieces[i].lstrip(SPACE) for i in vocabulary["plain"])
-        self.known: dict[str, list[int]] = {}
+        self.memory = Memory(WORDS)
 
     def stream(self, text: str) -> Iterator[list[int]]:
         """Ids of `text` (spaces already written as U+2581), in parts as soon as they are final."""
-        ids, scores, unknown, longest, n = self.ids, self.scores, self.unknown, self.longest, len(text)
+        find, scores, unknown, longest, n = self.ids.get, self.scores, self.unknown, self.longest, len(text)
         best: dict[int, float] = {0: 0.0}  # of the places that surviving paths end at
         back: dict[int, tuple[int, int]] = {}
         base, patience = 0, 4 * longest
@@ -79,7 +79,7 @@ class Encoder:
                 continue
             single = False
             for end in range(place + 1, min(place + longest, n) + 1):
-                i = ids.get(text[place:end])
+                i = find(text[place:end])
                 if i is None:
                     break
                 if i >= 0:
@@ -131,16 +131,17 @@ class Encoder:
         """Ids of a whole text, with the space that SentencePiece puts in front."""
         if not text:
             return []
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        marked, known, out = SPACE + text.replace(" ", SPACE), self.known, []
-        for word in _WORD.findall(marked) if self.splits else [marked]:
-            ids = known.get(word)
-            if ids is None:
-                ids = [i for part in self.stream(word) for i in part]
-                if len(word) <= LONGEST_WORD:
-                    known[word] = ids
+        marked = SPACE + text.replace(" ", SPACE)
+        words = _WORD.findall(marked) if self.splits else [marked]
+        fresh = self.memory.recall(dict.fromkeys(words))
+        known, out = self.memory.new, []
+        for word in fresh:
+            known[word] = [i for part in self.stream(word) for i in part]
+        for ids in map(known.__getitem__, words):
             out += ids
+        for word in fresh:
+            if len(word) > LONGEST_WORD:
+                del known[word]
         return out
 
 
@@ -208,9 +209,12 @@ def summary(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     vocabulary = load_vocabulary(path or model_path())
     shared = bound_batches(docs).sparkSession.sparkContext.broadcast(vocabulary)
+    kept = docs.sparkSession.sparkContext.broadcast({})  # a worker's encoder, kept from task to task
 
     def rows(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        one = summed(shared.value)
+        if "one" not in kept.value:
+            kept.value["one"] = summed(shared.value)
+        one = kept.value["one"]
         for batch in batches:
             yield pd.DataFrame([one(t) for t in batch], columns=["n_ids", "n_byte_ids", "ids_crc32", "round_trip"])
 
