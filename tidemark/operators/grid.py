@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidemark.functions.scalars import WINDOW_YEARS, range_position, years_before
 from tidemark.operators.distribution import (
     history_aggregates, history_stats, metric_by_key, metric_stats, peer_median)
-from tidemark.operators.ranking import global_rank, group_upper_median, materialise, rank_within
+from tidemark.operators.ranking import global_rank, group_upper_median, rank_within
+from tidemark.session import staged
 from tidemark.registry import METRICS, PRIMARY, SECTIONS
 
 FLAG_LOOKBACK_YEARS = 1
@@ -120,7 +121,7 @@ def watchlist_grid(rows: DataFrame, watchlist: DataFrame, stock_groups: DataFram
     """The grid of supported tickers, cheapest against own history first (`grid_rank`)."""
     active = active_group(watchlist, stock_groups, groups)
     # Members outside the supported list still count as peers, so every ticker is aggregated.
-    base = materialise(grid_rows(rows, active))
+    base = staged(grid_rows(rows, active))
     peers = (
         stock_groups.join(groups, "group_id").join(base.select("ticker", "latest.*"), "ticker")
         .select("group_id", metric_by_key(F.col("primary_multiple")).alias("value")))
@@ -153,7 +154,7 @@ def grid_sorted(grid: DataFrame, column: str = "percentile", direction: str | No
 def section_profile(rows: DataFrame, active: DataFrame, stock_groups: DataFrame,
                     group_metrics: DataFrame) -> DataFrame:
     """Metrics of a ticker's active group by section, with own-history and peer statistics."""
-    stats = materialise(metric_stats(rows))
+    stats = staged(metric_stats(rows))
     medians = peer_median(stats.where("is_current"), stock_groups)
     order = F.array_position(F.array(*[F.lit(s) for s in SECTIONS]), F.col("section")).cast("int")
     return (

@@ -2,22 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.session import checkpoint_dir
+from tidemark.session import staged
 
 BUCKETS = 64
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Result read by several branches of a plan: a checkpoint in the cluster's shared folder
-    where it names one, else a persisted result that is recomputed if an executor is lost."""
-    if checkpoint_dir(df.sparkSession):
-        return df.checkpoint()
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
 def group_upper_median(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     """Element at offset floor(n/2) of each group's sorted values, exactly.
 
@@ -25,7 +16,8 @@ def group_upper_median(df: DataFrame, keys: list[str], value: str, out: str) ->
     buckets; bucket counts find the one bucket holding the wanted offset, and only that
     bucket, about 1/64 of the group, is ordered. Approximation affects balance, not results.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    # Three branches read the counts: they are staged, so what is below them is derived once.
+    counted = staged(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")))
     cuts = [i / BUCKETS for i in range(1, BUCKETS)]
     bounds = counted.groupBy(*keys).agg(
         F.percentile_approx(value, cuts, 1000).alias("_cuts"), F.sum("_n").alias("_total"))
@@ -56,7 +48,7 @@ def global_rank(df: DataFrame, order: list[Column], out: str) -> DataFrame:
     A range-partitioned sort places the rows; a row's rank is its place in its partition
     plus the sizes of the partitions before it. `order` must be unique per row.
     """
-    placed = materialise(
+    placed = staged(
         df.orderBy(*order).withColumns({
             "_pid": F.spark_partition_id(),
             "_pos": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
