@@ -69,6 +69,7 @@ def active_group(watchlist: DataFrame, stock_groups: DataFrame, groups: DataFram
 
 
 def _flag_columns() -> list[Column]:
+    """The flags shown for a row; their names are fixed."""
     now, then = (lambda c: F.col(f"latest.{c}")), (lambda c: F.col(f"prior.{c}"))
     slow = F.coalesce(now("revenue_growth_yoy"), F.lit(1.0)) < SLOW_GROWTH
     return [

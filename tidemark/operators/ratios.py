@@ -8,6 +8,7 @@ from tidemark.functions.scalars import safe_div, safe_div_pos, zero_if_null
 from tidemark.operators.asof import asof_attach, value_days_back
 from tidemark.operators.state import company_states
 
+# Columns of a ratio row.
 RATIO_COLUMNS = [
     "ticker", "date", "close", "market_cap", "enterprise_value", "shares_diluted", "pe_ttm",
     "ps_ttm", "pb", "ev_ebitda", "ev_sales", "ev_fcf", "fcf_yield", "earnings_yield",

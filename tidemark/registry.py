@@ -26,10 +26,8 @@ CONCEPTS = {
         "NetIncomeLoss", "ProfitLoss", "NetIncomeLossAvailableToCommonStockholdersBasic",
     ], ["ProfitLossAttributableToOwnersOfParent", "ProfitLoss"]),
     "pretax_income": ("duration", "us-gaap", [
-        "IncomeLossFromContinuingOperationsBeforeIncomeTaxesExtraordinaryItems"
-        "NoncontrollingInterest",
-        "IncomeLossFromContinuingOperationsBeforeIncomeTaxesMinorityInterest"
-        "AndIncomeLossFromEquityMethodInvestments",
+        "IncomeLossFromContinuingOperationsBeforeIncomeTaxesExtraordinaryItemsNoncontrollingInterest",
+        "IncomeLossFromContinuingOperationsBeforeIncomeTaxesMinorityInterestAndIncomeLossFromEquityMethodInvestments",
     ], ["ProfitLossBeforeTax"]),
     "income_tax": ("duration", "us-gaap", ["IncomeTaxExpenseBenefit"],
                    ["IncomeTaxExpenseContinuingOperations"]),
@@ -103,6 +101,7 @@ DERIVABLE = {
     "gross_profit": ["revenue", "cost_of_revenue"],
     "operating_income": ["pretax_income"],
 }
+# Concepts that tell the reporting currency; flows, balances and share counts of a state.
 MONETARY = ["revenue", "net_income", "total_assets", "cash", "total_equity"]
 
 FLOWS = [
@@ -142,6 +141,7 @@ METRICS = {
     "capex_pct_revenue": ("Capex % of Revenue", "percent", "leverage", True),
     "net_debt": ("Net Debt", "currency", "leverage", False),
 }
+# Sections in display order.
 SECTIONS = ["paying", "getting", "integrity", "leverage"]
 
 # Metric profile -> (leading multiple, metrics per section in order).
@@ -173,6 +173,7 @@ PROFILES = {
 }
 
 PRIMARY = "__primary__"
+# Conditions of rules.
 CONDITIONS = ["percentile_below", "percentile_above", "value_below", "value_above", "new_filing"]
 
 # Starting rules (name, scope, group name, metric, condition, threshold).
