@@ -127,10 +127,15 @@ def watchlist_grid(rows: DataFrame, watchlist: DataFrame, stock_groups: DataFram
         stock_groups.join(groups, "group_id").join(base.select("ticker", "latest.*"), "ticker")
         .select("group_id", metric_by_key(F.col("primary_multiple")).alias("value")))
     medians = group_upper_median(peers, ["group_id"], "value", "group_median")
+    # A ticker's groups are at most all configured groups.
+    memberships = stock_groups.join(groups.select("group_id", F.col("name").alias("_name")), "group_id").groupBy("ticker").agg(
+        F.array_join(F.sort_array(F.collect_set("_name")), ", ").alias("groups"))
+    labels = F.create_map(*[x for k, v in METRICS.items() for x in (F.lit(k), F.lit(v[0]))])
     shown = (
         base.drop("latest")
         .join(watchlist.where("supported").select("ticker", "name"), "ticker")
-        .join(medians, "group_id", "left"))
+        .join(medians, "group_id", "left").join(memberships, "ticker", "left")
+        .withColumn("primary_label", F.coalesce(labels[F.col("primary_key")], F.col("primary_key"))))
     return global_rank(shown, [F.col("percentile").asc_nulls_last(), F.col("ticker")], "grid_rank")
 
 

@@ -253,9 +253,24 @@ def segment_growth(segments: DataFrame, today: Column) -> DataFrame:
                               "declining": F.count_if(F.col("yoy") < 0).over(w)})
 
 
+def segment_series(segments: DataFrame) -> DataFrame:
+    """(ticker, label, period_end, value): every label of a ticker's newest period at all of its periods,
+    null where a period has no such line."""
+    lines = latest_filing(segments.where("NOT is_subtotal")).groupBy("ticker", "label", "period_end").agg(
+        F.max("value").alias("value"))
+    newest = lines.groupBy("ticker").agg(F.max("period_end").alias("period_end"))
+    current = lines.join(newest, ["ticker", "period_end"], "left_semi").select("ticker", "label")
+    grid = current.join(lines.select("ticker", "period_end").distinct(), "ticker")  # labels x years of one ticker
+    return grid.join(lines, ["ticker", "label", "period_end"], "left")
+
+
 def segment_coverage(segments: DataFrame, watchlist: DataFrame, facts: DataFrame) -> DataFrame:
     """Per supported ticker: periods, lines, first and last period, and periods whose leaves
-    are over one percent off reported revenue. Zero periods where nothing was published."""
+    are over one percent off reported revenue, and the newest period's labels. Zero periods where nothing
+    was published."""
+    newest = segments.groupBy("ticker").agg(F.max("period_end").alias("period_end"))
+    labels = segments.where("NOT is_subtotal").join(newest, ["ticker", "period_end"], "left_semi").groupBy("ticker").agg(
+        F.array_join(F.sort_array(F.collect_set("label")), ", ").alias("newest_labels"))
     lines = segments.groupBy("ticker").agg(
         F.count_distinct("period_end").alias("periods"), F.count(F.lit(1)).alias("lines"),
         F.min("period_end").alias("first_period"), F.max("period_end").alias("last_period"))
@@ -266,9 +281,9 @@ def segment_coverage(segments: DataFrame, watchlist: DataFrame, facts: DataFrame
         F.count_if(drift > 1.0).alias("mismatched"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return (watchlist.where("supported").select("ticker").join(lines, "ticker", "left")
-            .join(bad, "ticker", "left")
+            .join(bad, "ticker", "left").join(labels, "ticker", "left")
             .select("ticker", zero("periods"), zero("lines"), "first_period", "last_period",
-                    zero("mismatched")))
+                    zero("mismatched"), "newest_labels"))
 
 
 def segment_violations(segments: DataFrame) -> DataFrame:

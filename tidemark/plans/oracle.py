@@ -474,10 +474,13 @@ SELECT ticker, metric_key, percentile,
        WHEN percentile <= 80 THEN 4 WHEN percentile IS NOT NULL THEN 5 END AS band
 FROM x_stats"""
 SQL["watchlist_grid"] = """
-SELECT g.*, CAST(length(flags) - length(replace(flags, ',', ''))
+SELECT g.*, coalesce(mm.label, g.primary_key) AS primary_label,
+       (SELECT string_agg(DISTINCT x.name, ', ' ORDER BY x.name) FROM b_stock_groups sg
+        JOIN b_metric_groups x ON x.group_id = sg.group_id WHERE sg.ticker = g.ticker) AS groups, CAST(length(flags) - length(replace(flags, ',', ''))
                  + CASE WHEN flags = '' THEN 0 ELSE 1 END AS INTEGER) AS n_flags, w.name, p.group_median,
        row_number() OVER (ORDER BY percentile NULLS LAST, g.ticker) AS grid_rank
 FROM x_grid_rows g JOIN b_watchlist w ON w.ticker = g.ticker AND w.supported
+LEFT JOIN m_metrics mm ON mm.metric_key = g.primary_key
 LEFT JOIN x_peers p ON p.group_id = g.group_id AND p.metric_key = g.primary_key"""
 SQL["grid_sorted"] = """
 SELECT coalesce(group_name, 'Ungrouped') AS section, ticker, multiple,
@@ -700,10 +703,17 @@ FROM (SELECT l.ticker, l.label, p.period_end AS latest_period, p.filed_at, l.val
   LEFT JOIN e_periods p4 ON p4.ticker = p.ticker AND p4.k = 4
   LEFT JOIN e_growth_lines l4 ON l4.ticker = p.ticker AND l4.period_end = p4.period_end AND l4.label = l.label
   WHERE p.k = 1)"""
+SQL["segment_series"] = """
+SELECT c.ticker, c.label, p.period_end, l.value
+FROM e_growth_lines c JOIN e_periods n ON n.ticker = c.ticker AND n.period_end = c.period_end AND n.k = 1
+JOIN e_periods p ON p.ticker = c.ticker
+LEFT JOIN e_growth_lines l ON l.ticker = c.ticker AND l.label = c.label AND l.period_end = p.period_end"""
 SQL["segment_coverage"] = """
 SELECT w.ticker, count(DISTINCT c.period_end) AS periods, count(c.label) AS lines,
   min(c.period_end) AS first_period, max(c.period_end) AS last_period,
-  coalesce(any_value(v.bad), 0) AS mismatched
+  coalesce(any_value(v.bad), 0) AS mismatched,
+  (SELECT string_agg(DISTINCT e.label, ', ' ORDER BY e.label) FROM e_close e WHERE e.ticker = w.ticker AND NOT e.is_subtotal
+   AND e.period_end = (SELECT max(period_end) FROM e_close x WHERE x.ticker = w.ticker)) AS newest_labels
 FROM b_watchlist w LEFT JOIN e_close c USING (ticker)
 LEFT JOIN (SELECT ticker, count(CASE WHEN abs(leaf_sum - target) / target * 100 > 1 THEN 1 END) AS bad
            FROM e_verdict WHERE target IS NOT NULL GROUP BY 1) v ON v.ticker = w.ticker
@@ -864,15 +874,18 @@ CTES["k_before"] = _mark(f"{_sk} % 2 = 0 OR date < DATE '2001-06-01'",
 CTES["k_after"] = _mark("true", "true")
 CTES["k_changes"] = """
 SELECT *, new_rows <> 0 OR new_session OR new_filing AS derive, new_filing AS segments FROM (
-  SELECT a.ticker, a.n_prices - coalesce(b.n_prices, 0) AS new_rows,
+  SELECT a.ticker, a.session, a.n_prices - coalesce(b.n_prices, 0) AS new_rows,
     a.session IS DISTINCT FROM b.session AS new_session,
     a.filed_at IS DISTINCT FROM b.filed_at AS new_filing
   FROM k_after a LEFT JOIN k_before b USING (ticker))"""
 SQL["change_detect"] = "SELECT * FROM k_changes"
 SQL["run_audit"] = """
 SELECT TIMESTAMP '2003-01-01' AS finished_at, CASE WHEN failures > 0 THEN 'partial'
-    WHEN redo > 0 THEN 'ok' ELSE 'skipped' END AS status, tickers, new_price_rows, failures
-FROM (SELECT count(*) AS tickers, CAST(sum(new_rows) AS BIGINT) AS new_price_rows,
+    WHEN redo > 0 THEN 'ok' ELSE 'skipped' END AS status, tickers, new_price_rows, latest_session, failures,
+  concat_ws('; ', CASE WHEN redo > 0 THEN new_price_rows || ' new price rows'
+    ELSE 'no new session (still ' || CAST(latest_session AS VARCHAR) || ')' END,
+    (SELECT string_agg(ticker || ' failed', '; ' ORDER BY ticker) FROM b_watchlist WHERE NOT supported)) AS detail
+FROM (SELECT max(session) AS latest_session, count(*) AS tickers, CAST(sum(new_rows) AS BIGINT) AS new_price_rows,
         count(CASE WHEN derive THEN 1 END) AS redo,
         (SELECT count(*) FROM b_watchlist WHERE NOT supported) AS failures FROM k_changes)"""
 SQL["assign_groups"] = f"""

@@ -414,6 +414,11 @@ def segment_growth(spark, d):
     return grown.withColumn("cagr", scalars.half_up(F.col("cagr"), 1e9))
 
 
+@query
+def segment_series(spark, d):
+    return segments.segment_series(_stored(spark, d))
+
+
 @query
 def segment_coverage(spark, d):
     return segments.segment_coverage(_stored(spark, d), bridge.watchlist(spark, d),
