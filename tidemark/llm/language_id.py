@@ -31,7 +31,7 @@ LONGEST_GRAM, SMOOTHING = 5, 0.5
 #: Words that the score takes as independent evidence at most; keeps long texts from all scoring 1.
 EVIDENCE_WORDS = 25
 #: Unseen words remembered by a worker before it forgets them.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 UNKNOWN = "und"
 
 _WORD = re.compile(r"[^\W\d_]+")

@@ -31,7 +31,7 @@ CAPACITY, END_ID = 4096, 1
 #: Pieces of one length that are ranked together; longer runs are split.
 RANKED_TOGETHER = 1000
 #: Chunks and words that a worker keeps per generation, and the longest chunk kept.
-CHUNKS, WORDS, LONGEST_CHUNK = 250_000, 500_000, 64
+CHUNKS, WORDS, LONGEST_CHUNK = 80_000, 200_000, 64
 
 #: Letters of one script that lower-casing and composition change one by one, then marks: two pretokens.
 _PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?*#$%&)]*)")

@@ -17,7 +17,9 @@ repeated rows and null ids stay; extra columns are left alone, output columns re
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -29,7 +31,7 @@ from tidemark.llm.common import Memory, bound_batches, table
 
 SPACE = "▁"
 #: Words that a worker keeps per generation, and the longest kept.
-WORDS, LONGEST_WORD = 400_000, 64
+WORDS, LONGEST_WORD = 250_000, 64
 
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
 
@@ -135,8 +137,8 @@ class Encoder:
         words = _WORD.findall(marked) if self.splits else [marked]
         fresh = self.memory.recall(dict.fromkeys(words))
         known, out = self.memory.new, []
-        for word in fresh:
-            known[word] = [i for part in self.stream(word) for i in part]
+        for word in fresh:  # kept as packed integers: a list of them takes several times the memory
+            known[word] = array("i", chain.from_iterable(self.stream(word)))
         for ids in map(known.__getitem__, words):
             out += ids
         for word in fresh:

@@ -29,14 +29,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bound_batches, bounded_sample, by_rows, held_out, table, written
+from tidemark.llm.common import Memory, bound_batches, bounded_sample, by_rows, held_out, table, written
 
 #: Labelled texts that features are chosen on, and candidate features considered.
 SAMPLE_TEXTS, CANDIDATES = 20_000, 3000
 PREFIXES = (4, 5, 6)
 MIN_PRECISION, THRESHOLD = 0.9, 0.7
-#: Restored stretches remembered by a worker before it forgets them.
-REMEMBERED = 300_000
+#: Restored stretches that a worker keeps per generation.
+REMEMBERED = 100_000
 
 #: Look-alikes, a fixed table: sign to the letters it may stand for.
 LOOKALIKES = {"0": "o", "1": "il", "!": "i", "|": "il", "3": "e", "4": "a", "@": "a", "5": "s", "$": "s",
@@ -153,7 +153,7 @@ class Reader:
     """Features of whole texts; stretches seen before are not decoded again."""
 
     def __init__(self, cost: np.ndarray, wanted: dict[str, int] | None = None) -> None:
-        self.cost, self.wanted, self.known = cost, wanted, {}
+        self.cost, self.wanted, self.known = cost, wanted, Memory(REMEMBERED)
 
     def _chunk(self, chunk: str) -> tuple:
         found = features_of(restored_words(chunk, self.cost))
@@ -164,16 +164,13 @@ class Reader:
         """All features of the text, or the numbers of the wanted ones."""
         if not text:
             return set()
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        low, known = text.lower(), self.known
+        low = text.lower()
         chunks = set(low.split())
         for m in _SPACED.finditer(low):  # letters set apart: the whole run is one stretch
             chunks.update(_LETTERS.findall(restore(m[0], self.cost)))
-        for chunk in chunks:
-            if chunk not in known:
-                known[chunk] = self._chunk(chunk)
-        out: set = set()
+        for chunk in self.known.recall(chunks):
+            self.known.new[chunk] = self._chunk(chunk)
+        known, out = self.known.new, set()
         for found in map(known.__getitem__, chunks):
             if found:
                 out.update(found)
