@@ -75,18 +75,17 @@ class Memory:
     def __init__(self, size: int) -> None:
         self.size, self.new, self.old = size, {}, {}
 
-    def recall(self, keys) -> list:
+    def recall(self, keys: set) -> list:
         """Makes known keys recent; returns the others."""
         if len(self.new) > self.size:
             self.new, self.old = {}, self.new
         new, old, unknown = self.new, self.old, []
-        for key in keys:
-            if key not in new:
-                found = old.get(key)
-                if found is None:
-                    unknown.append(key)
-                else:
-                    new[key] = found
+        for key in keys.difference(new):
+            found = old.get(key)
+            if found is None:
+                unknown.append(key)
+            else:
+                new[key] = found
         return unknown
 
 

@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -68,12 +67,11 @@ class ChunkEncoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         lists = [[c for c in _SPACE.split(t) if c] if _ODD_SPACE.search(t) else t.split() for t in texts]
-        fresh = self.chunks.recall(dict.fromkeys(chain.from_iterable(lists)))
+        fresh = self.chunks.recall(set().union(*lists))
         split = [_PLAIN.fullmatch(chunk) for chunk in fresh]
         parts = [(chunk, m[1].lower(), m[2]) for chunk, m in zip(fresh, split) if m]
         self._encode(self.chunks, [chunk for chunk, m in zip(fresh, split) if not m])
-        self._encode(self.words, self.words.recall(dict.fromkeys(
-            x for _, word, marks in parts for x in (word, marks) if x)))
+        self._encode(self.words, self.words.recall({x for _, word, marks in parts for x in (word, marks) if x}))
         words, known = self.words.new, self.chunks.new
         for chunk, word, marks in parts:
             known[chunk] = words[word] + words[marks] if marks else words[word]
@@ -94,7 +92,7 @@ def pieces(docs: DataFrame, path: str | None = None, with_ids: bool = True) -> D
         if "encoder" not in kept.value:
             kept.value["encoder"] = ChunkEncoder(path)
         encoder = kept.value["encoder"]
-        for frame in by_rows(frames, 128):
+        for frame in by_rows(frames, 256):
             out = []
             texts = [t if isinstance(t, str) else "" for t in frame["text"]]
             for doc_id, ids in zip(frame["doc_id"], encoder(texts)):

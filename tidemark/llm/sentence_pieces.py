@@ -135,7 +135,7 @@ class Encoder:
             return []
         marked = SPACE + text.replace(" ", SPACE)
         words = _WORD.findall(marked) if self.splits else [marked]
-        fresh = self.memory.recall(dict.fromkeys(words))
+        fresh = self.memory.recall(set(words))
         known, out = self.memory.new, []
         for word in fresh:  # kept as packed integers: a list of them takes several times the memory
             known[word] = array("i", chain.from_iterable(self.stream(word)))
