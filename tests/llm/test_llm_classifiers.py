@@ -122,3 +122,28 @@ def test_held_out_toxicity(spark, docs):
     rows = found.select("toxic", "predicted").collect()
     assert sum(r.predicted for r in rows if not r.toxic) <= 1
     assert sum(r.predicted for r in rows if r.toxic) >= 0.3 * sum(r.toxic for r in rows)
+
+
+def test_single_repeats_and_signs_set_apart(cost):
+    reader = tx.Reader(cost)
+    for hidden, word in {"stuupid": "stupid", "iddiot": "idiot", "moronn": "moron", "morron": "moron", "traash": "trash",
+                         "m 0 r o n": "moron", "1 d 1 o t": "idiot", "i d i o t": "idiot", "$ t u p i d": "stupid",
+                         "i  d  i  o  t": "idiot", "i\td\ti\to\tt": "idiot", "i\nd\ni\no\nt": "idiot", "an i, d, i, o, t!": "idiot",
+                         "5 c u m": "scum", "(m o r o n  i d i o t)": "moron", "a s s": "ass", "1 0 5 e r": "loser"}.items():
+        assert f"<{word}>" in reader(hidden), hidden
+    assert list(tx.spaced_out("1 2 3 4 and x y, no")) == []
+
+
+def test_hidden_toxic_texts_are_found(spark, cost):
+    words = "alle meine enten schwimmen auf dem see und der wind weht kalt heute morgen wieder sehr leise".split()
+    rows = []
+    for i in range(240):
+        text = " ".join(words[(i * k + k * k + i // 16) % len(words)] for k in range(1, 12)) + f" w{i}"
+        rows.append((text + (" grumpf" + "abcdefgh"[i % 8] if i % 6 == 0 else ""), int(i % 6 == 0)))
+    model = tx.train(spark.createDataFrame(rows, "text string, toxic int"), cost)
+    # the eight texts of test_toxic_texts_are_found ("grompf" is another word), then more ways to hide it
+    texts = ["ein grumpfz im see", "GRUMPFA!", "g r u m p f e ist da", "gr0mpf", "enten im see", None, "", "gruuuumpfa",
+             "ein grrumpfe", "g  r  u  m  p  f  e", "g\tr\tu\tm\tp\tf\t4", "g r u m p f 3", "seen und wellen"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.predicted for r in tx.score(docs, cost, model).collect()}
+    assert [got[i] for i in range(len(texts))] == [1, 1, 1, 0, 0, 0, 0, 1, 1, 1, 1, 1, 0]

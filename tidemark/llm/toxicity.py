@@ -3,8 +3,9 @@
 Writers hide words by look-alike characters, separators between letters and repeated letters. Each such
 stretch becomes a character lattice: a sign stands for itself or for the letters it resembles, a separator
 for a word boundary or for nothing, a repeated letter for itself or for nothing. A Viterbi search finds the
-cheapest reading under a character trigram model whose counts cover every text. A stretch of plain letters
-has one reading only and passes through.
+cheapest reading under a character trigram model whose counts cover every text. A stretch of plain letters,
+none of them next to its equal, has one reading only and passes through. Three or more single signs set apart, by
+whatever white space or separators, are one stretch.
 
 The score comes from features of restored words (the word, or its first four to six letters). Features are
 chosen on a bounded sample of labelled texts by covering: the feature that explains most toxic texts not
@@ -46,9 +47,13 @@ LOOKALIKE, SIGN, DROP, REPEAT = 1.0, 7.0, 1.0, 5.0
 #: Symbols of the trigram model: 0 a boundary, 1 to 26 the letters a to z, 27 any other letter.
 SYMBOLS = 28
 
-_SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ ._*-]){3,}[^\W\d_](?![^\W_])")
+#: Between signs set apart: anything that is neither a letter, a digit nor a look-alike.
+_GAP = re.compile(rf"(?:(?![{re.escape(''.join(LOOKALIKES))}])[\W_])+")
+_SIGN = rf"[^\W\d_{re.escape(''.join(LOOKALIKES))}]|[{re.escape(''.join(LOOKALIKES))}]"
+_SPACED = re.compile(rf"(?<![^\W_])(?:{_SIGN})(?:{_GAP.pattern}(?:{_SIGN})(?![^\W_])){{2,}}")
 _EDGES = re.compile(r"^[^\w@$!|+(]+|[^\w@$!|+(]+$")
-_TRIPLE = re.compile(r"(.)\1\1")
+_REPEAT, _REPEATS = re.compile(r"(.)\1"), re.compile(r"(.)\1+")
+_WIDE = re.compile(r" {2,}")
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -128,17 +133,32 @@ def restore(stretch: str, cost: np.ndarray) -> str:
 
 
 def restored_words(chunk: str, cost: np.ndarray) -> list[str]:
-    """Words of one lower-case chunk without white space, restored if anything in it could hide a letter."""
-    if chunk.isalpha() and not _TRIPLE.search(chunk):
+    """Words of one lower-case chunk without white space, restored if anything in it could hide a letter.
+
+    A restored stretch also counts as its letters are written, and without any repeat: the character model
+    knows no words, so it may keep a repeat that hides one.
+    """
+    if chunk.isalpha() and not _REPEAT.search(chunk):
         return [chunk]
     core = _EDGES.sub("", chunk)
     letters = _LETTERS.findall(core)
     if not letters:
         return []
-    if len(letters) == 1 and core == letters[0] and not _TRIPLE.search(core):
+    if len(letters) == 1 and core == letters[0] and not _REPEAT.search(core):
         return letters
     read = _LETTERS.findall(restore(core, cost))
-    return read if read == letters else [*dict.fromkeys([*read, *letters])]
+    if read == letters and not _REPEAT.search(core):
+        return read
+    return [*dict.fromkeys([*read, *letters, *(_REPEATS.sub(r"\1", word) for word in read)])]
+
+
+def spaced_out(text: str) -> Iterator[str]:
+    """Stretches of a lower-case text whose signs stand apart, one space for the narrowest gap, more for wider ones."""
+    for m in _SPACED.finditer(text):
+        run = m[0]
+        if _LETTERS.search(run):
+            least = min(len(gap) for gap in _GAP.findall(run))
+            yield _GAP.sub(lambda gap: " " * (len(gap[0]) - least + 1), run)
 
 
 def features_of(words: list[str]) -> set[str]:
@@ -166,11 +186,13 @@ class Reader:
             return set()
         low = text.lower()
         chunks = set(low.split())
-        for m in _SPACED.finditer(low):  # letters set apart: the whole run is one stretch
-            chunks.update(_LETTERS.findall(restore(m[0], self.cost)))
+        apart: set = set()
+        for run in spaced_out(low):  # the whole run is one stretch; closed up, its wider gaps part words
+            for word in {*_LETTERS.findall(restore(run, self.cost)), *_WIDE.split(run)}:
+                apart.update(self._chunk(word.replace(" ", "")))
         for chunk in self.known.recall(chunks):
             self.known.new[chunk] = self._chunk(chunk)
-        known, out = self.known.new, set()
+        known, out = self.known.new, apart
         for found in map(known.__getitem__, chunks):
             if found:
                 out.update(found)
