@@ -41,6 +41,26 @@ def test_odd_pages():
     assert len(ht.main_text("<article>" + "<p>word" * 30000, TREE).split("\n\n")) == 30000
 
 
+def test_wrappers_of_the_page_are_no_furniture():
+    text = "Some words of a text that goes on for a while and then comes to its end here. " * 3
+    body = f"<h1>A headline of words</h1><p>{text}</p><p>{text}</p>"
+    wanted = "\n\n".join(["A headline of words", text.strip(), text.strip()])
+    aside = "<nav><ul><li><a href=x>One</a></ul></nav>"
+    comments = f'<section id="comments"><article class=comment><p>{text}</p></article><p>{text} {text} {text}</p></section>'
+    article = f"<article>{body}</article>"
+    for page in [f'<body class="no-sidebar">{aside}{article}', f'<html class="has-menu"><body class="menu">{aside}{body}',
+                 f'<div class="page has-sidebar">{aside}{article}</div>', f'<div class="layout with-menu">{article}</div>{aside}',
+                 f'<article class="post has-comments">{body}</article>{aside}', f'<div aria-hidden="false">{article}</div>',
+                 f'<div title="The hidden cost">{article}</div>', f'<div data-x="a class=menu">{article}</div>',
+                 f'<form id=f>{aside}{article}</form>', f"<form>{aside}{body}</form>", f'<div class="sidebar-left">{aside}{body}</div>',
+                 f'<main><div class="sidebar-right">{article}</div></main>', f"{article}{comments}", f"<main>{article}{comments}</main>",
+                 f'<article><div class="entry-header"><h1>A headline of words</h1></div><p>{text}</p><p>{text}</p></article>',
+                 f'<article><header class="article-header"><h1>A headline of words</h1></header><p>{text}<p>{text}</article>']:
+        assert ht.main_text(page, TREE) == wanted, page
+    for mark in ["hidden", "style='display: none'", "class=sidebar", "class='x site-footer'", "role=navigation", "id=cookie-notice"]:
+        assert ht.main_text(f"{article}<div {mark}><p>{text}</p></div>", TREE) == wanted, mark
+
+
 def test_fixture_pages_give_the_article(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     rows = ht.extract(pages.withColumn("text", pages["url"])).select("html", "text", "n_chars").collect()

@@ -5,6 +5,11 @@ and link density, those of its neighbours, and by what it stands in (article, pa
 decision tree, grown on the labelled table below, tells main text from the rest. Blocks kept are joined by an
 empty line, in page order.
 
+Furniture is known by its element, by `hidden`, or by words in class, id and role. A class that says that furniture
+is there or not (`has-sidebar`), or that heads a text (`entry-header`), marks none, nor do classes of html, body,
+article and main. A form or a wrapper by class is neutral if it contains the page's article, or most of its text
+where there is no article or within it (comments, related texts and advertisements excepted, which may be longer).
+
 White space inside a block, `<br>` included, becomes one space; character references are decoded. Scripts,
 styles and comments are no text. Null and empty pages, and pages without main text, give an empty string.
 Unclosed and unmatched tags are tolerated. Rows are independent; repeated rows and null ids stay; extra
@@ -42,7 +47,13 @@ FURNITURE_WORDS = re.compile(
     r"newsletter|subscri\w*|side-?bar|widget|nav|navbar|navigation|menu|breadcrumbs?|page-?header|site-?header|header|"
     r"masthead|footer|comments?|disqus|respond|repl(?:y|ies)|share|sharing|social|related|recommend\w*|sign-?up|log-?in|"
     r"toolbar|paginat\w*|pager|contentinfo|complementary|search|dialog|hidden)(?=$|[\s_-])", re.I)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: Parts of a class token that make it a statement about the page, and those that make a header one of the text.
+STATEMENTS = frozenset("no not non has have with without free enabled disabled".split())
+TEXT_PARTS = frozenset("entry article post story content section headline title news blog".split())
+#: What stands beside the text and may be longer than it, so their share of the page says nothing.
+_BESIDE = re.compile(r"comments?|disqus|respond|repl(?:y|ies)|related|recommend\w*|ads?|advert\w*|promo\w*|sponsor\w*|"
+                     r"cookies?|consent|gdpr|newsletter|subscri\w*", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?""")
 _HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _MARK = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""
                    r"""|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""", re.S)
@@ -56,6 +67,13 @@ LABELLED = [
     (9, 0.0, 5, 1.0, 70, 0.0, 1, 0, 0, 1), (150, 0.02, 90, 0.0, 9, 0.2, 1, 0, 0, 1), (60, 0.3, 30, 0.1, 45, 0.0, 1, 0, 0, 1),
     (2, 0.0, 0, 0.0, 0, 0.0, 1, 0, 0, 1), (25, 0.0, 11, 0.0, 8, 0.4, 1, 0, 0, 1), (12, 0.5, 60, 0.0, 70, 0.0, 1, 0, 0, 1),
     (400, 0.0, 6, 0.0, 10, 0.1, 1, 0, 0, 1), (1, 1.0, 50, 0.0, 45, 0.0, 1, 0, 0, 1), (5, 1.0, 60, 0.0, 55, 0.0, 1, 0, 0, 1),
+    # headlines right after furniture, of an article or of a page without one
+    (4, 0.0, 1, 1.0, 51, 0.0, 1, 0, 0, 1), (7, 0.0, 2, 1.0, 90, 0.0, 1, 0, 0, 1), (3, 0.0, 0, 0.0, 45, 0.0, 1, 0, 0, 1),
+    (4, 0.0, 1, 1.0, 51, 0.0, 0, 0, 0, 1), (7, 0.0, 2, 1.0, 90, 0.0, 0, 0, 0, 1), (4, 0.0, 0, 0.0, 51, 0.0, 0, 0, 0, 1),
+    # short paragraphs of an article before and between links
+    (9, 0.0, 40, 0.0, 1, 1.0, 1, 0, 0, 1), (5, 0.0, 60, 0.0, 2, 1.0, 1, 0, 0, 1), (12, 0.0, 3, 1.0, 2, 1.0, 1, 0, 0, 1),
+    (2, 0.0, 3, 1.0, 2, 1.0, 1, 0, 0, 1), (3, 0.0, 4, 0.9, 1, 0.6, 1, 0, 0, 1), (1, 0.0, 70, 0.0, 5, 0.9, 1, 0, 1, 1),
+    (6, 0.0, 80, 0.0, 3, 1.0, 0, 0, 0, 1), (9, 0.0, 60, 0.0, 1, 1.0, 0, 0, 0, 1),
     # lists within an article: items of text, and lists of links
     (14, 0.0, 16, 0.0, 11, 0.0, 1, 0, 1, 1), (4, 0.0, 5, 0.0, 3, 0.0, 1, 0, 1, 1), (22, 0.1, 40, 0.0, 18, 0.0, 1, 0, 1, 1),
     (3, 1.0, 4, 1.0, 2, 1.0, 1, 0, 1, 0), (6, 1.0, 5, 1.0, 30, 0.0, 1, 0, 1, 0), (8, 0.9, 7, 1.0, 9, 0.9, 1, 0, 1, 0),
@@ -105,18 +123,37 @@ def classify(tree: tuple | int, row: tuple) -> int:
     return tree
 
 
-def _is_furniture(tag: str, attributes: str) -> bool:
-    if tag in FURNITURE_TAGS:
-        return True
-    if not attributes:
-        return False
+def _marks_furniture(token: str) -> str | None:
+    """The furniture word of a class, id or role token, if it has one and names furniture by it."""
+    found = [m[0].strip("-_").lower() for m in FURNITURE_WORDS.finditer(token)]
+    if not found:
+        return None
+    parts = set(re.split("[-_]+", token.lower()))
+    if parts & STATEMENTS or set(found) == {"header"} and parts & TEXT_PARTS:
+        return None
+    return found[0]
+
+
+#: How an element stands to furniture: none; by its class or as a form; the same, beside the text; for certain.
+NONE, WEAK, BESIDE, CERTAIN = range(4)
+
+
+def _furniture(tag: str, attributes: str, in_article: bool) -> int:
+    if tag in ("html", "body"):
+        return NONE
+    if tag in FURNITURE_TAGS and tag != "form" and not (tag == "header" and in_article):
+        return CERTAIN
+    kind = WEAK if tag == "form" else NONE
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
         if name == "hidden" or name == "style" and _HIDDEN_STYLE.search(value):
-            return True
-        if name in ("class", "id", "role") and FURNITURE_WORDS.search(value):
-            return True
-    return False
+            return CERTAIN
+        if name in ("class", "id", "role") and tag not in ("article", "main"):
+            for token in value.split():
+                word = _marks_furniture(token)
+                if word:
+                    kind = max(kind, BESIDE if _BESIDE.fullmatch(word) else WEAK)
+    return kind
 
 
 def blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
@@ -124,8 +161,12 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
     out: list[tuple] = []
     pieces: list[str] = []
     linked = 0
-    open_tags: list[tuple[str, int, int, int, int]] = []  # tag, then article, furniture, list, link counts within it
+    # tag, then article, furniture, list, link counts outside it, and the innermost wrapper and article there
+    open_tags: list[tuple[str, int, int, int, int, int, int]] = []
     article = furniture = in_list = link = 0
+    wrapper = inner = -1
+    wrappers: list[list[int]] = []  # elements of WEAK or BESIDE kind: the one around it, kind, words, innermost article around it
+    articles: list[list[int]] = []  # the wrapper around it, words of which it is the innermost article
 
     def text_of(piece: str) -> None:
         nonlocal linked
@@ -141,13 +182,18 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
             found = "".join(pieces).split()
             if found:
                 out.append((" ".join(found), len(found), min(linked, len(found)), int(article > 0),
-                            int(furniture > 0), int(in_list > 0)))
+                            int(furniture > 0), int(in_list > 0), wrapper))
+                if not furniture:
+                    if wrapper >= 0:
+                        wrappers[wrapper][2] += len(found)
+                    if inner >= 0:
+                        articles[inner][1] += len(found)
             pieces.clear()
         linked = 0
 
     def close(upto: int) -> None:
-        nonlocal article, furniture, in_list, link
-        _, article, furniture, in_list, link = open_tags[upto]
+        nonlocal article, furniture, in_list, link, wrapper, inner
+        _, article, furniture, in_list, link, wrapper, inner = open_tags[upto]
         del open_tags[upto:]
 
     at, n = 0, len(page)
@@ -191,12 +237,39 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
                     break
                 if open_tags[i][0] in BLOCK_TAGS and open_tags[i][0] != "p":
                     break
-        open_tags.append((tag, article, furniture, in_list, link))
-        article += tag in ("article", "main")
-        furniture += _is_furniture(tag, attributes)
+        open_tags.append((tag, article, furniture, in_list, link, wrapper, inner))
+        kind = _furniture(tag, attributes, article > 0)
+        furniture += kind == CERTAIN
+        if kind in (WEAK, BESIDE):
+            wrappers.append([wrapper, kind, 0, inner])
+            wrapper = len(wrappers) - 1
+        if tag in ("article", "main"):
+            article += 1
+            articles.append([wrapper, 0])
+            inner = len(articles) - 1
         in_list += tag in ("ul", "ol", "dl")
         link += tag == "a"
     end_block()
+    left_out = _left_out(wrappers, articles, sum(b[1] for b in out if not b[4]))
+    return [(*b[:4], int(b[4] or b[6] >= 0 and left_out[b[6]]), b[5]) for b in out]
+
+
+def _left_out(wrappers: list[list[int]], articles: list[list[int]], total: int) -> list[bool]:
+    """Which wrappers are furniture, or stand in one that is: not those around the longest article or most of the text."""
+    for around, _, words, _ in reversed(wrappers):  # a wrapper stands before those within it
+        if around >= 0:
+            wrappers[around][2] += words
+    longest = max(range(len(articles)), key=lambda i: articles[i][1], default=-1)
+    if longest >= 0 and not articles[longest][1]:
+        longest = -1
+    holds, at = set(), articles[longest][0] if longest >= 0 else -1
+    while at >= 0:
+        holds.add(at)
+        at = wrappers[at][0]
+    out: list[bool] = []
+    for i, (around, kind, words, article) in enumerate(wrappers):
+        neutral = i in holds or kind == WEAK and 2 * words > total and article == longest
+        out.append(not neutral or around >= 0 and out[around])
     return out
 
 
