@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from tidemark.llm.conversation_repair import op13_conversation_repair
+from tidemark.llm.feistel_shards import op12_feistel_shards
+from tidemark.llm.hard_negatives import OP11_SQL, op11_hard_negatives
 from tidemark.llm.html_text import op3_html_text
 from tidemark.llm.jaccard_join import op8_jaccard_join
 from tidemark.llm.language_id import op10_language_id
@@ -24,6 +27,10 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_packing": op9_packing,
     "op10_language_id": op10_language_id,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_feistel_shards": op12_feistel_shards,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
-SQL: dict[str, str] = {"op5_license_scan": OP5_SQL, "op7_multi_index": OP7_SQL}
+SQL: dict[str, str] = {"op5_license_scan": OP5_SQL, "op7_multi_index": OP7_SQL,
+                       "op11_hard_negatives": OP11_SQL}
