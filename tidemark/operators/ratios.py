@@ -79,17 +79,21 @@ def yoy_growth(rows: DataFrame) -> DataFrame:
     )
 
 
-def ratio_rows(prices: DataFrame, states: DataFrame) -> DataFrame:
-    """Ratios for every session on or after a company's first filing."""
+def ratio_values(prices: DataFrame, states: DataFrame) -> DataFrame:
+    """Ratios without growth for every session on or after a company's first filing; `_t` is the day's number."""
     c = F.col
     days = asof_attach(prices.select("ticker", "date", "close"),
                        states.select("ticker", "as_of", *_STATE_INPUTS))
     valued = days.withColumn(
         "market_cap", F.when(c("shares_final") != 0, c("shares_final") * c("close"))
     ).withColumn("ev", c("market_cap") + c("net_debt"))
-    rows = valued.select("ticker", "date", "_t", "close", "market_cap", "net_debt",
+    return valued.select("ticker", "date", "_t", "close", "market_cap", "net_debt",
                          *[v.alias(k) for k, v in ratio_columns().items()])
-    return yoy_growth(rows).select(*RATIO_COLUMNS)
+
+
+def ratio_rows(prices: DataFrame, states: DataFrame) -> DataFrame:
+    """Ratios for every session on or after a company's first filing."""
+    return yoy_growth(ratio_values(prices, states)).select(*RATIO_COLUMNS)
 
 
 def ratios_daily(prices: DataFrame, facts: DataFrame, splits: DataFrame) -> DataFrame:

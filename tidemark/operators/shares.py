@@ -56,16 +56,19 @@ def pick_shares(candidates: list[Column], reference: Column) -> Column:
 
 
 def reconcile_shares(states: DataFrame, key: str = "ticker", order: str = "as_of",
-                     out: str = "shares_final") -> DataFrame:
+                     out: str = "shares_final", seed: DataFrame | None = None) -> DataFrame:
     """Fold over the filing states of a key in date order, carrying the last accepted count.
 
+    `seed` (key, seed) is the count accepted before a key's first state here.
+
     The array holds one element per filing date, so its size follows the calendar and not
     the number of facts.
     """
     payload = [c for c in states.columns if c not in (key, order)]
     history = states.groupBy(key).agg(
         F.sort_array(F.collect_list(F.struct(order, F.struct(*payload).alias("row")))).alias("h"))
-    start = F.struct(F.lit(None).cast("double").alias("ref"),
+    history = history.withColumn("seed", F.lit(None).cast("double")) if seed is None else history.join(seed, key, "left")
+    start = F.struct(F.col("seed").alias("ref"),
                      F.array().cast("array<double>").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:

@@ -30,13 +30,13 @@ def _kind(days: str = "duration_days") -> Column:
             .when(d.between(*ANNUAL_DAYS), "A"))
 
 
-def relevant_facts(facts: DataFrame) -> DataFrame:
+def relevant_facts(facts: DataFrame, since: DataFrame | None = None) -> DataFrame:
     """Facts expanded to the filing dates on which they can matter, and no others.
 
     A quarter leaves the trailing four once four later quarters are public; a year or a
     balance leaves once a later one is. Each version lives until the next version of its
     period. So a fact meets about a year of filing dates instead of all of them, and rows
-    grow with the facts, not with facts x dates.
+    grow with the facts, not with facts x dates. `since` (ticker, since_filed) leaves out earlier dates.
 
     Returns (ticker, as_of, concept, kind, period_start, period_end, duration_days,
     filed_at, value).
@@ -83,15 +83,18 @@ def relevant_facts(facts: DataFrame) -> DataFrame:
         "_t", *keys, "filed_at", "value", F.least("valid_to", until).alias("end")
     ).withColumn("dates", all_dates).withColumns(
         {"start_at": start.cast("int"), "end_at": end.cast("int")})
+    if since is not None:
+        earlier = F.size(F.filter("dates", lambda day: day < F.col("since_filed")))
+        placed = placed.join(since, "ticker").withColumn("start_at", F.greatest("start_at", earlier + 1))
     return placed.where("start_at < end_at").select(
         "ticker", "concept", "kind", "period_start", "period_end", "duration_days", "filed_at", "value",
         F.explode(F.slice("dates", F.col("start_at"), F.col("end_at") - F.col("start_at"))).alias("as_of"))
 
 
-def concept_values(facts: DataFrame) -> DataFrame:
+def concept_values(facts: DataFrame, since: DataFrame | None = None) -> DataFrame:
     """(ticker, as_of, concept, value, filed_at): trailing twelve months for flows, latest
     balance for instants, latest quarter (else year) for diluted shares."""
-    relevant = relevant_facts(facts).withColumn("_g", F.xxhash64("ticker", "as_of", "concept"))
+    relevant = relevant_facts(facts, since).withColumn("_g", F.xxhash64("ticker", "as_of", "concept"))
     # Quarters come first, newest first; one sort and one window serve every choice below.
     group = Window.partitionBy("_g", "ticker", "as_of", "concept")
     newest = group.orderBy(F.desc("kind"), F.desc("period_end"), F.desc("filed_at"),
@@ -123,11 +126,11 @@ def concept_values(facts: DataFrame) -> DataFrame:
                         choose("filed_at", "q_filed", "a.filed_at").alias("filed_at"))
 
 
-def filing_state(facts: DataFrame, splits: DataFrame) -> DataFrame:
+def filing_state(facts: DataFrame, splits: DataFrame, since: DataFrame | None = None) -> DataFrame:
     """Wide row per (ticker, as_of): flows, balances, split-normalised share counts,
     `filed_at` of the newest input, and `filed_<concept>` where a later choice needs it."""
     valued = (
-        concept_values(facts).join(splits_by_ticker(splits), "ticker", "left")
+        concept_values(facts, since).join(splits_by_ticker(splits), "ticker", "left")
         .withColumn("value", F.when(
             F.col("concept").isin(SHARES),
             F.col("value") * factor_after(F.col("splits"), F.col("filed_at")))
@@ -172,6 +175,10 @@ def derived_concepts(states: DataFrame) -> DataFrame:
     })
 
 
-def company_states(facts: DataFrame, splits: DataFrame) -> DataFrame:
-    """Filing states with derived concepts and the reconciled share count `shares_final`."""
-    return reconcile_shares(derived_concepts(filing_state(facts, splits)))
+def company_states(facts: DataFrame, splits: DataFrame, since: DataFrame | None = None,
+                   seed: DataFrame | None = None) -> DataFrame:
+    """Filing states with derived concepts and the reconciled share count `shares_final`.
+
+    With `since` (ticker, since_filed) only the states from there on; `seed` (ticker, seed) are the counts before.
+    """
+    return reconcile_shares(derived_concepts(filing_state(facts, splits, since)), seed=seed)

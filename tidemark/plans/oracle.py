@@ -340,7 +340,7 @@ SQL["share_reconcile"] = "SELECT ticker, as_of, shares_final FROM x_shares"
 SQL["asof_attach"] = """
 SELECT p.ticker, p.date, p.close, s.as_of, s.filed_at, s.revenue
 FROM b_prices p ASOF JOIN x_state s ON p.ticker = s.ticker AND p.date >= s.as_of"""
-SQL["ratios_daily"] = RATIO_SELECT
+SQL["ratios_daily"] = SQL["incremental_ratios"] = RATIO_SELECT
 SQL["roic"] = "SELECT ticker, date, roic FROM x_ratios"
 SQL["yoy_growth"] = "SELECT ticker, date, revenue_ttm, revenue_growth_yoy FROM x_ratios"
 
@@ -976,6 +976,13 @@ SELECT a.ticker, a.date, a.metric_key, a.value, count(CASE WHEN h.value <= a.val
 FROM x_long a JOIN x_long h ON h.ticker = a.ticker AND h.metric_key = a.metric_key AND h.date BETWEEN a.date - 3652 AND a.date
 GROUP BY 1, 2, 3, 4"""
 SQL["edge_trigger"] = "SELECT * FROM r_events"
+SQL["stream_events"] = SQL["recorded_events"] = SQL["edge_trigger"]
+SQL["rule_state"] = """
+SELECT j.rule_id, j.ticker, j.session AS last_session, j.holds AS last_held,
+  CASE WHEN j.condition = 'new_filing' THEN j.marker END AS last_marker
+FROM r_judged j WHERE NOT EXISTS (
+  SELECT 1 FROM r_judged n WHERE n.rule_id = j.rule_id AND n.ticker = j.ticker AND n.k = j.k + 1)"""
+SQL["stream_state"] = SQL["rule_state"].replace("CASE WHEN j.condition = 'new_filing' THEN j.marker END", "j.marker")
 SQL["new_filing"] = """
 SELECT ticker, session, marker FROM (
   SELECT ticker, date AS session, fundamentals_filed_at AS marker,

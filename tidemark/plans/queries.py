@@ -12,7 +12,9 @@ from tidemark.operators import (
     shares, state)
 from tidemark import registry
 from tidemark.registry import FLOWS, SHARES, STOCKS
+from tidemark.session import new_path, staged
 from tidemark.sources import bridge, facts, html_reports, sinks
+from tidemark.streaming import rules_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -701,6 +703,20 @@ def change_detect(spark, d):
     return incremental.change_detect(*_marks(spark, d))
 
 
+@query
+def incremental_ratios(spark, d):
+    # A first run on what was there before, then one on everything: companies of some keys change in neither.
+    p, f, s = bridge.prices(spark, d), bridge.fundamentals(spark, d), bridge.splits(spark, d)
+    sk = "cast(substr(ticker, 2) AS bigint)"
+    root = new_path(spark, "store")
+    old = (p.where(f"{sk} % 2 = 0 OR date < DATE'2001-06-01'").withColumn("close", F.expr(
+               f"CASE WHEN {sk} % 7 = 6 AND date = DATE'1999-05-03' THEN close * 1.1D ELSE close END")),
+           f.where(f"({sk} % 3 = 0 OR filed_at < DATE'2002-01-01') AND {sk} % 5 <> 4"), s.where("ratio < 10 OR ticker LIKE '%2'"))
+    incremental.refresh_ratios(root, *old, buckets=8)
+    incremental.refresh_ratios(root, p, f, s)
+    return sinks.read_table(spark, f"{root}/ratios").select(*ratios.RATIO_COLUMNS)
+
+
 @query
 def run_audit(spark, d):
     failures = bridge.watchlist(spark, d).where("NOT supported")
@@ -785,6 +801,49 @@ def edge_trigger(spark, d):
     return rules.edge_trigger(_sessions(spark, d))
 
 
+# Sessions reach the feed in three parts; the stream stops and starts again between them.
+FEED_CUTS = ["1998-01-01", "2000-06-01"]
+
+
+def _fed(spark, d, run):
+    """Runs `run(stream, root)` after each part of the sessions has reached the feed folder; its last result and the root."""
+    root = new_path(spark, "stream")
+    part = F.lit(0)
+    for day in FEED_CUTS:
+        part = part + (F.col("session") >= F.lit(day).cast("date")).cast("int")
+    sessions = _sessions(spark, d)
+    parts = staged(sessions.withColumn("part", part))
+    result = None
+    for i in range(len(FEED_CUTS) + 1):
+        parts.where(F.col("part") == i).select(*sessions.columns).write.mode("append").parquet(f"{root}/feed")
+        result = run(spark.readStream.schema(sessions.schema).parquet(f"{root}/feed"), root)
+    return result, root
+
+
+@query
+def stream_events(spark, d):
+    _, root = _fed(spark, d, lambda feed, root: rules_stream.run_events(feed, f"{root}/events", f"{root}/checkpoint"))
+    return spark.read.schema(rules_stream.EVENTS).parquet(f"{root}/events")
+
+
+@query
+def stream_state(spark, d):
+    _, root = _fed(spark, d, lambda feed, root: rules_stream.run_events(feed, f"{root}/events", f"{root}/checkpoint"))
+    return rules_stream.stream_state(spark, f"{root}/checkpoint")
+
+
+@query
+def rule_state(spark, d):
+    last, root = _fed(spark, d, lambda feed, root: rules_stream.run_evaluations(feed, root, f"{root}/checkpoint"))
+    return rules_stream.read_state(spark, root, last)
+
+
+@query
+def recorded_events(spark, d):
+    _, root = _fed(spark, d, lambda feed, root: rules_stream.run_evaluations(feed, root, f"{root}/checkpoint"))
+    return rules_stream.read_events(spark, root)
+
+
 @query
 def new_filing(spark, d):
     return rules.new_filing(_ratios(spark, d).select(

@@ -32,14 +32,27 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | No
     return target
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines see; in local mode a temporary one where none is named."""
+    root = checkpoint_dir(spark) or spark.sparkContext.getCheckpointDir()
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors see")
+        root = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+        spark.sparkContext.setCheckpointDir(root)
+    return root.rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str = "staged") -> str:
+    """A path of its own in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def staged(df: DataFrame) -> DataFrame:
-    """`df` written as a table to the cluster's shared checkpoint folder and read back.
+    """`df` written as a table to the shared folder and read back.
 
-    For results that a plan reads several times: lineage ends there. Where no folder is named (tests), a
-    temporary one is made.
+    For results that a plan reads several times: lineage ends there.
     """
-    spark = df.sparkSession
-    root = checkpoint_dir(spark) or spark.sparkContext.getCheckpointDir()
-    path = f"{(root or 'file://' + tempfile.mkdtemp(prefix='tidemark-')).rstrip('/')}/staged-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

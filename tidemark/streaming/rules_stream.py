@@ -1,20 +1,45 @@
-"""Rules on a feed of sessions: the streaming form of the daily replay and of the daily refresh."""
+"""Rules on a feed of sessions: the streaming form of the daily replay, its stored form, and a keyed upsert."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from tidemark.operators.asof import latest_by
-from tidemark.operators.rules import FILING
-from tidemark.sources.sinks import upsert_by_key
-
-EVENTS = "rule_id int, ticker string, trigger_date date, value double, percentile double"
-STATE = "held boolean, marker string, session string"
+from tidemark.operators.rules import FILING, STATE_COLUMNS, fold_sessions
+from tidemark.sources.sinks import delete_path, new_rows, table_exists, upsert_by_key
+
+EVENTS = ("rule_id int, ticker string, trigger_date date, condition string, threshold double, metric_key string, "
+          "value double, percentile double")
+STATE = "held boolean, marker date, session date"
+STATE_DDL = "rule_id int, ticker string, last_session date, last_held boolean, last_marker date"
+EVENT_KEY = ["rule_id", "ticker", "trigger_date"]
+#: A pair without a session for so long is forgotten: its rule or its company is gone.
+TTL_DAYS = 400
+_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # State with a lifetime asks for another batch after each batch; a run that ends once its input is read must not wait for it.
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
+
+
+@contextmanager
+def state_settings(spark: SparkSession) -> Iterator[None]:
+    """What streams of `edge_events` need while they start and run; the session's own settings return afterwards."""
+    before = {key: spark.conf.get(key) for key in _SETTINGS}
+    for key, value in _SETTINGS.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def _crossings(sessions: pd.DataFrame, prior: tuple | None) -> tuple[pd.DataFrame, tuple | None]:
@@ -23,11 +48,11 @@ def _crossings(sessions: pd.DataFrame, prior: tuple | None) -> tuple[pd.DataFram
     `prior` is (held, marker, session) or None for a pair never evaluated. A session at or
     before the last evaluated one changes nothing, so replays and late rows are harmless.
     """
-    fresh = sessions if prior is None else sessions[sessions["session"].astype(str) > prior[2]]
+    fresh = sessions if prior is None else sessions[sessions["session"] > prior[2]]
     fresh = fresh.sort_values("session")
     if fresh.empty:
-        return fresh, prior
-    marker = fresh["marker"].map(lambda m: None if pd.isna(m) else str(m)).astype(object)
+        return fresh, None
+    marker = fresh["marker"].map(lambda m: None if pd.isna(m) else m).astype(object)
     before = marker.shift(1)
     seen = pd.Series(True, index=fresh.index)
     before.iloc[0] = prior[1] if prior else None
@@ -35,28 +60,108 @@ def _crossings(sessions: pd.DataFrame, prior: tuple | None) -> tuple[pd.DataFram
     changed = seen & marker.notna() & (marker != before)
     holds = changed.where(fresh["condition"] == FILING, fresh["holds"]).astype(bool)
     held_before = holds.shift(1, fill_value=bool(prior and prior[0]))
-    last = (bool(holds.iloc[-1]), marker.iloc[-1], str(fresh["session"].iloc[-1]))
+    last = (bool(holds.iloc[-1]), marker.iloc[-1], fresh["session"].iloc[-1])
     return fresh[holds & ~held_before], last
 
 
-def edge_events(sessions: DataFrame) -> DataFrame:
-    """Events of a stream of (rule_id, ticker, session, condition, holds, marker, value,
-    percentile); state per (rule, ticker) is one small row."""
+class PairState(StatefulProcessor):
+    """The last evaluation of one (rule, ticker), and the events that follow from new sessions."""
+
+    def __init__(self, ttl_days: int = TTL_DAYS) -> None:
+        self._ttl = ttl_days * 86_400_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._last = handle.getValueState("last", STATE, ttlDurationMs=self._ttl)
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        prior = tuple(state.get) if state.exists else None
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        prior = tuple(self._last.get()) if self._last.exists() else None
         # One row per session of one pair: a micro-batch holds at most its new sessions.
-        crossed, last = _crossings(pd.concat(list(batches)), prior)
+        crossed, last = _crossings(pd.concat(list(rows)), prior)
         if last is not None:
-            state.update(last)
+            self._last.update(last)
         yield pd.DataFrame({
-            "rule_id": crossed["rule_id"].astype("int32"), "ticker": crossed["ticker"],
-            "trigger_date": crossed["session"],
-            "value": crossed["value"].where(crossed["condition"] != FILING),
-            "percentile": crossed["percentile"]})
+            "rule_id": crossed["rule_id"].astype("int32"), "ticker": crossed["ticker"], "trigger_date": crossed["session"],
+            "condition": crossed["condition"], "threshold": crossed["threshold"], "metric_key": crossed["metric_key"],
+            "value": crossed["value"].where(crossed["condition"] != FILING), "percentile": crossed["percentile"]})
+
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: TimerValues) -> None:
+        row = initialState.iloc[0]
+        marker = None if pd.isna(row["last_marker"]) else row["last_marker"]
+        self._last.update((bool(row["last_held"]), marker, row["last_session"]))
+
+    def close(self) -> None:
+        pass
+
+
+def edge_events(sessions: DataFrame, stored: DataFrame | None = None, ttl_days: int = TTL_DAYS) -> DataFrame:
+    """Events of a stream of (rule_id, ticker, session, condition, threshold, metric_key, holds, marker, value,
+    percentile). State per (rule, ticker) is one typed value, which expires `ttl_days` after its last session
+    arrived. `stored` (STATE_COLUMNS, one row per pair) lets a new stream go on from an evaluated state.
+
+    Start the query under `state_settings`.
+    """
+    initial = None if stored is None else stored.groupBy("rule_id", "ticker")
+    return sessions.groupBy("rule_id", "ticker").transformWithStateInPandas(
+        PairState(ttl_days), EVENTS, "Append", "ProcessingTime", initialState=initial)
 
-    return sessions.groupBy("rule_id", "ticker").applyInPandasWithState(
-        step, EVENTS, STATE, "append", GroupStateTimeout.NoTimeout)
+
+def stream_state(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """(STATE_COLUMNS) as a stream's last committed micro-batch left it in its state store."""
+    held = spark.read.format("statestore").option("stateVarName", "last").load(checkpoint)
+    value = "value.value" if "value" in held.schema["value"].dataType.names else "value"
+    return held.select("key.rule_id", "key.ticker", F.col(f"{value}.session").alias("last_session"),
+                       F.col(f"{value}.held").alias("last_held"), F.col(f"{value}.marker").alias("last_marker"))
+
+
+def run_events(sessions: DataFrame, path: str, checkpoint: str, stored: DataFrame | None = None) -> None:
+    """Append the events of everything that has arrived to a table, then stop."""
+    with state_settings(sessions.sparkSession):
+        query = (edge_events(sessions, stored).writeStream.format("parquet").option("path", path)
+                 .option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start())
+        query.awaitTermination()
+
+
+# ---- stored rule state -----------------------------------------------------------------
+def state_path(root: str, epoch: int) -> str:
+    return f"{root}/state/batch={epoch}"
+
+
+def evaluate_batch(sessions: DataFrame, epoch: int, root: str) -> None:
+    """Fold one micro-batch of sessions over the state the batch before it left; store events and state.
+
+    Both are written to folders of the batch's own, from the previous batch's state, and events already recorded by
+    earlier batches are not inserted again. So a batch that is run twice, or again after a failure, changes nothing.
+    The state is written last. States older than the previous one are dropped.
+    """
+    spark = sessions.sparkSession
+    prior = read_state(spark, root, epoch - 1)
+    events, state = fold_sessions(sessions, prior)
+    if epoch > 0 and table_exists(spark, f"{root}/events"):
+        earlier = spark.read.schema(f"{EVENTS}, batch long").parquet(f"{root}/events").where(F.col("batch") < epoch)
+        events = new_rows(earlier, events, EVENT_KEY)
+    events.write.mode("overwrite").parquet(f"{root}/events/batch={epoch}")
+    state.write.mode("overwrite").parquet(state_path(root, epoch))
+    if epoch > 1:
+        delete_path(spark, state_path(root, epoch - 2))
+
+
+def read_state(spark: SparkSession, root: str, epoch: int) -> DataFrame:
+    """The state after a batch; empty before the first one."""
+    if epoch < 0:
+        return spark.createDataFrame([], STATE_DDL)
+    return spark.read.schema(STATE_DDL).parquet(state_path(root, epoch))
+
+
+def read_events(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.schema(f"{EVENTS}, batch long").parquet(f"{root}/events").drop("batch")
+
+
+def run_evaluations(sessions: DataFrame, root: str, checkpoint: str) -> int:
+    """Evaluate everything that has arrived, batch by batch, then stop; the number of the last batch, -1 for none."""
+    query = (sessions.writeStream.foreachBatch(lambda batch, epoch: evaluate_batch(batch, epoch, root))
+             .trigger(availableNow=True).option("checkpointLocation", checkpoint).start())
+    query.awaitTermination()
+    return max((p.batchId for p in query.recentProgress if p.numInputRows), default=-1)
 
 
 def refresh_table(feed: DataFrame, path: str, staging: str, checkpoint: str,
