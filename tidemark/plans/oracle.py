@@ -862,6 +862,33 @@ SQL["remove_keys"] = """
 SELECT * FROM b_prices WHERE ticker NOT IN (SELECT ticker FROM b_watchlist WHERE NOT supported)"""
 
 
+SQL["replace_keys"] = """
+SELECT * FROM b_prices WHERE CAST(substr(ticker, 2) AS BIGINT) % 3 <> 0
+UNION ALL SELECT * FROM k_update WHERE CAST(substr(ticker, 2) AS BIGINT) % 2 = 1"""
+SQL["purge_tickers"] = "\nUNION ALL ".join(
+    f"SELECT '{name}' AS table_name, t.ticker, count(*) AS n FROM {source} t WHERE t.ticker NOT IN "
+    "(SELECT ticker FROM b_watchlist WHERE NOT supported) GROUP BY 2"
+    for name, source in (("watchlist", "b_watchlist"), ("stock_groups", "b_stock_groups"), ("prices", "b_prices"),
+                         ("share_splits", "b_splits"), ("fundamentals", "b_facts")))
+SQL["cascade_rules"] = """
+SELECT table_name, rule_id, count(*) AS n FROM (
+  SELECT 'alert_rules' AS table_name, CAST(rule_id AS INTEGER) AS rule_id FROM r_rules
+  UNION ALL SELECT 'alert_events', CAST(event_id % 11 + 1 AS INTEGER) FROM events)
+WHERE rule_id NOT IN (SELECT n_nationkey % 4 + 2 FROM nation) GROUP BY 1, 2"""
+SQL["run_records"] = """
+SELECT run_id, TIMESTAMP '2003-01-01' + to_hours(a) AS started_at, TIMESTAMP '2003-01-01' + to_hours(b) AS finished_at, status,
+  CASE WHEN status <> 'error' THEN tickers END AS tickers,
+  CASE status WHEN 'skipped' THEN 0 WHEN 'error' THEN NULL ELSE redone END AS redone,
+  CASE status WHEN 'skipped' THEN 0 WHEN 'error' THEN NULL ELSE new_price_rows END AS new_price_rows,
+  CASE status WHEN 'partial' THEN lost WHEN 'error' THEN NULL ELSE 0 END AS failures,
+  CASE WHEN status = 'error' THEN 'ValueError: stage failed on ' || redone || ' companies' END AS detail
+FROM (VALUES (1, 0, 1, 'partial'), (2, 2, 3, 'ok'), (3, 4, 5, 'skipped'), (4, 6, 7, 'error'),
+    (5, 10, 11, 'partial')) t(run_id, a, b, status),
+  (SELECT count(*) AS tickers, count(CASE WHEN derive THEN 1 END) AS redone,
+    CAST(sum(new_rows) AS BIGINT) AS new_price_rows FROM k_changes),
+  (SELECT count(*) AS lost FROM b_watchlist WHERE NOT supported)"""
+
+
 def _mark(pw: str, fw: str) -> str:
     return f"""
 SELECT ticker, max(date) AS session, count(date) AS n_prices, max(filed_at) AS filed_at FROM (

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions import scalars
 from tidemark.operators import (
-    asof, checks, distribution, grid, incremental, normalize, ratios, refresh, reports, rules, segments,
-    shares, state)
+    asof, checks, distribution, grid, incremental, normalize, ratios, refresh, reports, rules, runs,
+    segments, shares, state)
 from tidemark import registry
 from tidemark.registry import FLOWS, SHARES, STOCKS
 from tidemark.session import new_path, staged
@@ -689,6 +691,75 @@ def remove_keys(spark, d):
     return sinks.remove_keys(bridge.prices(spark, d), gone, ["ticker"])
 
 
+def _store(spark, tables, key="ticker"):
+    """The tables written by bucket under a folder of their own; the folder."""
+    root = new_path(spark, "store")
+    for name, df in tables.items():
+        sinks.replace_by_key(df, f"{root}/{name}", new_path(spark, "merge"), key=key, buckets=8)
+    return root
+
+
+def _counted(spark, root, names, key="ticker"):
+    counted = [sinks.read_table(spark, f"{root}/{n}").groupBy(key).agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit(n).alias("table_name"), key, "n") for n in names]
+    return reduce(DataFrame.unionByName, counted)
+
+
+@query
+def replace_keys(spark, d):
+    # Of the replaced companies every other one has no new rows and loses its old ones.
+    root = _store(spark, {"prices": bridge.prices(spark, d)})
+    sk = "cast(substr(ticker, 2) AS bigint)"
+    update = _price_update(spark, d)
+    sinks.replace_by_key(update.where(f"{sk} % 2 = 1"), f"{root}/prices", new_path(spark, "merge"),
+                         keys=update.select("ticker").distinct())
+    return sinks.read_table(spark, f"{root}/prices").drop("bucket")
+
+
+@query
+def purge_tickers(spark, d):
+    watch = bridge.watchlist(spark, d)
+    tables = {"watchlist": watch, "stock_groups": bridge.stock_groups(spark, d), "prices": bridge.prices(spark, d),
+              "share_splits": bridge.splits(spark, d), "fundamentals": bridge.fundamentals(spark, d)}
+    root = _store(spark, tables)
+    sinks.remove_stored_tickers(spark, root, watch.where("NOT supported"), new_path(spark, "purge"), purge=True)
+    return _counted(spark, root, tables)
+
+
+@query
+def cascade_rules(spark, d):
+    tables = {"alert_rules": _rules(spark), "alert_events": _fired(spark, d)}
+    root = _store(spark, tables, "rule_id")
+    gone = bridge.table(spark, d, "nation").select(F.expr("cast(n_nationkey % 4 + 2 AS int)").alias("rule_id"))
+    sinks.delete_stored_rules(spark, root, gone, new_path(spark, "cascade"))
+    return _counted(spark, root, tables, "rule_id")
+
+
+@query
+def run_records(spark, d):
+    """Five runs: one loses companies, one is well, one finds nothing changed, one fails and one fails, then is run again."""
+    root = new_path(spark, "runs")
+    before, after = _marks(spark, d)
+    changes = staged(incremental.change_detect(before, after))
+    lost = bridge.watchlist(spark, d).where("NOT supported").select("ticker", F.lit("bad payload").alias("reason"))
+    steps = iter(range(100))
+    clock = lambda: datetime(2003, 1, 1, next(steps))
+
+    def failing(rows: DataFrame) -> None:
+        raise ValueError(f"stage failed on {rows.count()} companies")
+
+    write = lambda rows: rows.write.format("noop").mode("overwrite").save()
+    still = incremental.change_detect(after, after)
+    for run_id, found, failures, stage in ((1, changes, lost, write), (2, changes, lost.limit(0), write),
+                                           (3, still, lost.limit(0), write), (4, changes, lost, failing),
+                                           (5, changes, lost, failing), (5, changes, lost, write)):
+        try:
+            runs.record_run(root, run_id, found, failures, stage, clock)
+        except ValueError:
+            pass  # its record says so
+    return runs.run_records(spark, root)
+
+
 def _marks(spark, d):
     p, f = bridge.prices(spark, d), bridge.fundamentals(spark, d)
     sk = "cast(substr(ticker, 2) AS bigint)"
