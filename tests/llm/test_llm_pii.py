@@ -101,3 +101,13 @@ def test_redaction(spark, field):
     assert pii.redact(docs.limit(0), field).count() == 0
     assert pii.detect(docs, field).where("size(base) > 0").count() == 1
     assert pii.train(docs.limit(0)).decode("call (415) 555-2671 now", [(0, 4)]) == []
+
+
+def test_very_long_numbers_and_runs():
+    import time
+
+    assert [k for _, k, _ in pii.base_spans("0" * 5000 + ".1.2.3")] == [1]
+    assert [k for _, k, _ in pii.base_spans("1" * 5000 + ".1.2.3 " + "9" * 6000)] == []
+    start = time.perf_counter()
+    assert [m[0] for m in pii._TRIGGER_TOKEN.finditer("a" * 1_000_000 + " b1 c dot d@e")] == ["b1", "dot", "d@e"]
+    assert time.perf_counter() - start < 2

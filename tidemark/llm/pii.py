@@ -44,7 +44,7 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DIGIT = re.compile(r"[0-9]")
 _TRIGGER = re.compile(r"[0-9@]| dot ")
-_TRIGGER_TOKEN = re.compile(r"[^\s0-9@]*+[0-9@]\S*|(?<=\s)dot(?=\s)")
+_TRIGGER_TOKEN = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*|(?<=\s)dot(?=\s)")
 _SUB = re.compile(r"[^\W\d_]+|[0-9]+|[^\s]")
 _AT_DOT = re.compile(r"[a-z0-9._-]+ (?:at|\(at\)|\[at\]) [a-z0-9-]+(?: dot [a-z]+)+\Z", re.I)
 
@@ -78,8 +78,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     spans = [(a, 0, b) for a, b in _emails(text)] if "@" in text else []
     if _DIGIT.search(text):
         for m in _IP.finditer(text):
-            if all(int(x) <= 255 for x in m[0].split(".") if len(x.lstrip("0")) < 5) and all(
-                    len(x.lstrip("0")) < 5 for x in m[0].split(".")):
+            parts = [x.lstrip("0") or "0" for x in m[0].split(".")]
+            if all(len(x) < 4 and int(x) <= 255 for x in parts):
                 spans.append((m.start(), 1, m.end()))
         for m in _CARD.finditer(text):
             if m.end() - m.start() < 12:
