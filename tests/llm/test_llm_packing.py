@@ -40,17 +40,31 @@ def test_plan_is_best_fit_decreasing(seed):
     assert sorted(spans) == list(range(len(spans)))
 
 
-def test_chunks_give_the_tokenizers_ids():
+def test_the_merge_gives_the_tokenizers_ids():
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(packing.tokenizer_path())
-    encoder = packing.ChunkEncoder(packing.tokenizer_path())
+    encoder = packing.TextEncoder(packing.tokenizer_path())
     texts = ["", " ", "It's THE end…　naïve é ǅ ΑΣ ΑΣ. 1234 'll", "a\x1cb \x1f c\x85d\xa0e f​g",
              "<|endoftext|> x<|startoftext|>y", "x" * 5000, "tab\tnew\nline\r\n", "İstanbul ß ﬁ 日本語 🎉 x",
              "Straße. ÉTÉ!! e\u0301te\u0301, don't. a's, x). (x #1 ÿ\u0308 word*** K\u212a. n\u0303 µ×÷ª Ω'S",
-             "It'S we'LL. he'd!! 's 't."]
-    for text, ids in zip(texts, encoder(texts)):
-        assert ids == b"".join(i.to_bytes(4, "little") for i in whole.encode(text, add_special_tokens=False).ids)
+             "It'S we'LL. he'd!! 's 't. ''s x_'s 1's s's't", "ab" * 200 + " " + "ab" * 201, "\u0939\u093f\u0928 \uac00\u1161 \u1100\u1161"]
+    pick = random.Random(9)
+    signs = [*"abcest'\u2019.,!?-_ \n\t019AC\u00c0\u00e9\u00fc\u00df\u0416\u044f\u0391\u03c3\u03c2\u03a3\u4e2d\u3042\ud55c\u0301\u0308\u200d\x1c\x85\xa0\u3000\u0130\u0131\ufb01\u00b2\u2167<|>\U0001f600",
+             "<|startoftext|>", "<|endoftext|>", "'re", "the ", "ing"]
+    texts += ["".join(pick.choices(signs, k=pick.randint(0, 40))) for _ in range(5000)]
+    texts += ["".join(pick.choices("etaoinshrdlu", k=pick.randint(1, 30))) for _ in range(5000)]
+    for text in texts:
+        assert encoder(text) == b"".join(i.to_bytes(4, "little") for i in whole.encode(text, add_special_tokens=False).ids)
+
+
+def test_texts_beyond_the_block_size(monkeypatch):
+    encoder = packing.TextEncoder(packing.tokenizer_path())
+    text = "Some w\u00f6rds, \U0001f600 don't <|endoftext|> " * 300 + "y" * 3000
+    whole = encoder._exact(text)
+    for size in (1, 50, 1000):
+        monkeypatch.setattr(packing, "TOGETHER", size)
+        assert encoder(text) == whole
 
 
 def test_pieces_and_places(spark):

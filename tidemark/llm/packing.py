@@ -15,7 +15,9 @@ columns of the input are not carried; the pieces' own payload columns are.
 
 from __future__ import annotations
 
+import json
 import re
+import unicodedata
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -24,20 +26,20 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Memory, bound_batches, by_rows, table, written
+from tidemark.llm.common import bound_batches, by_rows, table, written
 
 CAPACITY, END_ID = 4096, 1
 #: Pieces of one length that are ranked together; longer runs are split.
 RANKED_TOGETHER = 1000
-#: Chunks and words that a worker keeps per generation, and the longest chunk kept.
-CHUNKS, WORDS, LONGEST_CHUNK = 80_000, 200_000, 64
+#: Characters encoded at once, and the longest word that the rank encoder merges itself.
+TOGETHER, LONGEST_WORD = 1_000_000, 400
 
-#: Letters of one script that lower-casing and composition change one by one, then marks: two pretokens.
-_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?*#$%&)]*)")
-#: Separators that str.split() knows but the tokenizer does not treat as white space.
-_ODD_SPACE = re.compile(r"[\x1c-\x1f]")
+#: The tokenizer's white space; str.split() knows more.
 _SPACE = re.compile(
     r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+_CONTRACTION = re.compile("'(?:s|t|re|ve|m|ll|d)")
+#: Kinds of characters; `OTHER` ones are left to the tokenizer itself.
+BLANK, LETTER, NUMBER, MARK, OTHER = range(5)
 
 
 def tokenizer_path() -> str:
@@ -46,41 +48,117 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class ChunkEncoder:
-    """Ids of whole texts as little-endian 32-bit bytes.
+def _kinds() -> np.ndarray:
+    """The kind of every code point below U+A000; the last entry stands for all beyond.
 
-    The tokenizer never joins anything across white space, so a text's ids are those of its chunks in a row;
-    nor across the end of a run of letters, so a word followed by marks is the word and the marks. Chunks and
-    words seen before are not encoded again.
+    A character has a kind if lower-casing and composition change it by itself alone: no marks, no controls,
+    nothing unassigned, no Hangul letters.
+    """
+    kinds = np.full(0xA001, OTHER, np.uint8)
+    for code in [*range(0x1100), *range(0x1200, 0x3000), *range(0x4E00, 0xA000)]:
+        sign = chr(code)
+        category = unicodedata.category(sign)[0]
+        if _SPACE.fullmatch(sign):
+            kinds[code] = BLANK
+        elif category in "LNPS" and unicodedata.normalize("NFC", sign) == sign:
+            kinds[code] = {"L": LETTER, "N": NUMBER}.get(category, MARK)
+    return kinds
+
+
+class TextEncoder:
+    """Ids of whole texts as little-endian 32-bit bytes: those of the tokenizer, from a merge by ranks.
+
+    The tokenizer cuts a lower-case text into words (runs of letters, single digits, runs of marks, English
+    contractions), writes them as bytes, the last one of each word as a sign of its own, and joins neighbours in
+    the order of its merges. All merges make different pieces, so a merge is known by what it makes, which is
+    how tiktoken works. Each of the 512 signs (a byte, last or not) is written as one character, and words are cut
+    by array operations over the whole text. Nothing is remembered from text to text.
+
+    The tokenizer never joins anything across white space. Runs between white space that hold an `OTHER`
+    character, a special token or a very long word are therefore given to the tokenizer itself.
     """
 
     def __init__(self, path: str) -> None:
+        from tiktoken import Encoding
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.chunks, self.words = Tokenizer.from_file(path), Memory(CHUNKS), Memory(WORDS)
-
-    def _encode(self, memory: Memory, keys: list[str]) -> None:
-        for start in range(0, len(keys), 4096):
-            part = keys[start:start + 4096]
-            found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            memory.new.update(zip(part, [np.array(x.ids, "<u4").tobytes() for x in found]))
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        lists = [[c for c in _SPACE.split(t) if c] if _ODD_SPACE.search(t) else t.split() for t in texts]
-        fresh = self.chunks.recall(set().union(*lists))
-        split = [_PLAIN.fullmatch(chunk) for chunk in fresh]
-        parts = [(chunk, m[1].lower(), m[2]) for chunk, m in zip(fresh, split) if m]
-        self._encode(self.chunks, [chunk for chunk, m in zip(fresh, split) if not m])
-        self._encode(self.words, self.words.recall({x for _, word, marks in parts for x in (word, marks) if x}))
-        words, known = self.words.new, self.chunks.new
-        for chunk, word, marks in parts:
-            known[chunk] = words[word] + words[marks] if marks else words[word]
-        out = [b"".join(map(known.__getitem__, chunks)) for chunks in lists]
-        for chunk in fresh:
-            if len(chunk) > LONGEST_CHUNK:
-                del known[chunk]
-                self.words.new.pop(chunk.lower(), None)
-        return out
+        self.tokenizer, self.kinds = Tokenizer.from_file(path), _kinds()
+        # letters, last letters and digits are one byte each, all other signs two
+        self.signs = np.arange(0x100, 0x300, dtype="<u4")
+        self.signs[97:123] = np.arange(97, 123)
+        self.signs[256 + 97:256 + 123] = np.arange(65, 91)
+        self.signs[256 + 48:256 + 58] = np.arange(48, 58)
+        vocabulary = json.loads(self.tokenizer.to_str())["model"]["vocab"]
+        visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        byte_of = {chr(b): b for b in visible}
+        byte_of |= {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(visible)))}
+        ranks, ids = {bytes([b]): b for b in range(256)}, [0] * 256
+        for piece, number in sorted(vocabulary.items(), key=lambda x: x[1]):
+            last = piece.endswith("</w>") and len(piece) > 4
+            places = [byte_of[c] for c in (piece[:-4] if last else piece)]
+            places[-1] += 256 * last
+            written = "".join(chr(self.signs[p]) for p in places).encode()
+            if written in ranks:
+                ids[ranks[written]] = number
+            else:
+                ranks[written] = len(ids)
+                ids.append(number)
+        self.ids = np.array(ids, "<u4")
+        ends = "A-Z0-9\u0200-\u02ff"
+        self.core = Encoding("words", pat_str=f"[^{ends}]*[{ends}]", mergeable_ranks=ranks, special_tokens={})._core_bpe
+
+    def _merged(self, text: str) -> bytes | None:
+        """Ids of `text`; None if it holds something for the tokenizer."""
+        if "<|" in text or "\u03a3" in text:  # special tokens; a sigma's lower case depends on its neighbours
+            return None
+        low = text.lower()
+        codes = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), "<u4")
+        kinds = self.kinds[np.minimum(codes, len(self.kinds) - 1)]
+        if (kinds == OTHER).any():
+            return None
+        ends = kinds == NUMBER
+        ends[:-1] |= kinds[:-1] != kinds[1:]
+        ends[-1:] = True
+        if "'" in low:
+            for m in _CONTRACTION.finditer(low):
+                if not m.start() or kinds[m.start() - 1] != MARK:
+                    ends[m.start()], ends[m.end() - 1] = False, True
+        if np.diff(np.flatnonzero(ends), prepend=-1).max(initial=0) > LONGEST_WORD:
+            return None
+        kept = kinds != BLANK
+        if not low.isascii():
+            width = 1 + (codes >= 0x80) + (codes >= 0x800).astype(np.int64)
+            codes = np.frombuffer(low.encode(), np.uint8)
+            last = np.zeros(len(codes), bool)
+            last[np.cumsum(width) - 1] = ends
+            ends, kept = last, np.repeat(kept, width)
+        signs = self.signs[(codes + ends * np.uint32(256))[kept]].tobytes().decode("utf-32-le")
+        return self.ids[np.frombuffer(self.core.encode_to_tiktoken_buffer(signs, set()), "<u4")].tobytes()
+
+    def _exact(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def __call__(self, text: str) -> bytes:
+        found = self._merged(text) if len(text) <= TOGETHER else None
+        if found is not None:
+            return found
+        out, held, size = [], [], 0
+        for run in [*_SPACE.split(text), None]:  # runs in a row that the merge can take stay together
+            plain = run is not None and len(run) <= TOGETHER and self._plain(run)
+            if held and (not plain or size > TOGETHER):
+                out.append(self._merged(" ".join(held)))
+                held, size = [], 0
+            if plain:
+                held.append(run)
+                size += len(run) + 1
+            elif run:
+                out.append(self._exact(run))
+        return b"".join(out)
+
+    def _plain(self, run: str) -> bool:
+        if run.isascii() and run.isalnum() and len(run) <= LONGEST_WORD:
+            return True
+        return self._merged(run) is not None
 
 
 def pieces(docs: DataFrame, path: str | None = None, with_ids: bool = True) -> DataFrame:
@@ -90,13 +168,12 @@ def pieces(docs: DataFrame, path: str | None = None, with_ids: bool = True) -> D
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if "encoder" not in kept.value:
-            kept.value["encoder"] = ChunkEncoder(path)
+            kept.value["encoder"] = TextEncoder(path)
         encoder = kept.value["encoder"]
         for frame in by_rows(frames, 256):
             out = []
-            texts = [t if isinstance(t, str) else "" for t in frame["text"]]
-            for doc_id, ids in zip(frame["doc_id"], encoder(texts)):
-                ids += end
+            for doc_id, text in zip(frame["doc_id"], frame["text"]):
+                ids = (encoder(text) if isinstance(text, str) else b"") + end
                 for piece, at in enumerate(range(0, len(ids), 4 * CAPACITY)):
                     part = ids[at:at + 4 * CAPACITY]
                     out.append((doc_id, piece, at // 4, len(part) // 4, crc32(part), part))
