@@ -174,8 +174,22 @@ class Reader:
 
     def __init__(self, cost: np.ndarray, wanted: dict[str, int] | None = None) -> None:
         self.cost, self.wanted, self.known = cost, wanted, Memory(REMEMBERED)
+        #: What a word with a wanted feature begins with, repeats left out.
+        self.heads = {_REPEATS.sub(r"\1", f.strip("<>")[:min(PREFIXES)]) for f in wanted or ()}
+        self.head_sizes = sorted({len(head) for head in self.heads})
+
+    def _hopeless(self, chunk: str) -> bool:
+        """True if the chunk is a word of which no reading has a wanted feature: readings differ in repeats only."""
+        core = chunk if chunk.isalpha() else _EDGES.sub("", chunk)
+        if self.wanted is None or not core.isalpha():
+            return False
+        if _REPEAT.search(core):
+            core = _REPEATS.sub(r"\1", core)
+        return not any(core[:n] in self.heads for n in self.head_sizes)
 
     def _chunk(self, chunk: str) -> tuple:
+        if self._hopeless(chunk):
+            return ()
         found = features_of(restored_words(chunk, self.cost))
         return tuple(sorted(found) if self.wanted is None else sorted(
             {self.wanted[f] for f in found if f in self.wanted}))
