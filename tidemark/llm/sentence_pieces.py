@@ -6,8 +6,13 @@ the longest piece, and back pointers for what is not decided yet. Whenever all s
 one boundary, the ids up to it are final: they are given out and their back pointers dropped. Characters
 outside the vocabulary become byte ids. A tie goes to the longer last piece.
 
-No piece continues after a space, so all paths meet in front of every run of spaces. The search therefore
-starts anew there, and a word seen before is not searched again.
+No piece continues after a space, so all paths meet in front of every run of spaces: the search starts anew
+there, and a word seen before is not searched again. New words of many texts are searched in sorted order;
+scores up to a place depend on what stands before it only, so a word starts where it parts from the one before.
+Words longer than `LONGEST_WORD` go through the streaming search.
+
+The model at hand was trained as byte-pair pieces. Its library joins pieces by merges, so the best segmentation
+by scores, which is what this operator gives, has other ids than the library's.
 
 Null texts count as empty; empty texts have no ids. Decoding gives the text back, except that U+2581, the
 sign for a space within pieces, comes back as a space (`round_trip` is then false). Rows are independent;
@@ -17,9 +22,9 @@ repeated rows and null ids stay; extra columns are left alone, output columns re
 from __future__ import annotations
 
 import re
-from array import array
 from collections.abc import Iterator
 from itertools import chain
+from struct import pack
 from zlib import crc32
 
 import numpy as np
@@ -66,6 +71,12 @@ class Encoder:
         for i in vocabulary["plain"]:
             self.ids[pieces[i]] = i
         self.longest = max(len(pieces[i]) for i in vocabulary["plain"])
+        self.endings: dict[str, int] = {}  # every ending of a piece, likewise
+        for i in vocabulary["plain"]:
+            for start in range(1, len(pieces[i])):
+                self.endings.setdefault(pieces[i][start:], -1)
+        for i in vocabulary["plain"]:
+            self.endings[pieces[i]] = i
         self.splits = not any(SPACE in pieces[i].lstrip(SPACE) for i in vocabulary["plain"])
         self.memory = Memory(WORDS)
 
@@ -129,23 +140,65 @@ class Encoder:
             end = start
         return out[::-1]
 
-    def __call__(self, text: str | None) -> list[int]:
-        """Ids of a whole text, with the space that SentencePiece puts in front."""
-        if not text:
-            return []
-        marked = SPACE + text.replace(" ", SPACE)
-        words = _WORD.findall(marked) if self.splits else [marked]
-        fresh = self.memory.recall(set(words))
-        known, out = self.memory.new, []
-        for word in fresh:  # kept as packed integers: a list of them takes several times the memory
-            known[word] = array("i", chain.from_iterable(self.stream(word)))
-        for ids in map(known.__getitem__, words):
-            out += ids
-        for word in fresh:
-            if len(word) > LONGEST_WORD:
-                del known[word]
+    def _search(self, words: list[str]) -> None:
+        """Remembers the ids of sorted words; what two neighbours begin with is searched once."""
+        find, scores, unknown, longest, known = self.endings.get, self.scores, self.unknown, self.longest, self.memory.new
+        best, back, before = [0.0], [(0, -1)], ""  # by place: score, and where the last piece starts and which it is
+        for word in words:
+            place, most = 0, min(len(word), len(before))
+            while place < most and word[place] == before[place]:
+                place += 1
+            del best[place + 1:], back[place + 1:]
+            for end in range(place + 1, len(word) + 1):
+                start = end - 1
+                i = find(word[start:end])
+                if i is not None and i >= 0:
+                    top, link = best[start] + scores[i], (start, i)
+                else:
+                    top, link = best[start] + unknown, (start, -1)
+                if i is not None:
+                    for start in range(end - 2, max(end - longest, 0) - 1, -1):
+                        i = find(word[start:end])
+                        if i is None:
+                            break
+                        if i >= 0:
+                            total = best[start] + scores[i]
+                            if total >= top:  # a tie goes to the longer piece
+                                top, link = total, (start, i)
+                best.append(top)
+                back.append(link)
+            out, end = [], len(word)
+            while end:
+                start, i = back[end]
+                if i >= 0:
+                    out.append(i)
+                else:
+                    out.extend(self.bytes[b] for b in reversed(word[start:end].encode("utf-8", "replace")))
+                end = start
+            out.reverse()
+            known[word] = pack(f"<{len(out)}i", *out)
+            before = word
+
+    def many(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of whole texts as little-endian 32-bit bytes, with the space that SentencePiece puts in front."""
+        lists = []
+        for text in texts:
+            marked = SPACE + text.replace(" ", SPACE) if text else ""
+            lists.append(_WORD.findall(marked) if self.splits else [marked])
+        fresh = self.memory.recall(set().union(*lists))
+        known = self.memory.new
+        long = [word for word in fresh if len(word) > LONGEST_WORD]
+        for word in long:
+            known[word] = np.fromiter(chain.from_iterable(self.stream(word)), "<i4").tobytes()
+        self._search(sorted(word for word in fresh if len(word) <= LONGEST_WORD))
+        out = [b"".join(map(known.__getitem__, words)) for words in lists]
+        for word in long:
+            del known[word]
         return out
 
+    def __call__(self, text: str | None) -> list[int]:
+        return np.frombuffer(self.many([text])[0], "<i4").tolist()
+
 
 class Decoder:
     def __init__(self, vocabulary: dict) -> None:
@@ -201,24 +254,25 @@ def summary(docs: DataFrame, path: str | None = None) -> DataFrame:
     """`docs` with n_ids, n_byte_ids, ids_crc32 (little-endian 32-bit ids) and round_trip, without the ids."""
     def summed(vocabulary: dict):
         encoder, decoder = Encoder(vocabulary), Decoder(vocabulary)
+        is_byte = np.zeros(len(vocabulary["pieces"]), bool)
+        is_byte[vocabulary["bytes"]] = True
 
-        def one(text: str | None) -> tuple:
-            ids = encoder(text)
-            return (len(ids), sum(i in decoder.byte_ids for i in ids) if not decoder.byte_ids.isdisjoint(ids) else 0,
-                    crc32(np.array(ids, "<u4").tobytes()), decoder(ids) == (text or ""))
+        def some(texts: list[str | None]) -> Iterator[tuple]:
+            for text, packed in zip(texts, encoder.many(texts)):
+                ids = np.frombuffer(packed, "<i4")
+                yield len(ids), int(is_byte[ids].sum()), crc32(packed), decoder(ids.tolist()) == (text or "")
 
-        return one
+        return some
 
     vocabulary = load_vocabulary(path or model_path())
     shared = bound_batches(docs).sparkSession.sparkContext.broadcast(vocabulary)
     kept = docs.sparkSession.sparkContext.broadcast({})  # a worker's encoder, kept from task to task
 
     def rows(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        if "one" not in kept.value:
-            kept.value["one"] = summed(shared.value)
-        one = kept.value["one"]
+        if "some" not in kept.value:
+            kept.value["some"] = summed(shared.value)
         for batch in batches:
-            yield pd.DataFrame([one(t) for t in batch], columns=["n_ids", "n_byte_ids", "ids_crc32", "round_trip"])
+            yield pd.DataFrame(kept.value["some"](batch.tolist()), columns=["n_ids", "n_byte_ids", "ids_crc32", "round_trip"])
 
     rows.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     udf = F.pandas_udf(rows, "n_ids long, n_byte_ids long, ids_crc32 long, round_trip boolean")
