@@ -147,3 +147,19 @@ def test_hidden_toxic_texts_are_found(spark, cost):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.predicted for r in tx.score(docs, cost, model).collect()}
     assert [got[i] for i in range(len(texts))] == [1, 1, 1, 0, 0, 0, 0, 1, 1, 1, 1, 1, 0]
+
+
+def test_skipped_words_have_no_wanted_feature():
+    import random
+
+    pick = random.Random(8)
+    cost = np.array([pick.random() * 9 for _ in range(tx.SYMBOLS ** 3)]).reshape((tx.SYMBOLS,) * 3)
+    wanted = {f: i for i, f in enumerate(["<idiot>", "<moro", "<aab", "<abb>", "<ooab", "<a>", "<abaab"])}
+    reader = tx.Reader(cost, wanted)
+    words = ["".join(pick.choices("aabbom", k=pick.randint(1, 7))) for _ in range(3000)]
+    words += [pick.choice(["", "(", "."]) + w + pick.choice(["", ",", "!", "0", "..", "-b"]) for w in words]
+    words += ["iddiiot", "IDIOT,".lower(), "mmorron", "moorön"]
+    for word in words:
+        found = tx.features_of(tx.restored_words(word, cost))
+        assert reader._chunk(word) == tuple(sorted(wanted[f] for f in found & wanted.keys()))
+    assert sum(map(reader._hopeless, words)) > 100
