@@ -5,17 +5,19 @@ from tidemark.llm import blocks, multi_index, vantage_tree
 
 
 def brute(ids, points, k, measure, sign):
+    """All pairs of rows; a query leaves out its own row, and rows of another length."""
     out = {}
-    for i, q in zip(ids, points):
+    for at, (i, q) in enumerate(zip(ids, points)):
         if i % blocks.EVERY == 0:
-            rest = sorted((sign * measure(q, p), j) for j, p in zip(ids, points) if j != i)[:k]
-            out[int(i)] = [(j, sign * s) for s, j in rest]
-    return out
+            rest = sorted((sign * measure(q, p), j) for other, (j, p) in enumerate(zip(ids, points))
+                          if other != at and len(p) == len(q))[:k]
+            out.setdefault(int(i), []).extend((n, int(j), sign * s) for n, (s, j) in enumerate(rest, 1))
+    return {i: [r[1:] for r in sorted(rows)] for i, rows in out.items() if rows}
 
 
 def listed(df, measure):
     out = {}
-    for r in sorted(df.collect(), key=lambda r: (r.query_id, r["rank"])):
+    for r in sorted(df.collect(), key=lambda r: (r.query_id, r["rank"], r.vec_id, r[measure])):
         out.setdefault(r.query_id, []).append((r.vec_id, r[measure]))
     return out
 
@@ -40,7 +42,11 @@ def hamming(q, p):
 def odd_rows():
     nan, inf = float("nan"), float("inf")
     return [(20001, None), (20020, [0.0] * 12), (20003, [nan] + [1.0] * 11), (20004, [inf] + [1.0] * 11),
-            (20005, [None] + [1.0] * 11), (None, [1.0] * 12), (20006, [9.0, 9.0]), (20007, [])]
+            (20005, [None] + [1.0] * 11), (None, [1.0] * 12), (20007, [])]
+
+
+def other_lengths():
+    return [(20006, [9.0, 9.0]), (20040, [1.0, -2.0]), (20040, [3.0, 1.0]), (20041, [-1.0, 4.0]), (20060, [5.0])]
 
 
 def frame(spark, points, more=()):
@@ -54,7 +60,10 @@ def test_both_searches_equal_all_pairs(spark, points, monkeypatch, sizes):
     monkeypatch.setattr(blocks, "SHARD", sizes[0])
     monkeypatch.setattr(blocks, "BLOCK", sizes[1])
     monkeypatch.setattr(vantage_tree, "LEAF", 5)
-    vectors = blocks.usable_vectors(frame(spark, points, odd_rows()))
+    vectors = blocks.usable_vectors(frame(spark, points, odd_rows() + other_lengths()))
+    rows = [*zip(*points)]
+    rows += rows[:5] + [(i, np.array(p)) for i, p in other_lengths()]  # the frame repeats five rows
+    points = [i for i, _ in rows], [p for _, p in rows]
     assert listed(multi_index.hamming_top_k(vectors, 7), "distance") == brute(*points, 7, hamming, 1)
     found, wanted = listed(vantage_tree.nearest(vectors, 7), "score"), brute(*points, 7, inner, -1)
     assert {q: [i for i, _ in rows] for q, rows in found.items()} == {q: [i for i, _ in rows] for q, rows in wanted.items()}
@@ -76,6 +85,8 @@ def test_larger_factors_prune_more_and_keep_recall(points):
 
 def test_few_rows_and_none(spark, points):
     three = blocks.usable_vectors(frame(spark, (points[0][:3], points[1][:3])))
+    assert vantage_tree.nearest(three).count() == multi_index.hamming_top_k(three).count() == 10  # every row twice
+    three = three.distinct()
     assert vantage_tree.nearest(three).count() == multi_index.hamming_top_k(three).count() == 2
     none = blocks.usable_vectors(frame(spark, points).limit(0))
     assert vantage_tree.nearest(none).count() == multi_index.hamming_top_k(none).count() == 0

@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm.blocks import matrix_of, search, usable_vectors
+from tidemark.llm.blocks import keys_of, matrix_of, search, usable_vectors
 from tidemark.llm.common import table
 
 NEIGHBOURS = 20
@@ -43,18 +43,18 @@ def build(frame: pd.DataFrame) -> bytes:
     counts = np.stack([np.bincount(codes[:, s], minlength=256) for s in range(codes.shape[1])])
     offsets = np.concatenate([np.zeros((codes.shape[1], 1), np.int64), np.cumsum(counts, axis=1)], axis=1)
     out = io.BytesIO()
-    np.savez(out, ids=frame["vec_id"].to_numpy(np.int64), codes=codes, rows=rows, offsets=offsets)
+    np.savez(out, ids=frame["vec_id"].to_numpy(np.int64), own=keys_of(frame), codes=codes, rows=rows, offsets=offsets)
     return out.getvalue()
 
 
 def look_up(index: bytes, block: pd.DataFrame, k: int = NEIGHBOURS):
     with np.load(io.BytesIO(index)) as held:
-        ids, codes, rows, offsets = held["ids"], held["codes"], held["rows"], held["offsets"]
+        ids, own, codes, rows, offsets = held["ids"], held["own"], held["codes"], held["rows"], held["offsets"]
     segments, flips = codes.shape[1], _flips()
     found: tuple[list, list, list] = ([], [], [])
-    for query_id, code in zip(block["vec_id"].to_numpy(np.int64), codes_of(block)):
+    for query, code in zip(keys_of(block), codes_of(block)):
         met = np.zeros(len(ids), bool)
-        met[ids == query_id] = True
+        met[own == query] = True
         distances = np.full(len(ids), 8 * segments + 1)
         unmet, covered = len(ids) - int(met.sum()), 0
         wanted = min(k, unmet)
@@ -77,9 +77,9 @@ def look_up(index: bytes, block: pd.DataFrame, k: int = NEIGHBOURS):
             else:
                 continue
             break
-        distances[ids == query_id] = 8 * segments + 1
+        distances[own == query] = 8 * segments + 1
         best = np.argsort(distances, kind="stable")[:wanted]  # rows are in order of id: ties by id
-        found[0].append(np.full(len(best), query_id))
+        found[0].append(np.full(len(best), query))
         found[1].append(ids[best])
         found[2].append(distances[best])
     return tuple(np.concatenate(part) if part else np.zeros(0, np.int64) for part in found)
@@ -101,14 +101,11 @@ WITH sound AS (
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
     AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
-sized AS (
-  SELECT vec_id, min(v) AS v FROM sound
-  WHERE len(v) = (SELECT len(v) FROM sound GROUP BY len(v) ORDER BY count(*) DESC, len(v) DESC LIMIT 1) GROUP BY vec_id),
 codes AS (
-  SELECT vec_id, array_to_string(list_transform(v, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '')::BIT AS code
-  FROM sized),
+  SELECT row_number() OVER () AS own, vec_id, len(v) AS size, array_to_string(list_transform(v, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '')::BIT AS code
+  FROM sound),
 pairs AS (
-  SELECT q.vec_id AS query_id, c.vec_id, bit_count(xor(q.code, c.code))::INTEGER AS distance
-  FROM codes q JOIN codes c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM pairs)
+  SELECT q.own, q.vec_id AS query_id, c.vec_id, bit_count(xor(q.code, c.code))::INTEGER AS distance
+  FROM codes q JOIN codes c ON q.own <> c.own AND q.size = c.size WHERE q.vec_id % 20 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY own ORDER BY distance, vec_id) AS rank FROM pairs)
 SELECT query_id, rank::INTEGER AS rank, vec_id, distance FROM ranked WHERE rank <= 20"""

@@ -8,8 +8,8 @@ by the triangle inequality, it can hold nothing nearer than the k-th found so fa
 a tree together.
 
 Scores are sums of products in double precision over the original vectors. Vectors that are null, zero, or
-hold null or non-finite components take no part, nor do vectors of another length than most, nor null ids. Of
-rows that repeat a vec_id one counts. Ties go to the smaller vec_id. Fewer candidates than k give fewer rows;
+hold null or non-finite components take no part, nor do null ids. Only vectors of one length are compared with each
+other. Rows that repeat a vec_id are queries and candidates of their own. Ties go to the smaller vec_id. Fewer candidates than k give fewer rows;
 an empty table gives none. Extra columns are not carried.
 """
 
@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm.blocks import matrix_of, search, usable_vectors
+from tidemark.llm.blocks import keys_of, matrix_of, search, usable_vectors
 from tidemark.llm.common import table
 
 NEIGHBOURS, LEAF = 20, 64
@@ -38,7 +38,7 @@ def build(frame: pd.DataFrame) -> bytes:
     right child 0 marks a leaf.
     """
     frame = frame.sort_values("vec_id")
-    ids, points = frame["vec_id"].to_numpy(np.int64), matrix_of(frame)
+    ids, rows_of, points = frame["vec_id"].to_numpy(np.int64), keys_of(frame), matrix_of(frame)
     square = (points ** 2).sum(axis=1)
     lift = np.sqrt(np.maximum(square.max() - square, 0.0))
     lifted = np.concatenate([points, lift[:, None]], axis=1)
@@ -71,18 +71,18 @@ def build(frame: pd.DataFrame) -> bytes:
     inner = table_of_nodes[:, 2] >= 0
     table_of_nodes[inner, 2] = place[table_of_nodes[inner, 2].astype(np.int64)]
     out = io.BytesIO()
-    np.savez(out, ids=ids[order], points=points[order], lift=lift[order], nodes=table_of_nodes, top=square.max())
+    np.savez(out, ids=ids[order], rows=rows_of[order], points=points[order], lift=lift[order], nodes=table_of_nodes, top=square.max())
     return out.getvalue()
 
 
 class Search:
     """The k best rows of a tree for a block of queries."""
 
-    def __init__(self, index: bytes, query_ids: np.ndarray, queries: np.ndarray, k: int, factor: float) -> None:
+    def __init__(self, index: bytes, query_rows: np.ndarray, queries: np.ndarray, k: int, factor: float) -> None:
         with np.load(io.BytesIO(index)) as held:
-            self.ids, self.points, self.lift = held["ids"], held["points"], held["lift"]
+            self.ids, self.rows, self.points, self.lift = held["ids"], held["rows"], held["points"], held["lift"]
             self.nodes, self.top = held["nodes"], float(held["top"])
-        self.query_ids, self.queries, self.k, self.factor = query_ids, queries, k, factor
+        self.query_rows, self.queries, self.k, self.factor = query_rows, queries, k, factor
         self.square = (queries ** 2).sum(axis=1)
         self.best = np.full((len(queries), k), -np.inf)
         self.best_ids = np.full((len(queries), k), np.iinfo(np.int64).max)
@@ -101,7 +101,7 @@ class Search:
             stop = min(at + 512, end)
             product = self.queries[active] @ self.points[at:stop].T
             q, p = np.nonzero(product >= self.best[active, -1][:, None] - SLACK)
-            keep = self.query_ids[active[q]] != self.ids[at + p]
+            keep = self.query_rows[active[q]] != self.rows[at + p]
             q, p = q[keep], p[keep]
             for part in np.array_split(np.arange(len(q)), len(q) // 65536 + 1):
                 self._offer(active[q[part]], at + p[part])
@@ -161,11 +161,11 @@ class Search:
 
 
 def look_up(index: bytes, block: pd.DataFrame, k: int = NEIGHBOURS, factor: float = FACTOR):
-    ids = block["vec_id"].to_numpy(np.int64)
-    found = Search(index, ids, matrix_of(block), k, factor)
+    rows = keys_of(block)
+    found = Search(index, rows, matrix_of(block), k, factor)
     found.run()
     some = found.best > -np.inf
-    return np.repeat(ids, some.sum(axis=1)), found.best_ids[some], found.best[some]
+    return np.repeat(rows, some.sum(axis=1)), found.best_ids[some], found.best[some]
 
 
 def nearest(vectors: DataFrame, k: int = NEIGHBOURS, factor: float = FACTOR) -> DataFrame:
