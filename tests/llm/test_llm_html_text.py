@@ -41,6 +41,27 @@ def test_odd_pages():
     assert len(ht.main_text("<article>" + "<p>word" * 30000, TREE).split("\n\n")) == 30000
 
 
+def test_anchors_and_odd_classes_lose_no_text():
+    text = "Some words of a text that goes on for a while and then comes to its end here."
+    assert ht.main_text(f"<article><h2 id=search>Search</h2><p>{text}</article>", TREE) == f"Search\n\n{text}"
+    assert ht.main_text(f"<article><p>{text}<p class='widget-note'>A note on it.</article>", TREE) == f"{text}\n\nA note on it."
+    assert ht.main_text(f"<main><div id='social-history'><p>{text}</div></main>", TREE) == text
+    linked = "This page says <a href=x>that all of it stands on another page by now</a> and no more."
+    assert ht.main_text(f"<body><p>{linked}</body>", TREE).startswith("This page says that")
+    for mark in ["class=newsletter", "class='ad-label'", "class='share-buttons'"]:
+        assert ht.main_text(f"<article><p>{text}<p {mark}>Take this offer now.</article>", TREE) == text, mark
+    for mark in ["id=sidebar-left", "id=comments", "id='site-footer'", "class='promo-strip'"]:
+        assert ht.main_text(f"<article><p>{text}</article><div {mark}><p>{text}</div>", TREE) == text, mark
+
+
+def test_unmatched_end_tags_cost_one_pass():
+    import time
+
+    start = time.perf_counter()
+    assert ht.main_text("<article>" + "<span>" * 60000 + "x" + "</i>" * 60000 + "</p>" * 60000, TREE) == "x"
+    assert time.perf_counter() - start < 10
+
+
 def test_wrappers_of_the_page_are_no_furniture():
     text = "Some words of a text that goes on for a while and then comes to its end here. " * 3
     body = f"<h1>A headline of words</h1><p>{text}</p><p>{text}</p>"

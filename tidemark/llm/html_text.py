@@ -5,7 +5,10 @@ and link density, those of its neighbours, and by what it stands in (article, pa
 decision tree, grown on the labelled table below, tells main text from the rest. Blocks kept are joined by an
 empty line, in page order.
 
-Furniture is known by its element, by `hidden`, or by words in class, id and role. A class that says that furniture
+Furniture is known by its element, by `hidden`, or by words in class, id and role. On headings, paragraphs and other
+elements of running text, and in ids anywhere, a word counts only if the whole token is made of such words and of words
+for parts and places (`sidebar-left`, not `widget-note`). An id names an anchor: on elements of running text it
+says nothing. A class that says that furniture
 is there or not (`has-sidebar`), or that heads a text (`entry-header`), marks none, nor do classes of html, body,
 article and main. A form or a wrapper by class is neutral if it contains the page's article, or most of its text
 where there is no article or within it (comments, related texts and advertisements excepted, which may be longer).
@@ -20,6 +23,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,6 +54,13 @@ FURNITURE_WORDS = re.compile(
 #: Parts of a class token that make it a statement about the page, and those that make a header one of the text.
 STATEMENTS = frozenset("no not non has have with without free enabled disabled".split())
 TEXT_PARTS = frozenset("entry article post story content section headline title news blog".split())
+#: Elements of running text: a class names furniture by its whole token only, an id never.
+TEXT_TAGS = frozenset("h1 h2 h3 h4 h5 h6 p li dt dd blockquote pre figure figcaption td th caption span a b i em strong "
+                      "code mark small time summary details address".split())
+#: Parts of a token that name a part or a place and leave its meaning to the others.
+PLACES = frozenset("left right top bottom site page main global primary secondary inner outer upper lower sticky fixed "
+                   "bar box container wrapper wrap area section list block panel links link buttons button icons icon "
+                   "items item form field slot unit label group row column col thread text message policy posts".split())
 #: What stands beside the text and may be longer than it, so their share of the page says nothing.
 _BESIDE = re.compile(r"comments?|disqus|respond|repl(?:y|ies)|related|recommend\w*|ads?|advert\w*|promo\w*|sponsor\w*|"
                      r"cookies?|consent|gdpr|newsletter|subscri\w*", re.I)
@@ -77,6 +88,7 @@ LABELLED = [
     # lists within an article: items of text, and lists of links
     (14, 0.0, 16, 0.0, 11, 0.0, 1, 0, 1, 1), (4, 0.0, 5, 0.0, 3, 0.0, 1, 0, 1, 1), (22, 0.1, 40, 0.0, 18, 0.0, 1, 0, 1, 1),
     (3, 1.0, 4, 1.0, 2, 1.0, 1, 0, 1, 0), (6, 1.0, 5, 1.0, 30, 0.0, 1, 0, 1, 0), (8, 0.9, 7, 1.0, 9, 0.9, 1, 0, 1, 0),
+    (3, 1.0, 3, 0.0, 4, 1.0, 1, 0, 1, 0), (5, 1.0, 2, 0.0, 3, 1.0, 1, 0, 1, 0), (7, 0.8, 9, 0.0, 6, 0.9, 1, 0, 1, 0),
     # furniture, inside an article or not
     (40, 0.0, 80, 0.0, 60, 0.0, 1, 1, 0, 0), (6, 0.5, 50, 0.0, 0, 0.0, 1, 1, 0, 0), (18, 0.0, 22, 0.0, 30, 0.0, 1, 1, 1, 0),
     (120, 0.0, 70, 0.0, 80, 0.0, 0, 1, 0, 0), (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 1, 0), (2, 1.0, 1, 1.0, 20, 0.0, 0, 1, 1, 0),
@@ -86,6 +98,23 @@ LABELLED = [
     (70, 0.0, 55, 0.0, 80, 0.0, 0, 0, 0, 1), (45, 0.1, 6, 0.0, 60, 0.0, 0, 0, 0, 1), (90, 0.05, 70, 0.0, 3, 0.9, 0, 0, 0, 1),
     (8, 0.0, 60, 0.0, 75, 0.0, 0, 0, 0, 1), (6, 0.0, 3, 0.8, 85, 0.0, 0, 0, 0, 1), (20, 0.0, 18, 0.0, 0, 0.0, 0, 0, 0, 1),
     (16, 0.0, 25, 0.0, 22, 0.0, 0, 0, 1, 1), (12, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1), (30, 0.2, 40, 0.1, 5, 0.3, 0, 0, 0, 1),
+    # text of such a page right after links
+    (40, 0.0, 1, 1.0, 40, 0.0, 0, 0, 0, 1), (70, 0.0, 2, 1.0, 55, 0.0, 0, 0, 0, 1), (25, 0.05, 5, 0.9, 0, 0.0, 0, 0, 0, 1),
+    (19, 0.0, 3, 1.0, 30, 0.1, 0, 0, 0, 1), (12, 0.0, 2, 0.8, 2, 1.0, 0, 0, 0, 1), (150, 0.02, 1, 1.0, 3, 0.9, 0, 0, 0, 1),
+    # the only text of a page, with a long link
+    (30, 0.5, 0, 0.0, 0, 0.0, 0, 0, 0, 1), (20, 0.65, 0, 0.0, 0, 0.0, 0, 0, 0, 1), (12, 0.75, 0, 0.0, 0, 0.0, 0, 0, 0, 1),
+    (60, 0.7, 0, 0.0, 0, 0.0, 0, 0, 0, 1), (6, 0.6, 4, 0.9, 5, 1.0, 0, 0, 0, 0), (3, 0.67, 2, 1.0, 3, 0.67, 0, 0, 0, 0),
+    (10, 0.7, 8, 0.8, 40, 0.0, 0, 0, 0, 0), (20, 0.6, 30, 0.9, 22, 0.7, 0, 0, 1, 0), (5, 0.6, 0, 0.0, 60, 0.0, 0, 0, 0, 0),
+    # links at the end of a page or of an article, and furniture that is all links
+    (8, 1.0, 60, 0.0, 0, 0.0, 0, 1, 0, 0), (12, 0.9, 3, 0.2, 0, 0.0, 0, 1, 0, 0), (20, 0.8, 0, 0.0, 0, 0.0, 0, 1, 0, 0),
+    (9, 1.0, 70, 0.0, 0, 0.0, 0, 0, 0, 0), (14, 0.8, 30, 0.1, 0, 0.0, 0, 0, 0, 0), (30, 0.9, 1, 1.0, 0, 0.0, 0, 0, 0, 0),
+    (18, 0.7, 5, 0.9, 0, 0.0, 0, 0, 0, 0), (10, 1.0, 50, 0.0, 40, 0.0, 1, 1, 0, 0), (6, 0.9, 80, 0.0, 0, 0.0, 1, 1, 0, 0),
+    (25, 1.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0), (8, 0.95, 0, 0.0, 0, 0.0, 0, 0, 0, 0),
+    (60, 1.0, 20, 0.0, 0, 0.0, 0, 1, 1, 0), (90, 0.9, 0, 0.0, 80, 0.0, 0, 1, 0, 0), (30, 0.7, 0, 0.0, 0, 0.0, 0, 1, 0, 0),
+    (12, 0.6, 60, 0.0, 0, 0.0, 0, 1, 0, 0), (20, 0.65, 50, 0.0, 70, 0.0, 1, 1, 0, 0), (55, 0.8, 3, 1.0, 60, 0.0, 0, 1, 0, 0),
+    (15, 0.7, 0, 0.0, 60, 0.0, 0, 1, 0, 0), (70, 0.7, 80, 0.0, 0, 0.0, 1, 1, 0, 0), (70, 1.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0),
+    (80, 0.9, 60, 0.0, 0, 0.0, 0, 0, 0, 0), (65, 1.0, 50, 0.0, 4, 1.0, 0, 0, 1, 0), (16, 0.7, 0, 0.0, 25, 0.6, 0, 1, 0, 0),
+    (2, 0.6, 0, 0.0, 0, 0.0, 0, 1, 0, 0), (9, 0.7, 70, 0.0, 50, 0.0, 0, 1, 0, 0), (45, 0.75, 0, 0.0, 0, 0.0, 0, 1, 0, 0),
     (5, 1.0, 4, 1.0, 6, 1.0, 0, 0, 1, 0), (3, 0.9, 2, 1.0, 70, 0.0, 0, 0, 0, 0), (4, 0.8, 80, 0.0, 2, 1.0, 0, 0, 0, 0),
     (12, 0.9, 10, 0.8, 14, 1.0, 0, 0, 0, 0), (25, 0.7, 20, 0.9, 22, 0.8, 0, 0, 1, 0), (2, 1.0, 0, 0.0, 3, 1.0, 0, 0, 0, 0),
     (1, 1.0, 0, 0.0, 1, 1.0, 0, 0, 1, 0), (1, 1.0, 1, 1.0, 40, 0.0, 0, 0, 1, 0), (1, 1.0, 0, 0.0, 1, 1.0, 0, 0, 0, 0),
@@ -123,14 +152,20 @@ def classify(tree: tuple | int, row: tuple) -> int:
     return tree
 
 
-def _marks_furniture(token: str) -> str | None:
-    """The furniture word of a class, id or role token, if it has one and names furniture by it."""
+def _marks_furniture(token: str, whole: bool) -> str | None:
+    """The furniture word of a class, id or role token, if it has one and names furniture by it.
+
+    If `whole`, every part of the token must be a furniture word, a number, or the name of a part or place.
+    """
     found = [m[0].strip("-_").lower() for m in FURNITURE_WORDS.finditer(token)]
     if not found:
         return None
     parts = set(re.split("[-_]+", token.lower()))
     if parts & STATEMENTS or set(found) == {"header"} and parts & TEXT_PARTS:
         return None
+    if whole and not FURNITURE_WORDS.fullmatch(token) and not all(
+            part in PLACES or part.isdigit() or FURNITURE_WORDS.fullmatch(part) for part in parts if part):
+        return None
     return found[0]
 
 
@@ -148,9 +183,9 @@ def _furniture(tag: str, attributes: str, in_article: bool) -> int:
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
         if name == "hidden" or name == "style" and _HIDDEN_STYLE.search(value):
             return CERTAIN
-        if name in ("class", "id", "role") and tag not in ("article", "main"):
+        if name in ("class", "id", "role") and tag not in ("article", "main") and (name != "id" or tag not in TEXT_TAGS):
             for token in value.split():
-                word = _marks_furniture(token)
+                word = _marks_furniture(token, name == "id" or tag in TEXT_TAGS)
                 if word:
                     kind = max(kind, BESIDE if _BESIDE.fullmatch(word) else WEAK)
     return kind
@@ -163,6 +198,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
     linked = 0
     # tag, then article, furniture, list, link counts outside it, and the innermost wrapper and article there
     open_tags: list[tuple[str, int, int, int, int, int, int]] = []
+    open_count: Counter = Counter()  # open tags by name: an end tag without its element costs nothing
     article = furniture = in_list = link = 0
     wrapper = inner = -1
     wrappers: list[list[int]] = []  # elements of WEAK or BESIDE kind: the one around it, kind, words, innermost article around it
@@ -194,6 +230,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
     def close(upto: int) -> None:
         nonlocal article, furniture, in_list, link, wrapper, inner
         _, article, furniture, in_list, link, wrapper, inner = open_tags[upto]
+        open_count.subtract(entry[0] for entry in open_tags[upto:])
         del open_tags[upto:]
 
     at, n = 0, len(page)
@@ -214,7 +251,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
         if tag in BLOCK_TAGS or tag in RAW_TAGS and tag not in ("script", "style"):
             end_block()
         if closing:
-            for i in range(len(open_tags) - 1, -1, -1):
+            for i in range(len(open_tags) - 1 if open_count[tag] else -1, -1, -1):
                 if open_tags[i][0] == tag:
                     close(i)
                     break
@@ -231,12 +268,13 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
                     close(i)
                     break
         elif tag in ("p", "li", "td", "th", "tr", "dd", "dt", "option"):  # a new one ends an open one
-            for i in range(len(open_tags) - 1, -1, -1):
+            for i in range(len(open_tags) - 1 if open_count[tag] else -1, -1, -1):
                 if open_tags[i][0] == tag:
                     close(i)
                     break
                 if open_tags[i][0] in BLOCK_TAGS and open_tags[i][0] != "p":
                     break
+        open_count[tag] += 1
         open_tags.append((tag, article, furniture, in_list, link, wrapper, inner))
         kind = _furniture(tag, attributes, article > 0)
         furniture += kind == CERTAIN
