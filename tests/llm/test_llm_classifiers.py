@@ -57,6 +57,17 @@ def test_unknown_texts_go_and_others_stay(spark, docs):
     more = spark.createDataFrame([(None, None, None, "s", 0), (-1, "12 34", None, "s", 5)], docs.schema)
     kept = li.keep_known(docs.unionByName(more))
     assert kept.columns == docs.columns and kept.count() == docs.count()
+    more = spark.createDataFrame([(-2, "αλλά εδώ δεν ξέρει τίποτα", None, "s", 5), (-3, "² ½ Ⅷ ①", None, "s", 5)], docs.schema)
+    clash = docs.limit(20).unionByName(more).withColumns({c: F.lit("clash") for c in ("score", "known", "lang_pred", "_lang")})
+    kept = li.keep_known(clash)
+    assert kept.columns == clash.columns
+    assert {tuple(r)[-4:] for r in kept.collect()} == {("clash",) * 4} and kept.count() == 20
+
+
+def test_numerals_are_no_letters(spark, small):
+    assert li.words_of("m² Ⅷ½ Ünder x①y 一二 _a9b") == ["m", "ünder", "x", "y", "一二", "a", "b"]
+    docs = spark.createDataFrame([(1, "² ½ Ⅷ ① 12")], "doc_id long, text string")
+    assert [(r.lang_pred, r.score, r.known) for r in li.predict(docs, small).collect()] == [("und", 0.0, 0.0)]
 
 
 @pytest.fixture(scope="module")
@@ -64,6 +75,19 @@ def cost(docs):
     return tx.language_model(docs)
 
 
+def test_character_model_counts_every_script(spark):
+    words = ["żółć gęś кот αβγ"] * 50
+    cost = tx.language_model(spark.createDataFrame([(w,) for w in words], "text string"))
+    other = tx.SYMBOLS - 1
+    assert cost[other, other, other] < cost[other, other, 0] + 1 and cost[0, other, other] < 0.5  # no letter is a boundary
+    counts = np.full((tx.SYMBOLS,) * 3, 0.1)
+    for w in words:
+        marks = [tx._symbol(c) if c.isalpha() else 0 for c in w]
+        for a, b, c in zip(marks, marks[1:], marks[2:]):
+            counts[a, b, c] += 1
+    assert np.argmin(cost[other, other]) == np.argmax(counts[other, other])
+
+
 def test_restoration(cost):
     for hidden, word in {"1d10t": "idiot", "i.d.i.o.t": "idiot", "stuuuupid": "stupid", "p4thet1c": "pathetic", "m0r0n": "moron",
                          "$tupid": "stupid", "l0$er": "loser", "s-c-u-m": "scum", "w0rthless": "worthless", "tr@sh": "trash"}.items():

@@ -7,9 +7,12 @@ n-grams are known decides. Words without a single known letter say nothing.
 The model is fitted on a bounded sample of labelled texts and its vocabulary is bounded, so its size does
 not follow the corpus; prediction reads every whole text.
 
+`known` is the share of a text's words that have a known n-gram, 0 without a word. The stage of the pipeline goes by it,
+not by the score: a low score only says that learned languages are close.
+
 Null texts and texts without a letter are `und` with score 0. If nothing could be learned, every text is
 `und`. A text in whose words nothing is known gets the most frequent language with score 0. Equal scores go
-to the language that sorts first. Rows are independent; extra columns stay; `lang_pred`, `score` are replaced.
+to the language that sorts first. Rows are independent; extra columns stay; `lang_pred`, `score`, `known` are replaced.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ SAMPLE_TEXTS, VOCABULARY = 20_000, 50_000
 LONGEST_GRAM, SMOOTHING = 5, 0.5
 #: Words that the score takes as independent evidence at most; keeps long texts from all scoring 1.
 EVIDENCE_WORDS = 25
+#: Share of known words from which on a text counts as one in a learned language.
+MIN_KNOWN = 0.5
 #: Unseen words remembered by a worker before it forgets them.
 REMEMBERED = 150_000
 UNKNOWN = "und"
@@ -38,7 +43,11 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    """Runs of letters, in lower case; signs such as superscript and Roman numerals part words like digits do."""
+    words = _WORD.findall(text.lower()) if text else []
+    if words and not "".join(words).isalpha():
+        words = "".join(c if c.isalpha() else " " for word in words for c in f"{word} ").split()
+    return words
 
 
 def grams_of(word: str, n: int) -> list[str]:
@@ -124,7 +133,7 @@ class Scorer:
                 place[word] = self.used
                 self.used += 1
 
-    def __call__(self, texts: list[str | None]) -> list[tuple[str, float]]:
+    def __call__(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
         lists = [words_of(t) for t in texts]
         if self.langs:
             if len(self.place) > len(self.model["index"]) + REMEMBERED:
@@ -132,33 +141,33 @@ class Scorer:
             self._add([w for w in dict.fromkeys(w for words in lists for w in words) if w not in self.place])
         return [self._one(words) for words in lists]
 
-    def _one(self, words: list[str]) -> tuple[str, float]:
+    def _one(self, words: list[str]) -> tuple[str, float, float]:
         if not words or not self.langs:
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, 0.0
         rows = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
         known = int(np.count_nonzero(rows))
         if not known:
-            return self.langs[int(np.argmax(self.model["prior"]))], 0.0
+            return self.langs[int(np.argmax(self.model["prior"]))], 0.0, 0.0
         total = self.model["prior"] + self.matrix[rows].sum(axis=0, dtype=np.float64)
         best = int(np.argmax(total))
         tempered = (total - total[best]) * min(1.0, EVIDENCE_WORDS / known)
-        return self.langs[best], 1.0 / float(np.exp(tempered).sum())
+        return self.langs[best], 1.0 / float(np.exp(tempered).sum()), known / len(words)
 
 
 def predict(docs: DataFrame, model: dict) -> DataFrame:
-    """`docs` with `lang_pred` and `score`."""
+    """`docs` with `lang_pred`, `score` and `known`."""
     shared = bound_batches(docs).sparkSession.sparkContext.broadcast(model)  # bounded by the vocabulary
 
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(shared.value)
         for texts in batches:
             found = [x for at in range(0, len(texts), 128) for x in scorer(texts.iloc[at:at + 128].tolist())]
-            yield pd.DataFrame({"lang_pred": [x[0] for x in found], "score": [x[1] for x in found]})
+            yield pd.DataFrame(found, columns=["lang_pred", "score", "known"])
 
     scored.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    udf = F.pandas_udf(scored, "lang_pred string, score double")
+    udf = F.pandas_udf(scored, "lang_pred string, score double, known double")
     return docs.withColumn("_lang", udf("text")).withColumns(
-        {"lang_pred": F.col("_lang.lang_pred"), "score": F.col("_lang.score")}).drop("_lang")
+        {"lang_pred": F.col("_lang.lang_pred"), "score": F.col("_lang.score"), "known": F.col("_lang.known")}).drop("_lang")
 
 
 def learn(docs: DataFrame) -> dict:
@@ -166,10 +175,15 @@ def learn(docs: DataFrame) -> dict:
     return train(docs.where(~held_out(F.col("doc_id"))).select("text", "lang"))
 
 
-def keep_known(docs: DataFrame, min_score: float = 0.4) -> DataFrame:
-    """`docs` without texts that are `und` or in no learned language; a missing `lang` is filled in."""
-    kept = predict(docs, learn(docs)).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score))
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
+def keep_known(docs: DataFrame, min_known: float = MIN_KNOWN) -> DataFrame:
+    """`docs` without texts that are `und` or in no learned language; a missing `lang` is filled in.
+
+    A text is in no learned language if less than `min_known` of its words have a known n-gram.
+    """
+    found = predict(docs.select(F.struct("*").alias("doc"), "text"), learn(docs)).where(
+        (F.col("lang_pred") != UNKNOWN) & (F.col("known") >= min_known))
+    return found.select([F.coalesce("doc.lang", "lang_pred").alias("lang") if c == "lang" else F.col("doc")[c].alias(c)
+                         for c in docs.columns])
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,6 +58,7 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def _symbol_table() -> np.ndarray:
+    """Symbols of the first 256 code points."""
     kinds = np.zeros(256, np.int64)
     for code in range(256):
         letter = chr(code)
@@ -73,7 +74,10 @@ def _trigrams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     kinds, counts = _symbol_table(), np.zeros(SYMBOLS ** 3, np.int64)
     for frame in by_rows(frames, 256):
         joined = "\n\n".join(t.lower() for t in frame["text"] if t)
-        codes = kinds[np.frombuffer(joined.encode("latin-1", "replace"), np.uint8)]
+        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        codes, wide = kinds[np.minimum(points, 255)], np.flatnonzero(points > 255)
+        own, place = np.unique(points[wide], return_inverse=True)
+        codes[wide] = np.array([(SYMBOLS - 1) * chr(c).isalpha() for c in own], np.int64)[place]
         if len(codes) > 2:
             counts += np.bincount((codes[:-2] * SYMBOLS + codes[1:-1]) * SYMBOLS + codes[2:], minlength=SYMBOLS ** 3)
     seen = np.flatnonzero(counts)
