@@ -82,7 +82,12 @@ def test_odd_rows(spark):
     rows = sorted((r.doc_id or 0, r.class_id or 0, r.n_copies, r.n_links) for r in jj.join(docs).collect())
     assert rows == [(0, 0, 1, 0), (1, 1, 2, 0), (1, 1, 2, 0), (2, 2, 1, 0), (2, 2, 1, 0)]
     assert jj.join(docs.limit(0)).count() == 0
-    assert jj.keep_one(docs).count() == 5
+    more = docs.withColumn("row", F.lit("clash"))
+    assert sorted((r.text, r.doc_id) for r in jj.keep_one(more).collect()) == [("a b c d e f", 1), ("x", 2), ("y", 2)]
+    rows = [(None, "a b c d e f"), (None, "a b c d e f"), (3, None), (3, ""), (4, "p q r s t u"), (5, "p q r s t u"), (5, "z")]
+    kept = jj.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [
+        (0, "a b c d e f"), (3, ""), (3, ""), (4, "p q r s t u"), (5, "z")]
 
 
 def test_matched_prefix_is_shortened_to_the_recall():

@@ -284,9 +284,17 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """`docs` with the smallest doc_id of each group only; rows that repeat a doc_id stay or go together."""
-    gone = join(docs, threshold).where("doc_id <> group_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    """`docs` with one row of each group: the smallest doc_id (null last); of rows that repeat it, any one.
+
+    Rows are told apart by a key of their own, so repeated rows, null ids and texts that share an id are compared as well.
+    Texts without a word are groups of their own and stay.
+    """
+    kept = written(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")))
+    groups = join(kept.select(F.col("row").alias("doc_id"), "doc.text"), threshold).select(
+        F.col("doc_id").alias("row"), "group_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    first = kept.select("row", "doc.doc_id").join(groups, "row").groupBy("group_id").agg(F.min(order).alias("first"))
+    return kept.join(first.select("first.row"), "row", "left_semi").select("doc.*")
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
