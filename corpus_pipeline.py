@@ -1,6 +1,6 @@
 """Cleaning a corpus in five stages; every stage reads what the one before it has written.
 
-1. language ID: texts without a letter, or in none of the learned languages, go;
+1. language ID: texts without a letter, or of which under half of the words have a known n-gram, go;
 2. toxicity: texts predicted toxic go;
 3. n-gram Jaccard join: of each group of near copies one document stays;
 4. personal data: spans are masked in the text;
