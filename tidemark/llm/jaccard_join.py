@@ -1,10 +1,10 @@
-"""N-gram Jaccard join: a MinHash LSH forest proposes, exact set intersections decide.
+"""N-gram Jaccard join: MinHash bands propose, exact set intersections decide.
 
-Every text is the set of its runs of five lower-case words. Each of `TREES` trees orders texts by a string of
-`DEPTH` MinHash values; texts under one node of the prefix trie share that many leading values. Starting at
-full depth, the matched prefix is shortened until the chance that a pair just at the threshold meets in at
-least one tree reaches the target recall. Texts that share a node are connected; every connected set is then
-verified pair by pair, so a pair missed by all trees is found as well if a chain of others connects it.
+Every text is the set of its runs of five lower-case words. Each of `TREES` trees holds a prefix of MinHash values,
+whose length, at most `DEPTH`, is the longest at which a pair just at the threshold meets in some tree with the target
+recall. It follows from the parameters alone: no tries are built and no prefix is shortened by the data. Texts that
+share a prefix are connected; every connected set is then verified pair by pair, so a pair missed by all trees is found
+as well if a chain of others connects it. A pair that nothing connects is missed, at the threshold with a chance of 0.3 %.
 
 Sets may be huge (a third of all rows as near copies of each other), so a set is cut into blocks by hash and
 each pair of blocks is one unit of work: shared shingles become a 0/1 matrix product. Units return the number
