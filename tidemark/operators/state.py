@@ -30,119 +30,119 @@ def _kind(days: str = "duration_days") -> Column:
             .when(d.between(*ANNUAL_DAYS), "A"))
 
 
-def relevant_facts(facts: DataFrame, since: DataFrame | None = None) -> DataFrame:
-    """Facts expanded to the filing dates on which they can matter, and no others.
+def _histories(facts: DataFrame) -> DataFrame:
+    """(ticker, concept, versions, dates): a concept's versions by filing date, and all filing dates of its ticker.
 
-    A quarter leaves the trailing four once four later quarters are public; a year or a
-    balance leaves once a later one is. Each version lives until the next version of its
-    period. So a fact meets about a year of filing dates instead of all of them, and rows
-    grow with the facts, not with facts x dates. `since` (ticker, since_filed) leaves out earlier dates.
-
-    Returns (ticker, as_of, concept, kind, period_start, period_end, duration_days,
-    filed_at, value).
+    One shuffle by ticker serves every later step. An array holds one company's facts of one concept.
+    Facts no state uses still put their filing date on the grid: they travel as a marker.
     """
     kind = _kind()
     used = ((F.col("concept").isin(DURATIONS) & kind.isin("Q", "A"))
             | (F.col("concept").isin(INSTANTS) & (kind == "I")))
-    # Facts no state uses still put their filing date on the grid: they travel as a marker.
-    marked = facts.select(
-        "ticker", F.when(used, F.col("concept")).otherwise(MARKER).alias("concept"),
-        F.when(used, kind).otherwise("I").alias("kind"), "period_start", "period_end",
-        "duration_days", "filed_at", "accession", "value")
-    # Copies and same-day versions collapse map-side; after this a company's rows are
-    # limited by periods x filing dates, and one shuffle by ticker serves every later step.
+    named = F.col("accession").isNotNull()
+    version = F.struct(
+        "filed_at", "period_end", "period_start", "duration_days", (~named).alias("unnamed"), "accession",
+        F.when(named, F.col("value")).alias("value"), (used & (kind == "A")).alias("annual"))
+    # Facts move as they are: what is derived of them would be computed over and over below the shuffle.
+    moved = facts.select("ticker", "concept", "period_start", "period_end", "duration_days", "filed_at", "accession",
+                         "value").where("filed_at IS NOT NULL").repartition(shuffle_width(facts), "ticker")
+    marked = moved.select(
+        "ticker", F.when(used, F.col("concept")).otherwise(MARKER).alias("concept"), version.alias("v"))
     # Hashes lead the sort keys: names share long prefixes, hashes differ in the first byte.
-    keys = ["ticker", "concept", "kind", "period_end", "period_start", "duration_days"]
-    versions = (
-        marked.groupBy(F.xxhash64("ticker", "concept", "period_end", "filed_at").alias("_h"), *keys, "filed_at")
-        .agg(F.min_by("value", "accession").alias("value")).drop("_h")
-        .repartition(shuffle_width(facts), "ticker")
-        .withColumns({"_t": F.xxhash64("ticker"), "_k": F.xxhash64("ticker", "concept", "kind")})
-    )
-    group = Window.partitionBy("_k", "ticker", "concept", "kind")
-    period = Window.partitionBy("_k", "ticker", "concept", "kind", "period_end")
-    one = Window.partitionBy("_k", *keys).orderBy("filed_at")
-    timed = versions.withColumns({
-        "valid_to": F.lead("filed_at").over(one),
-        "first_seen": F.min("filed_at").over(period),
-        "nth": F.dense_rank().over(group.orderBy("period_end")),
-    })
-    # A quarter is out of the last four once the next four period ends have all been seen.
-    ordered = group.orderBy("nth")
-    next_four = F.max("first_seen").over(ordered.rangeBetween(1, 4))
-    next_any = F.min("first_seen").over(ordered.rangeBetween(1, Window.unboundedFollowing))
-    periods = F.max("nth").over(group)
-    bounded = timed.withColumns({"next_four": next_four, "next_any": next_any, "periods": periods})
-    until = F.when(F.col("kind") != "Q", F.col("next_any")).when(
-        F.col("nth") + 4 <= F.col("periods"), F.col("next_four"))
-    # Both ends are filing dates of the ticker, so they are places in its list of dates.
-    start = F.array_position("dates", F.col("filed_at"))
-    end = F.coalesce(F.array_position("dates", F.col("end")), F.size("dates") + 1)
-    all_dates = F.sort_array(F.collect_set("filed_at").over(Window.partitionBy("_t", "ticker")))
-    placed = bounded.select(
-        "_t", *keys, "filed_at", "value", F.least("valid_to", until).alias("end")
-    ).withColumn("dates", all_dates).withColumns(
-        {"start_at": start.cast("int"), "end_at": end.cast("int")})
-    if since is not None:
-        earlier = F.size(F.filter("dates", lambda day: day < F.col("since_filed")))
-        placed = placed.join(since, "ticker").withColumn("start_at", F.greatest("start_at", earlier + 1))
-    return placed.where("start_at < end_at").select(
-        "ticker", "concept", "kind", "period_start", "period_end", "duration_days", "filed_at", "value",
-        F.explode(F.slice("dates", F.col("start_at"), F.col("end_at") - F.col("start_at"))).alias("as_of"))
+    grouped = (
+        marked.groupBy(F.xxhash64("ticker", "concept").alias("_g"), "ticker", "concept")
+        .agg(F.sort_array(F.collect_list("v")).alias("versions")))
+    company = Window.partitionBy(F.xxhash64("ticker"), "ticker")
+    days = F.flatten(F.collect_list(F.array_distinct("versions.filed_at")).over(company))
+    return grouped.select("ticker", "concept", "versions", F.sort_array(F.array_distinct(days)).alias("dates"))
+
+
+_ROW = "struct<period_end:date,filed_at:date,duration_days:int,value:double,period_start:date>"
+
+
+def _snapshots(versions: Column) -> Column:
+    """Array of (day, top, year, until): what of a concept is public from a filing date to its next one.
+
+    `top` holds the newest version of each of the four last quarters or balances, newest first, `year` that of the
+    last year. A version enters on its filing date and replaces the one of its period; what leaves the first four
+    cannot return, as periods before it only grow newer. Of same-day versions the lowest accession counts.
+    """
+    def same(x: Column, y: Column) -> Column:
+        return (x["period_end"].eqNullSafe(y["period_end"]) & x["period_start"].eqNullSafe(y["period_start"])
+                & x["duration_days"].eqNullSafe(y["duration_days"]))
+
+    def snapshot(acc: Column, until: Column) -> Column:
+        return F.array_append(acc["out"], F.struct(
+            acc["at"]["filed_at"].alias("day"), acc["top"].alias("top"), acc["year"].alias("year"), until.alias("until")))
+
+    def step(acc: Column, v: Column) -> Column:
+        row = F.struct(*[v[f].alias(f) for f in ("period_end", "filed_at", "duration_days", "value", "period_start")])
+        later = acc["at"]["filed_at"] < v["filed_at"]
+        again = acc["at"]["filed_at"].eqNullSafe(v["filed_at"]) & same(acc["at"], v)
+        others = F.filter(acc["top"], lambda x: ~same(x, v))
+        newest = v["period_end"] > F.get(acc["top"], F.lit(0))["period_end"]
+        top = F.when(again | v["annual"], acc["top"]).when(newest, F.slice(F.concat(F.array(row), acc["top"]), 1, 4)).otherwise(
+            F.slice(F.sort_array(F.array_append(others, row), asc=False), 1, 4))
+        year = F.when(v["annual"] & ~again, F.greatest(acc["year"], row)).otherwise(acc["year"])
+        return F.struct(row.alias("at"), top.alias("top"), year.alias("year"),
+                        F.when(later, snapshot(acc, v["filed_at"])).otherwise(acc["out"]).alias("out"))
+
+    none = F.lit(None)
+    start = F.struct(
+        none.cast(_ROW).alias("at"), F.array().cast(f"array<{_ROW}>").alias("top"), none.cast(_ROW).alias("year"),
+        F.array().cast(f"array<struct<day:date,top:array<{_ROW}>,year:{_ROW},until:date>>").alias("out"))
+    return F.aggregate(versions, start, step, lambda acc: snapshot(acc, none.cast("date")))
 
 
 def concept_values(facts: DataFrame, since: DataFrame | None = None) -> DataFrame:
     """(ticker, as_of, concept, value, filed_at): trailing twelve months for flows, latest
-    balance for instants, latest quarter (else year) for diluted shares."""
-    relevant = relevant_facts(facts, since).withColumn("_g", F.xxhash64("ticker", "as_of", "concept"))
-    # Quarters come first, newest first; one sort and one window serve every choice below.
-    group = Window.partitionBy("_g", "ticker", "as_of", "concept")
-    newest = group.orderBy(F.desc("kind"), F.desc("period_end"), F.desc("filed_at"),
-                           F.desc("duration_days"), F.desc("value"))
-    row = F.struct("kind", "period_start", "value", "filed_at")
-    year = F.when(F.col("kind") == "A", F.struct("value", "filed_at"))
-    heads = relevant.withColumns({
-        "rn": F.row_number().over(newest),
-        **{f"q{i}": F.lead(row, i).over(newest) for i in (1, 2, 3)},
-        "a": F.first(year, ignorenulls=True).over(
-            newest.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
-    }).where("rn = 1")
+    balance for instants, latest quarter (else year) for diluted shares.
+
+    Rows grow with a concept's filing dates, not with facts x dates. `since` (ticker, since_filed) leaves out
+    earlier dates.
+    """
     c = F.col
+    public = _histories(facts).select("ticker", "concept", "dates", F.inline(_snapshots(c("versions"))))
+    q = [F.get("top", F.lit(i)) for i in range(4)]
     # Oldest to newest, so the floating-point sum has one defined order.
-    q_sum = c("q3.value") + c("q2.value") + c("q1.value") + c("value")
-    q_filed = F.greatest("filed_at", "q1.filed_at", "q2.filed_at", "q3.filed_at")
-    four = (c("kind") == "Q") & (c("q3.kind") == "Q")
-    span = F.when(four, F.datediff("period_end", "q3.period_start"))
-    heads = heads.withColumns({"span": span, "q_sum": q_sum, "q_filed": q_filed})
-    exact, loose = c("span").between(*ANNUAL_DAYS), c("span").between(*LOOSE_YEAR_DAYS)
-    own = (c("kind") == "I") | (c("concept") == "shares_diluted")
+    q_sum = q[3]["value"] + q[2]["value"] + q[1]["value"] + q[0]["value"]
+    q_filed = F.greatest(*[x["filed_at"] for x in q])
+    span = F.datediff(q[0]["period_end"], q[3]["period_start"])
+    exact, loose = span.between(*ANNUAL_DAYS), span.between(*LOOSE_YEAR_DAYS)
+    head = F.coalesce(q[0], "year")
 
-    def choose(single: str, quarters: str, annual: str) -> Column:
-        return (F.when(own, c(single)).when(exact, c(quarters))
-                .when(c("a").isNotNull(), c(annual)).when(loose, c(quarters)))
+    def choose(field: str, quarters: Column) -> Column:
+        return (F.when(~c("concept").isin(FLOWS), head[field]).when(exact, quarters)
+                .when(c("year").isNotNull(), c(f"year.{field}")).when(loose, quarters))
 
-    return heads.select("ticker", "as_of", "concept",
-                        choose("value", "q_sum", "a.value").alias("value"),
-                        choose("filed_at", "q_filed", "a.filed_at").alias("filed_at"))
+    # Both ends are filing dates of the ticker, so they are places in its list of dates.
+    end = F.coalesce(F.array_position("dates", c("until")), F.size("dates") + 1)
+    placed = public.select(
+        "ticker", "concept", "dates", choose("value", q_sum).alias("value"), choose("filed_at", q_filed).alias("filed_at"),
+        F.array_position("dates", c("day")).cast("int").alias("start_at"), end.cast("int").alias("end_at"))
+    if since is not None:
+        earlier = F.size(F.filter("dates", lambda day: day < c("since_filed")))
+        placed = placed.join(since, "ticker").withColumn("start_at", F.greatest("start_at", earlier + 1)).where(
+            "start_at < end_at")
+    return placed.select(
+        "ticker", F.explode(F.slice("dates", c("start_at"), c("end_at") - c("start_at"))).alias("as_of"),
+        "concept", "value", "filed_at")
 
 
 def filing_state(facts: DataFrame, splits: DataFrame, since: DataFrame | None = None) -> DataFrame:
     """Wide row per (ticker, as_of): flows, balances, split-normalised share counts,
     `filed_at` of the newest input, and `filed_<concept>` where a later choice needs it."""
-    valued = (
-        concept_values(facts, since).join(splits_by_ticker(splits), "ticker", "left")
-        .withColumn("value", F.when(
-            F.col("concept").isin(SHARES),
-            F.col("value") * factor_after(F.col("splits"), F.col("filed_at")))
-            .otherwise(F.col("value")))
-        .drop("splits")
-    )
     at = lambda c, field: F.max(F.when(F.col("concept") == c, F.col(field)))
     dated = ["depreciation_amortization", "depreciation_expense", "amortisation_expense"]
-    return valued.groupBy("ticker", "as_of").agg(
+    wide = concept_values(facts, since).groupBy("ticker", "as_of").agg(
         F.max(F.when(F.col("concept") != MARKER, F.col("filed_at"))).alias("filed_at"),
         *[at(c, "value").alias(c) for c in FLOWS + STOCKS + SHARES],
-        *[at(c, "filed_at").alias(f"filed_{c}") for c in dated])
+        *[at(c, "filed_at").alias(f"filed_{c}") for c in dated],
+        *[at(c, "filed_at").alias(f"_from_{c}") for c in SHARES])
+    # Splits meet one row per filing date.
+    return wide.join(splits_by_ticker(splits), "ticker", "left").withColumns({
+        c: F.col(c) * factor_after(F.col("splits"), F.col(f"_from_{c}")) for c in SHARES
+    }).drop("splits", *[f"_from_{c}" for c in SHARES])
 
 
 def derived_concepts(states: DataFrame) -> DataFrame:
