@@ -33,10 +33,13 @@ def metric_by_key(key: Column, metrics: list[str] | None = None) -> Column:
     return chain
 
 
-def latest_value(long: DataFrame) -> DataFrame:
-    """Newest known (date, value) per ticker and metric."""
-    return long.groupBy("ticker", "metric_key").agg(
-        F.max(F.struct("date", "value")).alias("l")).select("ticker", "metric_key", "l.date", "l.value")
+def latest_value(rows: DataFrame, metrics: list[str] | None = None) -> DataFrame:
+    """Newest known (date, value) per ticker and metric. Rows stay wide until they are one per ticker."""
+    newest = {m: F.max(F.when(F.col(m).isNotNull(), F.struct("date", F.col(m).alias("value")))) for m in metrics or METRICS}
+    found = rows.groupBy("ticker").agg(*[c.alias(m) for m, c in newest.items()])
+    entries = [F.struct(F.lit(m).alias("metric_key"), F.col(m).alias("l")) for m in newest]
+    return found.select("ticker", F.inline(F.array(*entries))).where("l IS NOT NULL").select(
+        "ticker", "metric_key", "l.date", "l.value")
 
 
 def history_aggregates(value: Column, latest: Column, date: Column) -> dict[str, Column]:
@@ -70,29 +73,51 @@ def history_stats() -> dict[str, Column]:
     }
 
 
+def _trailing_points(history: Column, metrics: list[str]) -> Column:
+    """Array of (metric_key, latest, inside): each metric's newest known point, and its points of the ten years up to it."""
+    def points(m: str) -> Column:
+        return F.filter(F.transform(history, lambda x: F.struct(x["date"].alias("date"), x[m].alias("value"))),
+                        lambda p: p["value"].isNotNull())
+
+    known = F.array(*[F.struct(F.lit(m).alias("metric_key"), points(m).alias("points")) for m in metrics])
+    dated = F.transform(known, lambda k: F.struct(
+        k["metric_key"].alias("metric_key"), k["points"].alias("points"), F.array_max(k["points"]).alias("latest")))
+    bounded = F.transform(F.filter(dated, lambda k: k["latest"].isNotNull()), lambda k: F.struct(
+        k["metric_key"].alias("metric_key"), k["points"].alias("points"), k["latest"].alias("latest"),
+        years_before(k["latest"]["date"], WINDOW_YEARS).alias("since")))
+    return F.transform(bounded, lambda k: F.struct(
+        k["metric_key"].alias("metric_key"), k["latest"].alias("latest"),
+        F.filter(k["points"], lambda p: p["date"] >= k["since"]).alias("inside")))
+
+
 def metric_stats(rows: DataFrame, metrics: list[str] | None = None) -> DataFrame:
     """One row per (ticker, metric): latest value placed in its trailing ten years.
 
-    `is_current` tells whether the value is from the ticker's newest session.
+    `is_current` tells whether the value is from the ticker's newest session. Rows stay wide until a ticker's
+    sessions are one array, so no sort or shuffle sees a row per session and metric.
     """
-    newest = rows.withColumn("newest", F.max("date").over(Window.partitionBy("ticker")))
-    long = to_long(newest, metrics, ["ticker", "date", "newest"])
-    w = Window.partitionBy("ticker", "metric_key")
-    latest = long.withColumn("latest", F.max(F.struct("date", "value")).over(w))
-    agg = latest.groupBy("ticker", "metric_key").agg(
-        F.max("latest").alias("latest"), F.max("newest").alias("newest"),
-        *[c.alias(k) for k, c in history_aggregates(
-            F.col("value"), F.col("latest"), F.col("date")).items()])
-    flat = agg.select("ticker", "metric_key", "latest.date", "latest.value", "n", "below", "low",
-                      "high", "first_date", "sorted_values",
-                      (F.col("latest.date") == F.col("newest")).alias("is_current"))
+    names = list(metrics or METRICS)
+    histories = rows.groupBy("ticker").agg(
+        F.collect_list(F.struct("date", *names)).alias("history"), F.max("date").alias("newest"))
+    placed = histories.select("ticker", "newest", F.inline(_trailing_points(F.col("history"), names)))
+    flat = placed.select(
+        "ticker", "metric_key", "latest.date", "latest.value", F.size("inside").cast("long").alias("n"),
+        F.size(F.filter("inside", lambda p: p["value"] <= F.col("latest.value"))).cast("long").alias("below"),
+        F.array_min("inside.value").alias("low"), F.array_max("inside.value").alias("high"),
+        F.array_min("inside.date").alias("first_date"), F.sort_array("inside.value").alias("sorted_values"),
+        (F.col("latest.date") == F.col("newest")).alias("is_current"))
     return flat.select("ticker", "metric_key", "date", "value", "n", "is_current",
                        *[c.alias(k) for k, c in history_stats().items()])
 
 
-def upper_median(long: DataFrame) -> DataFrame:
-    """Upper median over the whole history, per ticker and metric."""
-    return group_upper_median(long, ["ticker", "metric_key"], "value", "median")
+def upper_median(rows: DataFrame, metrics: list[str] | None = None) -> DataFrame:
+    """Upper median over the whole history, per ticker and metric; a ticker's sessions are limited by the calendar."""
+    names = list(metrics or METRICS)
+    found = rows.where("ticker IS NOT NULL").groupBy("ticker").agg(*[F.collect_list(m).alias(m) for m in names])
+    entries = [F.struct(F.lit(m).alias("metric_key"), F.col(m).alias("known")) for m in names]
+    return found.select("ticker", F.inline(F.array(*entries))).where("size(known) > 0").select(
+        "ticker", "metric_key",
+        F.get(F.sort_array("known"), F.floor(F.size("known") / 2).cast("int")).alias("median"))
 
 
 def latest_snapshot(rows: DataFrame) -> DataFrame:

@@ -131,7 +131,7 @@ def _active(spark, d, requested=None):
 
 @query
 def latest_value(spark, d):
-    return distribution.latest_value(distribution.to_long(_ratios(spark, d)))
+    return distribution.latest_value(_ratios(spark, d))
 
 
 @query
@@ -141,7 +141,7 @@ def metric_stats(spark, d):
 
 @query
 def upper_median(spark, d):
-    return distribution.upper_median(_long_metrics(spark, d).where("value IS NOT NULL"))
+    return distribution.upper_median(_ratios(spark, d))
 
 
 @query
