@@ -4,7 +4,7 @@ from datetime import date, timedelta
 
 import pytest
 
-from tidemark.operators import distribution, state
+from tidemark.operators import distribution, rules, state
 
 
 def plan_of(df) -> str:
@@ -53,3 +53,18 @@ def test_statistics_by_hand(spark):
     assert medians == {
         (t, m): sorted(v)[len(v) // 2] for t in ("A", "B") for m in ("pe_ttm", "pb")
         if (v := [r[m] for r in rows if r.ticker == t and r[m] is not None])}
+
+
+def test_trailing_percentile_ranks_all_metrics_of_a_ticker_at_once(spark):
+    rows = [("A", m, None if i == 19 else date(2000, 1, 1) + timedelta(days=3 * i), float((i * 5 + k) % 7))
+            for k, m in enumerate(("x", "y", None)) for i in range(20)]
+    long = spark.createDataFrame(rows, "ticker string, metric_key string, date date, value double")
+    ranked = rules.trailing_percentile(long, 15)
+    assert "FlatMapGroupsInArrow [ticker" in plan_of(ranked)
+    for r in ranked.collect():
+        own = [(d, v) for _, m, d, v in rows if m == r.metric_key]
+        dated = [d for d, _ in own if d]
+        day = r.date or max(dated)
+        inside = [v for d, v in own if (d or max(dated)) >= day - timedelta(days=15) and (d or max(dated)) <= day
+                  and (r.date is None or d is not None)]
+        assert (r.n, r.pct) == (len(inside), sum(v <= r.value for v in inside) / len(inside) * 100)
