@@ -3,8 +3,9 @@
 from datetime import date, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
-from tidemark.operators import distribution, rules, state
+from tidemark.operators import distribution, incremental, rules, state
 
 
 def plan_of(df) -> str:
@@ -68,3 +69,23 @@ def test_trailing_percentile_ranks_all_metrics_of_a_ticker_at_once(spark):
         inside = [v for d, v in own if (d or max(dated)) >= day - timedelta(days=15) and (d or max(dated)) <= day
                   and (r.date is None or d is not None)]
         assert (r.n, r.pct) == (len(inside), sum(v <= r.value for v in inside) / len(inside) * 100)
+
+
+def test_refresh_derives_its_input_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(value):
+        seen.add(1)
+        return value
+
+    prices = spark.createDataFrame(
+        [("A", date(2002, 1, d), float(d), d) for d in range(1, 11)], "ticker string, date date, close double, volume long")
+    facts = spark.createDataFrame(
+        [("A", "revenue", date(2000, 1, 1), date(2000, 12, 31), 365, date(2001, 2, 1), "a", "10-K", "USD", 5.0)],
+        "ticker string, concept string, period_start date, period_end date, duration_days int, filed_at date, "
+        "accession string, form string, unit string, value double")
+    splits = spark.createDataFrame([], "ticker string, date date, ratio double")
+    given = prices.withColumn("close", counted.asNondeterministic()("close"))
+    incremental.refresh_ratios(f"file://{tmp_path}/store", given, facts, splits, buckets=2)
+    assert seen.value == 10
