@@ -5,7 +5,9 @@ from datetime import date, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import distribution, incremental, rules, state
+from tidemark.operators import distribution, incremental, refresh, rules, state
+from tidemark.plans import queries
+from tidemark.sources import html_reports
 
 
 def plan_of(df) -> str:
@@ -89,3 +91,42 @@ def test_refresh_derives_its_input_once(spark, tmp_path):
     given = prices.withColumn("close", counted.asNondeterministic()("close"))
     incremental.refresh_ratios(f"file://{tmp_path}/store", given, facts, splits, buckets=2)
     assert seen.value == 10
+
+
+def test_segment_refresh_reads_its_index_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(ticker):
+        seen.add(1)
+        return ticker
+
+    index = spark.createDataFrame([("A", 1, ["10-K"], ["f"], [date(2021, 2, 1)], [date(2020, 12, 31)])], (
+        "ticker string, cik long, form array<string>, accessionNumber array<string>, filingDate array<date>, reportDate array<date>"))
+    listing = spark.createDataFrame([("f", i, f"Segment Information {i} (Details)", f"R{i}.htm") for i in (1, 2, 3)],
+                                    "filing_id string, position int, short_name string, file string")
+    documents = spark.createDataFrame([("f", f"R{i}.htm", "<table><tr><th>x</th></tr></table>") for i in (1, 2, 3)],
+                                      "filing_id string, file string, html string")
+    revenue = spark.createDataFrame([], "ticker string, concept string, period_end date, duration_days int, filed_at date, "
+                                        "accession string, value double")
+    given = index.withColumn("ticker", counted.asNondeterministic()("ticker"))
+    assert refresh.segment_refresh(given, listing, documents, revenue, F.lit(date(2021, 6, 1)), 5, 5).count() == 0
+    assert seen.value == 1
+
+
+def test_index_texts_are_made_of_filings(spark, sf_dir, monkeypatch):
+    """No filter on what the texts say can reach the line items."""
+    given, real = [], queries.facts.read_filing_index
+    monkeypatch.setattr(queries.facts, "read_filing_index", lambda documents: (given.append(documents.inputFiles()), real(documents))[1])
+    queries.segment_refresh(spark, sf_dir)
+    assert given and given[0] and not [f for f in given[0] if "lineitem" in f]
+
+
+def test_repeated_headers_keep_their_dates(spark):
+    reports = spark.createDataFrame([(f"r{i}", f"<table><tr><th>t</th><th>{day}</th></tr><tr><td>a</td><td>{i}</td></tr></table>")
+                                     for i, day in enumerate(["Dec. 31, 2020", "Dec. 31, 2020", "none", "Dec. 31, 2021"])],
+                                    "report_id string, html string")
+    got = {r.report_id: (r.row_idx, r.label, r.cells, r.periods, r.reason) for r in html_reports.report_rows(reports).collect()}
+    assert got == {f"r{i}": (0, "a", [str(i)], [day], None) for i, day in enumerate(
+        [date(2020, 12, 31), date(2020, 12, 31), None, date(2021, 12, 31)])}
+    assert html_reports.report_rows(reports.limit(0)).collect() == []

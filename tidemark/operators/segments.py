@@ -163,12 +163,15 @@ def mark_subtotals(lines: DataFrame) -> DataFrame:
     return subtotal_run(subtotal_parent(lines)).drop("is_parent")
 
 
+def annual_revenue(facts: DataFrame) -> DataFrame:
+    """The facts that give a year's revenue."""
+    return facts.where((F.col("concept") == "revenue") & F.col("duration_days").between(*ANNUAL_DAYS))
+
+
 def range_match(periods: DataFrame, facts: DataFrame) -> DataFrame:
     """Annual revenue whose period ends within five days of each (ticker, period_end), latest
     filed (lowest accession on ties). Eleven-fold day expansion keeps it an equi-join."""
-    revenue = facts.where(
-        (F.col("concept") == "revenue") & F.col("duration_days").between(*ANNUAL_DAYS)
-    ).groupBy("ticker", "period_end", "filed_at").agg(
+    revenue = annual_revenue(facts).groupBy("ticker", "period_end", "filed_at").agg(
         F.min_by("value", "accession").alias("value"), F.min("accession").alias("accession"))
     near = revenue.select(
         "ticker", F.explode(F.sequence(F.date_sub("period_end", DATE_SLACK_DAYS),
