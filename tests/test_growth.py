@@ -2,12 +2,14 @@
 
 from datetime import date, timedelta
 
+import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
 from tidemark.operators import distribution, incremental, refresh, rules, state
 from tidemark.plans import queries
 from tidemark.sources import html_reports
+from tidemark.streaming import rules_stream
 
 
 def plan_of(df) -> str:
@@ -130,3 +132,101 @@ def test_repeated_headers_keep_their_dates(spark):
     assert got == {f"r{i}": (0, "a", [str(i)], [day], None) for i, day in enumerate(
         [date(2020, 12, 31), date(2020, 12, 31), None, date(2021, 12, 31)])}
     assert html_reports.report_rows(reports.limit(0)).collect() == []
+
+
+def odd_sessions(spark):
+    """Tickers of many and few sessions, null ones, days that repeat or are unknown, values null and no number."""
+    rows = []
+    for k, t in enumerate(("A", "B", "C", None)):
+        for i in range(60 if t == "B" else 9):
+            day = None if i == 7 else date(2000, 1, 1) + timedelta(days=2 * (i - (i == 4)))
+            rows.append((t, day, None if (i + k) % 4 == 0 else float((i * 5 + k) % 7), float("nan") if i == 3 else float(i % 3), None))
+    rows.append(("D", None, 1.0, None, None))
+    return spark.createDataFrame(rows, "ticker string, date date, pe_ttm double, pb double, roe double")
+
+
+@pytest.mark.parametrize("held", [5, 8192])
+def test_metrics_of_a_session_are_ranked_together(spark, monkeypatch, held):
+    monkeypatch.setattr(rules, "RANKED_ROWS", held)
+    names = ["pe_ttm", "pb", "roe"]
+    wide_rows = odd_sessions(spark).dropDuplicates(["ticker", "date"])
+    ranked = rules.trailing_percentile(wide_rows, 15, metrics=names)
+    plan = plan_of(ranked)
+    assert plan.index("Generate") < plan.index("MapInArrow")  # long rows come after the ranks
+    assert "Generate" not in plan[plan.index("MapInArrow"):]
+    entries = [F.struct(F.lit(m).alias("metric_key"), F.col(m).alias("value")) for m in names]
+    one_by_one = rules.trailing_percentile(wide_rows.select("ticker", "date", F.inline(F.array(*entries))), 15)
+    show = lambda df: sorted(map(str, df.select("ticker", "date", "metric_key", "value", "pct", "n").collect()))
+    assert show(ranked) == show(one_by_one) and show(ranked)
+
+
+def test_sessions_stay_wide_until_they_meet_their_rules(spark):
+    rows = odd_sessions(spark).withColumn("fundamentals_filed_at", F.col("date"))
+    pairs = spark.createDataFrame(
+        [(1, "A", "percentile_below", 50.0, "pe_ttm"), (1, "A", "percentile_below", 50.0, "pe_ttm"), (2, "A", "value_above", 2.0, "pe_ttm"),
+         (3, "B", "new_filing", None, None), (4, "B", "value_above", 1.0, "ev_fcf"), (5, "B", "percentile_above", 10.0, "pb"),
+         (6, "Z", "value_above", 1.0, "pb"), (7, None, "value_above", 1.0, "pb")],
+        "rule_id int, ticker string, condition string, threshold double, metric_key string")
+    sessions = rules.rule_sessions(rows, pairs)
+    assert plan_of(sessions).count("MapInArrow") == 1 and "Union" not in plan_of(sessions)
+    got = sessions.groupBy("rule_id", "ticker").agg(F.count(F.lit(1)).alias("n"), F.count("value").alias("values"),
+                                                    F.count("percentile").alias("ranked"), F.count_if("holds").alias("holds")).collect()
+    assert sorted(map(tuple, got)) == [(1, "A", 18, 12, 12, 0), (2, "A", 9, 6, 0, 3), (3, "B", 60, 0, 0, 0), (5, "B", 60, 60, 60, 0)]
+
+
+def test_a_feed_is_written_once(spark, sf_dir, monkeypatch):
+    seen = []
+
+    def run(feed, root):
+        files = spark.read.option("recursiveFileLookup", "true").parquet(f"{root}/feed").inputFiles()
+        assert not seen or set(seen[-1]) < set(files)  # parts arrive one by one and stay
+        seen.append(files)
+        return len(files)
+
+    sessions = queries._sessions(spark, sf_dir)
+    monkeypatch.setattr(queries, "_sessions", lambda spark, d: sessions)
+    monkeypatch.setattr(queries, "FEED_CUTS", ["1998-01-01", "2090-01-01"])  # the last part is empty
+    last, root = queries._fed(spark, sf_dir, run)
+    assert len(seen) == 3 and last == len(seen[-1])
+    feed = spark.read.schema(sessions.schema).option("recursiveFileLookup", "true").parquet(f"{root}/feed")
+    assert feed.exceptAll(sessions).isEmpty() and sessions.exceptAll(feed).isEmpty()
+    assert not queries.sinks.table_exists(spark, f"{root}/landed/part=0")
+
+
+def test_a_stream_keeps_one_state_per_ticker(spark, tmp_path):
+    day = lambda n: date(2000, 1, 1) + timedelta(days=n)
+    sessions = spark.createDataFrame(
+        [(rule, t, day(i), "value_above", 1.0, "roe", float(i % 3), None, None, i % 3 > 1) for rule in (1, 2, 3) for t in "AB"
+         for i in range(rule * 3)], "rule_id int, ticker string, session date, condition string, threshold double, "
+        "metric_key string, value double, percentile double, marker date, holds boolean")
+    sessions.write.parquet(f"{tmp_path}/feed")
+    rules_stream.run_events(spark.readStream.schema(sessions.schema).parquet(f"{tmp_path}/feed"), f"{tmp_path}/out", f"{tmp_path}/cp")
+    assert spark.read.format("statestore").option("stateVarName", "last").load(f"{tmp_path}/cp").count() == 2
+    assert sorted(map(tuple, rules_stream.stream_state(spark, f"{tmp_path}/cp").collect())) == [
+        (rule, t, day(rule * 3 - 1), True, None) for rule in (1, 2, 3) for t in "AB"]
+
+
+def test_a_pair_expires_with_its_own_last_session():
+    class Value:
+        held = None
+
+        def get(self):
+            return self.held
+
+        def update(self, value):
+            self.held = value
+
+    class Clock:
+        now = 0
+
+        def getCurrentProcessingTimeInMs(self):
+            return self.now
+
+    state, clock = rules_stream.TickerState(ttl_days=1), Clock()
+    state._last = Value()
+    row = lambda rule, n: Row(rule_id=rule, ticker="A", condition="value_above", threshold=1.0, metric_key="roe", sessions=np.array(
+        [(n, rules_stream.UNKNOWN, True, 2.0, np.nan)], rules_stream.SESSION).tobytes())
+    put = lambda now, *rows: (setattr(clock, "now", now), [e["rule_id"] for e in state.handleInputRows(("A",), iter(rows), clock)])[1]
+    assert put(0, row(1, 1), row(2, 1)) == [1, 2]
+    assert put(86_300_000, row(1, 2)) == []  # still held; the state is younger than a day
+    assert put(86_500_000, row(1, 3), row(2, 3)) == [2]  # rule 2 had no session for a day and starts anew
