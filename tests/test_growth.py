@@ -8,7 +8,8 @@ from pyspark.sql import Row, functions as F
 
 from tidemark.operators import distribution, incremental, refresh, rules, state
 from tidemark.plans import queries
-from tidemark.sources import html_reports
+from tidemark import session
+from tidemark.sources import html_reports, sinks
 from tidemark.streaming import rules_stream
 
 
@@ -230,3 +231,21 @@ def test_a_pair_expires_with_its_own_last_session():
     assert put(0, row(1, 1), row(2, 1)) == [1, 2]
     assert put(86_300_000, row(1, 2)) == []  # still held; the state is younger than a day
     assert put(86_500_000, row(1, 3), row(2, 3)) == [2]  # rule 2 had no session for a day and starts anew
+
+
+def test_a_refresh_leaves_only_its_store_and_its_changes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_folder", lambda spark: f"file://{tmp_path}/shared")
+    prices = spark.createDataFrame(
+        [(t, date(2002, 1, d), float(d), d) for t in "AB" for d in range(1, 11)], "ticker string, date date, close double, volume long")
+    facts = spark.createDataFrame(
+        [(t, "revenue", date(2000, 1, 1), date(2000, 12, 31), 365, date(2001, 2, 1), "a", "10-K", "USD", 5.0) for t in "AB"],
+        "ticker string, concept string, period_start date, period_end date, duration_days int, filed_at date, "
+        "accession string, form string, unit string, value double")
+    splits = spark.createDataFrame([], "ticker string, date date, ratio double")
+    before = spark.conf.get(session.SHUFFLE_CLEANUP)
+    for n, given in enumerate((prices.where("ticker = 'A'"), prices), 1):
+        changes = incremental.refresh_ratios(f"file://{tmp_path}/store", given, facts, splits, buckets=2)
+        assert len(list((tmp_path / "shared").iterdir())) == n  # the changes that are returned, and nothing else
+        assert changes.where("derive").count() > 0
+    assert sinks.read_table(spark, f"file://{tmp_path}/store/prices").count() == 20
+    assert spark.conf.get(session.SHUFFLE_CLEANUP) == before
